@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import html, rtf, text
+from . import bitmap, html, lineformats, records, rtf, text
 from .core import decoder, utf16_lossy
 
 
@@ -45,3 +45,48 @@ html_unescape = scalar(lambda t: html.unescape(t.encode()), "string")
 codepage_decode = decoder(text.decode_page, "string")
 codepage_decode_lossy = scalar(text.decode_page_lossy, "string")
 codepage_encode = decoder(text.encode_page, "binary")
+
+cf_html = decoder(records.cf_html, records.CF_HTML)
+drop_list = decoder(records.drop_list, records.DROP_LIST)
+write_drop_list = decoder(lambda paths: records.write_drop_list(list(paths)), "binary")
+file_descriptors = decoder(records.file_descriptors, records.DESCRIPTORS)
+file_descriptors_narrow = decoder(lambda b: records.file_descriptors(b, False), records.DESCRIPTORS)
+write_file_descriptors = decoder(lambda xs: records.write_file_descriptors([dict(x) if isinstance(x, dict) else x.asDict() for x in xs]), "binary")
+item_list = decoder(records.item_list, records.ITEM_LIST)
+write_items = scalar(lambda xs: records.write_items([bytes(x) for x in xs]), "binary")
+cida = decoder(records.cida, records.CIDA)
+shell_link = decoder(records.shell_link, records.SHELL_LINK)
+write_shell_link = scalar(lambda path, args, name: records.write_shell_link({"local_base_path": path, "arguments": args, "name": name}), "binary")
+webloc = decoder(records.webloc, records.WEBLOC)
+bookmark = decoder(records.bookmark, records.BOOKMARK)
+write_bookmark = scalar(lambda url, parts: records.write_bookmark(url, list(parts)), "binary")
+dib_header = decoder(bitmap.header_row, bitmap.HEADER)
+dib_decode = decoder(bitmap.decode, bitmap.IMAGE)
+dib_encode_v5 = scalar(lambda w, h, px: bitmap.encode_v5(int(w), int(h), bytes(px)), "binary")
+dib_encode = scalar(lambda w, h, px: bitmap.encode_dib(int(w), int(h), bytes(px)), "binary")
+png_encode = scalar(lambda w, h, px: bitmap.encode_png(int(w), int(h), bytes(px)), "binary")
+
+URL_FILE = "struct<url:string,working_directory:string,icon_file:string,icon_index:int,hotkey:struct<key:int,modifiers:int>,show_command:bigint,modified:decimal(20,0),id_list:binary>"
+INI = "array<struct<section:string,key:string,value:string,offset:int>>"
+DESKTOP = "array<struct<group:string,key:string,locale:string,value:string,offset:int>>"
+DESKTOP_ENTRY = "struct<type:string,name:string,url:string,icon:string,exec:array<string>,actions:array<string>>"
+
+uri_list = decoder(lineformats.uri_list, "array<struct<is_comment:boolean,value:string,offset:int>>")
+copied_files = decoder(lineformats.copied_files, "struct<action:string,uris:array<string>>")
+percent_decode = decoder(lineformats.percent_decode_text, "string")
+url_file = decoder(lineformats.url_file, URL_FILE)
+url_ansi = decoder(lineformats.url_ansi, "string")
+ini_entries = decoder(lambda b: lineformats.ini(*lineformats.decoded(b)), INI)
+desktop_entries = decoder(lineformats.desktop, DESKTOP)
+desktop_entry = decoder(lineformats.desktop_entry, DESKTOP_ENTRY)
+desktop_unescape = decoder(lineformats.unescape, "string")
+desktop_list = scalar(lineformats.list_items, "array<string>")
+exec_args = decoder(lineformats.exec_args, "array<struct<raw:string,quoted:boolean,offset:int>>")
+
+
+def exec_valid(value: str) -> bool:
+    lineformats.exec_check(value)
+    return True
+
+
+exec_check = decoder(exec_valid, "boolean")

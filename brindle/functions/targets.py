@@ -317,11 +317,11 @@ def locale_candidates(tag: Column | str) -> Column:
 
 
 def canonical_kind(name: Column | str) -> Column:
-    """An error kind by its name, in any case and in either spelling (``BadMagic`` or ``bad magic``)."""
-    from ..plans.dims import ERROR_KINDS
+    """An error kind by its name or its spelling in prose, in any case."""
+    from ..plans.dims import ERROR_KINDS, ERROR_PROSE
 
-    key = F.lower(F.regexp_replace(col(name), r"[ _-]", ""))
-    return F.element_at(F.create_map(*[F.lit(x) for k in ERROR_KINDS for x in (k.lower(), k)]), key)
+    table = {k.lower(): k for k in ERROR_KINDS} | {k.lower(): v for k, v in ERROR_PROSE.items()}
+    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.lower(F.trim(col(name))))
 
 
 def kind_from_notes(notes: Column | str) -> Column:

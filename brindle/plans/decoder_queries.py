@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,3 +132,158 @@ def html_bytes_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def codepage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.get(F.array(*[F.lit(n) for n in (437, 850, 1250, 1251, 1252, 1253, 1254, 1255, 1256, 1257, 1258, 10000, 28591)]), (F.col("c_custkey") % 13).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", d.codepage_decode(d.codepage_encode(F.col("c_name"), page)["value"], page)["value"].alias("back"))
+
+
+@query("SELECT p_partkey % 50 AS list, count(*) AS n FROM part GROUP BY 1")
+def hdrop_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 50).alias("list")).agg(F.array_sort(F.collect_list("p_name")).alias("p"))
+    back = d.drop_list(d.write_drop_list("p")["value"])["value"]
+    return lists.select("list", F.when(back["paths"] == F.col("p"), F.size(back["raw"])).cast("long").alias("n"))
+
+
+@query("SELECT n_nationkey, n_name AS name, n_nationkey * 5000000000 AS size, n_nationkey % 2 = 0 AS is_directory FROM nation")
+def file_descriptor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.struct(F.col("n_name").alias("name"), (F.col("n_nationkey").cast("long") * 5000000000).alias("size"), F.when(F.col("n_nationkey") % 2 == 0, 16).otherwise(128).alias("attributes"))
+    back = d.file_descriptors(d.write_file_descriptors(F.array(item))["value"])["value"][0]
+    return table(spark, sf_dir, "nation").select("n_nationkey", back["name"].alias("name"), back["size"].cast("long").alias("size"), back["is_directory"].alias("is_directory"))
+
+
+@query("SELECT n_nationkey, 2 AS count FROM nation")
+def item_list_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.array(F.encode("n_name", "UTF-8"), F.encode(F.reverse("n_name"), "UTF-8"))
+    back = d.item_list(d.write_items(raw))["value"]
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.when(back["items"] == raw, back["count"]).alias("count"))
+
+
+@query("SELECT s_suppkey, 'C:\\Data\\' || s_name AS path, '-k ' || s_suppkey AS args FROM supplier")
+def lnk_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blob = d.write_shell_link(F.concat(F.lit("C:\\Data\\"), F.col("s_name")), F.concat(F.lit("-k "), F.col("s_suppkey").cast("string")), F.col("s_name"))
+    back = d.shell_link(blob)["value"]
+    return table(spark, sf_dir, "supplier").select("s_suppkey", back["local_base_path"].alias("path"), back["arguments"].alias("args"))
+
+
+@query("SELECT page_id, url, '/pages/' || page_id AS path FROM pages")
+def bookmark_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = d.bookmark(d.write_bookmark(F.col("url"), F.array(F.lit("pages"), F.col("page_id").cast("string"))))["value"]
+    return table(spark, sf_dir, "pages").select("page_id", back["url"].alias("url"), back["path"].alias("path"))
+
+
+@query("SELECT page_id, url, 'Xml' AS encoding FROM pages")
+def webloc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.targets import html_escape
+
+    blob = F.concat(F.lit('<?xml version="1.0"?><plist><dict><key>URL</key><string>'), html_escape("url"), F.lit("</string></dict></plist>"))
+    back = d.webloc(F.encode(blob, "UTF-8"))["value"]
+    return table(spark, sf_dir, "pages").select("page_id", back["url"].alias("url"), back["encoding"].alias("encoding"))
+
+
+@query("SELECT page_id, url, page_id % 7 AS icon_index FROM pages")
+def url_file_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blob = F.concat(F.lit("[InternetShortcut]\r\nURL="), F.col("url"), F.lit("\r\nIconIndex="), (F.col("page_id") % 7).cast("string"), F.lit("\r\n"))
+    back = d.url_file(F.encode(blob, "UTF-8"))["value"]
+    return table(spark, sf_dir, "pages").select("page_id", back["url"].alias("url"), back["icon_index"].cast("long").alias("icon_index"))
+
+
+@query("SELECT c_custkey, c_name || ' ' || ['de','en'][c_custkey % 2 + 1] AS name FROM customer")
+def desktop_entry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The localized name of a desktop entry, by the reader's locale."""
+    blob = F.concat(F.lit("[Desktop Entry]\nType=Link\nName="), F.col("c_name"), F.lit("\nName[de]="), F.col("c_name"), F.lit(" de\nName[en]="), F.col("c_name"), F.lit(" en\n"))
+    tag = F.when(F.col("c_custkey") % 2 == 0, "de_AT.UTF-8").otherwise("en")
+    return table(spark, sf_dir, "customer").select("c_custkey", d.desktop_entry(F.encode(blob, "UTF-8"), tag)["value"]["name"].alias("name"))
+
+
+@query("SELECT s_suppkey, 'run|a b|%U' AS args FROM supplier")
+def exec_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blob = F.encode(F.lit('[Desktop Entry]\nType=Application\nExec=run "a b" %U\n'), "UTF-8")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", d.desktop_entry(F.when(F.col("s_suppkey") >= 0, blob))["value"]["exec"].alias("a")).select("s_suppkey", F.array_join("a", "|").alias("args"))
+
+
+@query("SELECT vec_id, 8 AS width, 2 AS height, TRUE AS same FROM embeddings")
+def dib_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen pixels made of each vector's numbers, to a bitmap and back."""
+    digits = F.substring(F.sha2(F.col("vec_id").cast("string"), 512), 1, 128)
+    px = F.unhex(F.regexp_replace(digits, "(......)..", "$1ff"))
+    back = d.dib_decode(d.dib_encode_v5(F.lit(8), F.lit(2), px))["value"]
+    return table(spark, sf_dir, "embeddings").select("vec_id", back["width"].alias("width"), back["height"].alias("height"), (back["pixels"] == px).alias("same"))
+
+
+@query("SELECT page_id, 'Agreed' AS fragment_source, md5(html) AS md5 FROM pages")
+def cf_html_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.targets import cf_html
+
+    back = d.cf_html(F.encode(cf_html("html"), "UTF-8"))["value"]
+    return table(spark, sf_dir, "pages").select("page_id", back["fragment_source"].alias("fragment_source"), F.md5(back["fragment"].cast("binary")).alias("md5"))
+
+
+@query("SELECT p_partkey, p_name AS back FROM part")
+def percent_decode_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.targets import percent_encode_unreserved
+
+    return table(spark, sf_dir, "part").select("p_partkey", d.percent_decode(percent_encode_unreserved("p_name"))["value"].alias("back"))
+
+
+def _payloads(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
+    """A payload a page: its markup, its URL as plain text, and an identifier that nobody knows."""
+    from ..operators.payload import native_name
+    from .dims import WINDOWS
+
+    html_blob = F.encode(F.col("html"), "UTF-8")
+    words = F.encode(F.col("url"), "UTF-8")
+    if platform == WINDOWS:
+        from ..functions.targets import cf_html
+
+        html_blob, words = F.encode(cf_html("html"), "UTF-8"), F.concat(F.encode("url", "UTF-16LE"), F.unhex(F.lit("0000")))
+    rows = F.array(
+        F.struct(F.lit(0).alias("ordinal"), F.lit("application/x-unheard").alias("native"), F.unhex(F.lit("00")).alias("bytes")),
+        F.struct(F.lit(1).alias("ordinal"), native_name(F.lit("PlainText"), F.lit(platform)).alias("native"), words.alias("bytes")),
+        F.struct(F.lit(2).alias("ordinal"), native_name(F.lit("Html"), F.lit(platform)).alias("native"), html_blob.alias("bytes")),
+    )
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("payload_id"), F.explode(rows).alias("r"))
+    return p.select("payload_id", F.lit(platform).alias("platform"), "r.ordinal", F.lit(0).alias("item"), "r.native", "r.bytes")
+
+
+@query("SELECT page_id AS payload_id, 'RichText' AS kind, 'Html' AS flavor, TRUE AS ok FROM pages")
+def payload_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.facade import decode_payload
+
+    out = decode_payload(_payloads(spark, sf_dir, "Unix"))
+    return out.select("payload_id", "kind", "flavor", F.col("failure").isNull().alias("ok"))
+
+
+@query("SELECT page_id AS payload_id, 'Text' AS kind, url AS text FROM pages")
+def payload_decode_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup over the byte cap is skipped, so the plain text wins."""
+    from ..operators.facade import decode_payload
+
+    return decode_payload(_payloads(spark, sf_dir, "Windows"), max_flavor_bytes=512).select("payload_id", "kind", "text")
+
+
+@query("SELECT page_id AS payload_id, 3 AS n, 'Html,PlainText,Other' AS flavors FROM pages")
+def payload_decode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.facade import decode_all
+
+    out = decode_all(_payloads(spark, sf_dir, "Unix")).groupBy("payload_id").agg(F.array_sort(F.collect_list(F.struct("read_rank", "ordinal", "flavor"))).alias("f"))
+    return out.select("payload_id", F.size("f").alias("n"), F.array_join(F.transform("f", lambda x: x["flavor"]), ",").alias("flavors"))
+
+
+@query("SELECT page_id AS payload_id, p.platform, CASE p.platform WHEN 'Unix' THEN 'text/html,text/rtf,text/plain;charset=utf-8' WHEN 'MacOs' THEN 'public.rtf,public.html,public.utf8-plain-text' ELSE 'Rich Text Format,HTML Format,CF_UNICODETEXT' END AS natives, TRUE AS same FROM pages, (SELECT unnest(['Windows', 'MacOs', 'Unix']) AS platform) p")
+def payload_encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rich text fanned out to each platform; the text of every representation agrees with the item's."""
+    from ..operators.facade import decode_all, decode_payload, encode, plain_text
+    from .dims import PLATFORMS
+
+    item = decode_payload(_payloads(spark, sf_dir, "Unix")).drop("platform", "native", "flavor", "failure")
+    made = encode(item, *PLATFORMS)
+    back = decode_all(made.select("payload_id", "platform", "ordinal", "item", "native", "bytes"))
+    names = made.groupBy("payload_id", "platform").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "native"))), lambda x: x["native"]), ",").alias("natives"))
+    texts = back.groupBy("payload_id", "platform").agg(F.collect_set(F.rtrim(plain_text())).alias("t"))
+    return names.join(texts, ["payload_id", "platform"]).select("payload_id", "platform", "natives", (F.size("t") == 1).alias("same"))
+
+
+@query()
+def leak_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule over the bytes of every document, as they are and as UTF-16LE at both alignments."""
+    from ..functions.scan import scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    return scan(docs, "doc_id", "bytes").select("doc_id", "rule", "offset", "matched", "encoding")

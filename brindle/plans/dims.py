@@ -170,6 +170,20 @@ CODE_PAGES: dict[int, tuple[str, str]] = {
 #: Errors that decoders report as data.
 ERROR_KINDS = ("UnexpectedEof", "BadMagic", "BadLength", "BadOffset", "Unsupported", "InvalidUtf8", "InvalidUtf16", "DepthLimit", "TooLarge", "Malformed")
 
+#: Their spelling in prose.
+ERROR_PROSE = {
+    "unexpected end of input": "UnexpectedEof",
+    "bad magic": "BadMagic",
+    "bad length field": "BadLength",
+    "bad offset field": "BadOffset",
+    "unsupported construct": "Unsupported",
+    "invalid UTF-8": "InvalidUtf8",
+    "invalid UTF-16": "InvalidUtf16",
+    "nesting depth limit exceeded": "DepthLimit",
+    "declared size too large": "TooLarge",
+    "malformed": "Malformed",
+}
+
 #: X11 targets that must not be asked for.
 DENIED_TARGETS = ("TARGETS", "MULTIPLE", "SAVE_TARGETS", "DELETE", "INSERT_SELECTION", "INSERT_PROPERTY")
 
