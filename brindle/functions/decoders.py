@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import bitmap, html, lineformats, records, rtf, text
+from . import bitmap, html, lineformats, links, records, rtf, shellitems, text
 from .core import decoder, utf16_lossy
 
 
@@ -60,6 +60,9 @@ write_shell_link = scalar(lambda path, args, name: records.write_shell_link({"lo
 webloc = decoder(records.webloc, records.WEBLOC)
 bookmark = decoder(records.bookmark, records.BOOKMARK)
 write_bookmark = scalar(lambda url, parts: records.write_bookmark(url, list(parts)), "binary")
+property_store = decoder(lambda b: list(shellitems.properties(b)), f"array<struct<{shellitems.PROPERTIES.replace(' ', ':').replace(',:', ',')}>>")
+link_from_file = decoder(links.link_from_file, links.LINK)
+sniff_shortcut = scalar(links.sniff, "string")
 dib_header = decoder(bitmap.header_row, bitmap.HEADER)
 dib_decode = decoder(bitmap.decode, bitmap.IMAGE)
 dib_encode_v5 = scalar(lambda w, h, px: bitmap.encode_v5(int(w), int(h), bytes(px)), "binary")

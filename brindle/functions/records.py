@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from typing import Any
 from xml.sax.saxutils import unescape as xml_unescape
 
+from . import shellitems
 from .core import MAX_DEPTH, Bad, Reader, guid_text, utf8_strict, utf16_lossy
 from .text import decode_page_lossy
 
@@ -129,6 +130,13 @@ def write_drop_list(paths: list[str], x: int = 0, y: int = 0, non_client: bool =
     return struct.pack("<IiiII", 20, x, y, non_client, 1) + b"".join(body) + b"\0\0"
 
 
+def write_drop_list_narrow(paths: list[str], page: int) -> bytes:
+    """The narrow form, under a code page."""
+    from .text import encode_page
+
+    return struct.pack("<IiiII", 20, 0, 0, 0, 0) + b"".join(encode_page(p, page) + b"\0" for p in paths) + b"\0"
+
+
 DROP_LIST = "struct<x:int,y:int,non_client:boolean,wide:boolean,raw:array<binary>,paths:array<string>>"
 
 # -- file descriptors --------------------------------------------------------
@@ -246,11 +254,17 @@ def _long_name(block: bytes, version: int) -> str | None:
     return utf16_lossy(text[:end]) if end else None
 
 
-def shell_item(data: bytes) -> dict[str, Any]:
-    """What one item is, by its class byte; an item that is not understood is Unknown, never an error."""
+def shell_item(data: bytes, wrapped: bool = False) -> dict[str, Any]:
+    """What one item is: a delegate's inner item (one level), then signatures, then the class byte; an item that is
+    not understood is Unknown, never an error.
+    """
     out: dict[str, Any] = {"kind": "Unknown", "class": data[0] if data else None, "name": None, "guid": None, "size": None, "modified": None, "attributes": None}
     if not data:
         return out
+    if not wrapped and (inner := shellitems.delegate(data)) is not None:
+        return out | {"kind": "DelegateFolder", "name": shell_item(inner, True)["name"]}
+    if (told := shellitems.signed_item(data, KNOWN_FOLDERS)) is not None:
+        return out | told
     kind = data[0]
     family = kind & 0x70
     try:
@@ -261,29 +275,30 @@ def shell_item(data: bytes) -> dict[str, Any]:
             g = guid_text(data[2:18])
             return out | {"kind": "Volume", "guid": g, "name": KNOWN_FOLDERS.get(g)}
         if family == 0x20:
-            name = data[1:].split(b"\0")[0].decode("latin-1")
-            return out | {"kind": "Volume", "name": name or None}
+            return out | {"kind": "Volume", "name": data[1:].split(b"\0")[0].decode("cp1252", "replace") or None}
         if family == 0x30 and len(data) >= 12:
             size, when, attributes = struct.unpack("<I4sH", data[2:12])
-            wide = bool(kind & 0x04)
-            r = Reader(data, 12)
-            short = utf16_lossy(r.wide_cstr()) if wide else r.cstr().decode("latin-1")
+            wide = bool(kind & 0x04) or data[-30:-23] == b"S.W.N.1"
+            rest = data[12:]
+            short = utf16_lossy(_until_nul(rest, 2)) if wide else decode_page_lossy(_until_nul(rest, 1), 1252)
             long = next((_long_name(b["data"], b["version"]) for b in extension_blocks(data) if b["signature"] == 0xBEEF0004), None)
             return out | {"kind": "Directory" if kind & 0x01 else "File", "name": long or short, "size": size, "modified": dos_time(when), "attributes": attributes}
-        if family == 0x40 and len(data) >= 4:
-            return out | {"kind": "NetworkLocation", "name": data[4:].split(b"\0")[0].decode("latin-1") or None}
+        if family == 0x40 and len(data) >= 3:
+            return out | {"kind": "NetworkLocation", "name": decode_page_lossy(_until_nul(data[3:], 1), 1252) or None}
         if kind == 0x61 and len(data) >= 4:
-            wide = bool(data[1] & 0x80)
-            r = Reader(data, 4 + int.from_bytes(data[2:4], "little"))
-            return out | {"kind": "Uri", "name": (utf16_lossy(r.wide_cstr()) if wide else r.cstr().decode("latin-1")) or None}
-        if kind == 0x71 and len(data) >= 30:
-            g = guid_text(data[14:30])
-            return out | {"kind": "ControlPanelItem", "guid": g}
-    except Bad:
+            tail = data[4 + int.from_bytes(data[2:4], "little") :]
+            return out | {"kind": "Uri", "name": (utf16_lossy(_until_nul(tail, 2)) if data[1] & 0x80 else decode_page_lossy(_until_nul(tail, 1), 1252)) or None}
+        if kind == 0x71 and len(data) >= 28:
+            return out | {"kind": "ControlPanelItem", "guid": guid_text(data[12:28])}
+    except (Bad, struct.error):
         pass
     return out
 
 
+def _until_nul(b: bytes, unit: int) -> bytes:
+    return next((b[:i] for i in range(0, len(b) - unit + 1, unit) if not any(b[i : i + unit])), b)
+
+
 def display_path(data: bytes, separator: str = "\\") -> str:
     names = []
     try:
@@ -458,16 +473,20 @@ def shell_link(data: bytes) -> dict[str, Any]:
         if flags & flag:
             n = r.u16()
             out[key] = utf16_lossy(r.take(2 * n)) if flags & IS_UNICODE else decode_page_lossy(r.take(n), 1252)
-    blocks = []
+    blocks, first = [], {}
     try:
         for b in extra_blocks(data, r.at):
             blocks.append({k: b[k] for k in ("signature", "kind", "offset")})
-            if b["kind"] == "Environment" and len(b["data"]) >= 780 and "environment_path" not in out:
-                out["environment_path"] = utf16_lossy(b["data"][260:780].split(b"\0\0\0")[0] + b"\0" if b"\0\0\0" in b["data"][260:780] else b["data"][260:780]).split("\0")[0] or decode_page_lossy(b["data"][:260].split(b"\0")[0], 1252)
+            first.setdefault(b["kind"], b["data"])
     except Bad:
         pass
     out["blocks"] = blocks
-    out.setdefault("environment_path", None)
+    env = first.get("Environment", b"")
+    out["environment_path"] = (utf16_lossy(_until_nul(env[260:780], 2)) or decode_page_lossy(_until_nul(env[:260], 1), 1252) or None) if len(env) >= 780 else None
+    out["app_user_model_id"] = shellitems.property_value(first.get("PropertyStore", b""), shellitems.APP_USER_MODEL, 5)
+    page = first.get("ConsoleFE", b"")
+    out["console_code_page"] = int.from_bytes(page[:4], "little") if len(page) >= 4 else None
+    out["machine_id"] = decode_page_lossy(_until_nul(first["Tracker"][8:24], 1), 1252) if len(first.get("Tracker", b"")) >= 24 else None
     local, suffix = out["local_base_path"], out["common_path_suffix"]
     out["candidates"] = [x for x in (None if suffix else local, out["net_name"], out["environment_path"], out["relative_path"]) if x]
     return out
@@ -476,7 +495,7 @@ def shell_link(data: bytes) -> dict[str, Any]:
 SHELL_LINK = (
     "struct<flags:bigint,attributes:bigint,created:decimal(20,0),accessed:decimal(20,0),written:decimal(20,0),size:bigint,icon_index:int,show_command:bigint,hotkey:int,"
     "id_list_path:string,local_base_path:string,common_path_suffix:string,net_name:string,drive_type:string,drive_serial:bigint,volume_label:string,name:string,relative_path:string,"
-    "working_dir:string,arguments:string,icon_location:string,environment_path:string,blocks:array<struct<signature:bigint,kind:string,offset:int>>,candidates:array<string>>"
+    "working_dir:string,arguments:string,icon_location:string,environment_path:string,app_user_model_id:string,console_code_page:bigint,machine_id:string,blocks:array<struct<signature:bigint,kind:string,offset:int>>,candidates:array<string>>"
 )
 
 

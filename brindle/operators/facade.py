@@ -18,6 +18,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import bitmap, html, limits, lineformats, records, rtf, text
 from ..functions.core import Bad, utf8_strict
+from ..functions.links import classify
 from ..functions.targets import html_escape_lines
 from ..plans import dims
 from .payload import native_name, resolve, transfer_action
@@ -38,14 +39,6 @@ class Refused(Exception):
     """A representation that no decoder takes: NotContent or Unsupported."""
 
 
-def classify(s: str) -> str:
-    if not s:
-        return "Unresolved"
-    if re.match(r"/|\\\\|[A-Za-z]:[\\/]", s):
-        return "Path"
-    return "Url" if re.match("[A-Za-z][A-Za-z0-9+.-]*:", s) else "Unresolved"
-
-
 def file_entry(uri: str) -> dict[str, str] | None:
     """A local file URI as a path, percent escapes decoded with repairs; another URI as it is; blank as nothing."""
     u = uri.strip()
@@ -58,8 +51,18 @@ def file_entry(uri: str) -> dict[str, str] | None:
     return {"kind": "Path", "value": raw.decode("utf-8", "replace")}
 
 
-def decode_item(data: bytes, native: str, platform: str, flavor: str) -> dict[str, Any]:
-    """One representation as an item; unknown identifiers, web archives and UTF-16 text are Unknown, which succeeds."""
+#: The decoder that each flavor needs, for switching decoders off.
+FEATURES = {"Rtf": "rtf", "Html": "html", "Dib": "dib", "DibV5": "dib", "FileDescriptor": "file-desc", "ShellIdList": "idlist", "ShellLink": "shell-link"}
+
+
+def decode_item(data: bytes, native: str, platform: str, flavor: str, keep_markup: bool = False, alpha: str = "Guess", disabled: frozenset[str] = frozenset()) -> dict[str, Any]:
+    """One representation as an item; unknown identifiers, web archives and UTF-16 text are Unknown, which succeeds.
+
+    ``keep_markup`` returns HTML as it came instead of styled text; ``alpha`` says how bitmaps read theirs; a flavor
+    whose feature is ``disabled`` fails with FeatureDisabled.
+    """
+    if FEATURES.get(flavor) in disabled:
+        raise Refused("FeatureDisabled")
     if flavor == "PlainText":
         return {"kind": "Text", "text": text.decode_plain(data, platform)}
     if flavor == "Rtf":
@@ -67,9 +70,11 @@ def decode_item(data: bytes, native: str, platform: str, flavor: str) -> dict[st
         return {"kind": "RichText", "rich": {k: doc[k] for k in ("text", "runs")}}
     if flavor == "Html":
         markup = records.cf_html(data)["fragment"] if platform == dims.WINDOWS else text.decode_html_bytes(data)
+        if keep_markup:
+            return {"kind": "Html", "html": {"markup": markup, "plain": None}}
         return {"kind": "RichText", "rich": html.document(markup.encode())}
     if flavor in ("Dib", "DibV5"):
-        return {"kind": "Image", "image": {**bitmap.decode(data), "format": "Rgba"}}
+        return {"kind": "Image", "image": {**bitmap.decode(data, alpha), "format": "Rgba"}}
     if flavor in ("Png", "Tiff", "Jpeg", "Gif"):
         return {"kind": "Image", "image": {"width": None, "height": None, "pixels": data, "format": flavor}}
     if flavor == "FileList":
@@ -103,7 +108,7 @@ def decode_item(data: bytes, native: str, platform: str, flavor: str) -> dict[st
     return {"kind": "Unknown", "unknown": {"native": native, "bytes": data}}
 
 
-def decode_rows(rows: DataFrame) -> DataFrame:
+def decode_rows(rows: DataFrame, **options: Any) -> DataFrame:
     """``rows`` (resolved items) with the item's arms and a failure; each row on its own, nothing raises."""
     keep = ["payload_id", "platform", "ordinal", "item", "native", "flavor", "read_rank"]
     schema = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in keep) + f", {ITEM}, {FAILURE}"
@@ -115,7 +120,7 @@ def decode_rows(rows: DataFrame) -> DataFrame:
             for x in b.to_pylist():
                 base = {c: x[c] for c in keep}
                 try:
-                    got = decode_item(x["bytes"] or b"", x["native"], x["platform"], x["flavor"])
+                    got = decode_item(x["bytes"] or b"", x["native"], x["platform"], x["flavor"], **options)
                     out.append({**base, **got, "failure": None})
                 except Bad as e:
                     out.append({**base, "failure": {"variant": "Codec", "kind": e.kind, "offset": e.offset}})
@@ -126,18 +131,19 @@ def decode_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*keep, "bytes").mapInArrow(run, schema)
 
 
-def decode_all(items: DataFrame) -> DataFrame:
+def decode_all(items: DataFrame, **options: Any) -> DataFrame:
     """Every content representation that decodes, with its place in the ranking; caps do not apply."""
-    return decode_rows(resolve(items).where("is_content")).where("failure IS NULL")
+    return decode_rows(resolve(items).where("is_content"), **options).where("failure IS NULL")
 
 
-def decode_payload(items: DataFrame, max_flavor_bytes: int | None = limits.MAX_FLAVOR_BYTES, policy: Column | None = None, strict_rank: bool = True) -> DataFrame:
+def decode_payload(items: DataFrame, max_flavor_bytes: int | None = limits.MAX_FLAVOR_BYTES, policy: Column | None = None, strict_rank: bool = True, **options: Any) -> DataFrame:
     """The richest representation of each payload that decodes, enriched from its siblings: one row a payload.
 
     Representations are tried by (rank, ordinal). One over the byte cap is skipped, or treated as ``policy`` (a
     column of Accept, Skip or Abort) says; Abort ends the search there. Types that no decoder exists for still
     succeed as Unknown and so win by rank; ``strict_rank=False`` sets them last. If nothing succeeds the row carries
-    the failure: a decoder's error before others, else TooLarge with the greatest size, else Unknown.
+    the failure: a decoder's error before others, else TooLarge with the greatest size, else Unknown. Further options
+    are those of ``decode_item``; markup that is kept gets the payload's plain text beside it.
     """
     rows = resolve(items).where("is_content")
     rank = F.col("read_rank") if strict_rank else F.when(F.col("flavor").isin("WebArchive", "PlainTextUtf16"), 254).otherwise(F.col("read_rank"))
@@ -149,7 +155,7 @@ def decode_payload(items: DataFrame, max_flavor_bytes: int | None = limits.MAX_F
     aborted = F.max(F.when(F.col("_verdict") == "Abort", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_over", aborted).where("_over = 0")
     refused = rows.where("_verdict <> 'Accept'").groupBy("payload_id").agg(F.max("_size").alias("refused_bytes"))
-    tried = decode_rows(rows.where("_verdict = 'Accept'").withColumn("read_rank", F.col("_rank")))
+    tried = decode_rows(rows.where("_verdict = 'Accept'").withColumn("read_rank", F.col("_rank")), **options)
     order = F.struct(F.col("failure").isNotNull().alias("f"), (F.coalesce(F.col("failure.variant"), F.lit("")) != "Codec").alias("c"), F.col("read_rank"), F.col("ordinal"))
     names = ["flavor", "native", "kind", *ARMS, "failure"]
     won = tried.groupBy("payload_id").agg(F.min_by(F.struct(*names), order).alias("w")).select("payload_id", "w.*")
@@ -168,10 +174,14 @@ def enrich(decoded: DataFrame, items: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("item", "ordinal", "files.entries")))
     lists = mac.groupBy("payload_id").agg(F.flatten(F.transform(parts, lambda p: p["entries"])).alias("_entries"))
     out = decoded.join(actions, "payload_id", "left").join(title, "payload_id", "left").join(lists, "payload_id", "left")
+    words = r.where("flavor = 'PlainText'").groupBy("payload_id").agg(F.min_by(F.struct("platform", "native", "bytes", "flavor"), "ordinal").alias("_p"))
+    plain = decode_rows(words.select("payload_id", "_p.*", F.lit(0).alias("ordinal"), F.lit(0).alias("item"), F.lit(0).alias("read_rank"))).select("payload_id", F.col("text").alias("_plain"))
+    out = out.join(plain, "payload_id", "left")
+    markup = F.when(F.col("html").isNotNull(), F.struct(F.col("html.markup").alias("markup"), F.coalesce("html.plain", "_plain").alias("plain")))
     entries = F.when(F.size("_entries") > F.size("files.entries"), F.col("_entries")).otherwise(F.col("files.entries"))
     files = F.when(F.col("files").isNotNull(), F.struct(entries.alias("entries"), F.col("action").alias("action")))
     link = F.when(F.col("link").isNotNull(), F.struct(F.col("link.target_kind").alias("target_kind"), F.col("link.target").alias("target"), F.coalesce("link.title", "_title").alias("title")))
-    return out.withColumns({"files": files, "link": link}).drop("action", "_title", "_entries", "refused_bytes")
+    return out.withColumns({"files": files, "link": link, "html": markup}).drop("action", "_title", "_entries", "_plain", "refused_bytes")
 
 
 def plain_text() -> Column:

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brindle.functions import bitmap, html, lineformats, records, rtf, text
+from brindle.functions import bitmap, html, lineformats, links, records, rtf, shellitems, text
 from brindle.functions.core import Bad, utf16_lossy
 
 
@@ -222,3 +222,35 @@ def test_bitmap_kinds():
     assert bitmap.decode(head(8, 1, 2) + palette + b"\x01\x01\x00\x01")["pixels"] == b"\x06\x05\x04\xff\0\0\0\0"
     fails("UnexpectedEof", 44, bitmap.decode, head(32, 0) + b"\0" * 4)
     fails("Unsupported", 0, bitmap.decode, b"\x0c\0\0\0" + b"\0" * 50)
+
+
+def test_property_stores():
+    raw = shellitems.write_properties(shellitems.APP_USER_MODEL, {5: "Vendor.App", 7: "x"})
+    assert [(p["id"], p["type"], p["value"]) for p in shellitems.properties(raw)] == [(5, "Lpwstr", "Vendor.App"), (7, "Lpwstr", "x")]
+    assert shellitems.property_value(raw, shellitems.APP_USER_MODEL, 5) == "Vendor.App"
+    fails("BadMagic", 4, lambda b: list(shellitems.properties(b)), raw[:4] + b"2SPS" + raw[8:])
+    link = records.write_shell_link({"name": "n"})[:-4]
+    block = (len(raw) + 8).to_bytes(4, "little") + (0xA0000009).to_bytes(4, "little") + raw
+    assert records.shell_link(link + block + b"\0\0\0\0")["app_user_model_id"] == "Vendor.App"
+
+
+def test_shell_items():
+    g = bytes.fromhex("e04fd020ea3a6910a2d808002b30309d")
+    assert records.shell_item(records.root_folder(g))["name"] == "My Computer"
+    assert records.shell_item(b"/C:\\\0")["name"] == "C:\\"
+    entry = b"\x32\0" + (5).to_bytes(4, "little") + b"\x21\x5a\0\0" + b"\x20\0" + b"a.txt\0"
+    got = records.shell_item(entry)
+    assert (got["kind"], got["name"], got["size"], got["modified"]["year"]) == ("File", "a.txt", 5, 2025)
+    wrapped = b"\x74\0" + len(entry).to_bytes(2, "little") + entry + shellitems.DELEGATE + g
+    assert records.shell_item(wrapped)["kind"] == "DelegateFolder" and records.shell_item(wrapped)["name"] == "a.txt"
+    assert records.shell_item(b"\x41\0\0\\\\srv\\s\0")["name"] == "\\\\srv\\s"
+    assert records.shell_item(b"\xff")["kind"] == "Unknown"
+
+
+def test_links_of_any_format():
+    assert links.link_from_file(b"[InternetShortcut]\nURL=https://e.org/\n")["target_kind"] == "Url"
+    got = links.link_from_file(b"[Desktop Entry]\nType=Link\nName=N\nURL=/a\\sb\n")
+    assert (got["target_kind"], got["target"], got["title"]) == ("Path", "/a b", "N")
+    assert links.link_from_file(records.write_bookmark("file:///a", ["a"]))["target"] == "file:///a"
+    fails("Unsupported", 0, links.link_from_file, b"[Desktop Entry]\nType=Application\n")
+    fails("BadMagic", 0, links.link_from_file, b"none")

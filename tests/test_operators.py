@@ -62,6 +62,14 @@ def test_caps_and_policy(spark):
     assert stopped["kind"] is None
 
 
+def test_options(spark):
+    items = frame(spark, (1, "Unix", 0, 0, "text/html", b"<b>x</b>"), (1, "Unix", 1, 0, "text/plain", b"x"), (2, "Unix", 0, 0, "text/rtf", rb"{\rtf1 x}"))
+    kept = one(facade.decode_payload(items, keep_markup=True), payload_id=1)
+    assert (kept["kind"], kept["html"]["markup"], kept["html"]["plain"]) == ("Html", "<b>x</b>", "x")
+    off = one(facade.decode_payload(items, disabled=frozenset({"rtf"})), payload_id=2)
+    assert off["failure"]["variant"] == "FeatureDisabled"
+
+
 def test_files_are_enriched(spark):
     items = frame(
         spark,
