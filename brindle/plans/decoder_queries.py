@@ -287,3 +287,74 @@ def leak_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
     return scan(docs, "doc_id", "bytes").select("doc_id", "rule", "offset", "matched", "encoding")
+
+
+@query("SELECT page_id, ['UrlFile', 'DesktopEntry', 'Webloc', 'Bookmark'][page_id % 4 + 1] AS format, 'Url' AS target_kind, url AS target FROM pages")
+def shortcut_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four shortcut formats, told apart by their bytes."""
+    from ..functions.targets import html_escape
+
+    u = F.col("url")
+    blob = (
+        F.when(F.col("page_id") % 4 == 0, F.encode(F.concat(F.lit("[InternetShortcut]\r\nURL="), u, F.lit("\r\n")), "UTF-8"))
+        .when(F.col("page_id") % 4 == 1, F.encode(F.concat(F.lit("[Desktop Entry]\nType=Link\nURL="), u, F.lit("\n")), "UTF-8"))
+        .when(F.col("page_id") % 4 == 2, F.encode(F.concat(F.lit("<plist><dict><key>URL</key><string>"), html_escape(u), F.lit("</string></dict></plist>")), "UTF-8"))
+        .otherwise(d.write_bookmark(u, F.array(F.lit("a"))))
+    )
+    p = table(spark, sf_dir, "pages").select("page_id", blob.alias("b"))
+    link = d.link_from_file("b")["value"]
+    return p.select("page_id", d.sniff_shortcut("b").alias("format"), link["target_kind"].alias("target_kind"), link["target"].alias("target"))
+
+
+@query("SELECT p_partkey, substr(md5(p_partkey::VARCHAR), 1, 6) AS color, p_size * 0.75::DOUBLE AS pt FROM part")
+def css_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.css_functions import SCALARS
+
+    color, size = d.scalar(*SCALARS["css_color"]), d.scalar(*SCALARS["css_size_pt"])
+    hexed = F.concat(F.lit("#"), F.upper(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 6)))
+    return table(spark, sf_dir, "part").select("p_partkey", color(hexed).alias("color"), size(F.concat(F.col("p_size").cast("string"), F.lit("px"))).alias("pt"))
+
+
+@query("SELECT s_suppkey AS payload_id, ordinal, 'text_html' || CASE WHEN ordinal = 0 THEN '' ELSE '-' || (ordinal + 1) END AS stem FROM supplier, (SELECT unnest([0, 1, 2]) AS ordinal)")
+def payload_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.payload_dir import stems
+
+    names = F.array(F.lit("text/html"), F.lit("TEXT/html"), F.lit("text:html"))
+    i = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("payload_id"), F.posexplode(names).alias("ordinal", "native"))
+    return stems(i).select("payload_id", "ordinal", F.lower("stem").alias("stem"))
+
+
+@query("SELECT l_orderkey, count(*) AS items, sum(l_quantity)::BIGINT AS total, count(*) > 5 OR sum(l_quantity) > 150 AS refused FROM lineitem GROUP BY 1")
+def limits_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.limits import extended_caps
+
+    rows_ = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("n"))
+    return extended_caps(rows_, "l_orderkey", "n", max_total=150, max_items=5)
+
+
+@query("SELECT n_nationkey, 'Vendor.' || n_name AS value FROM nation")
+def property_store_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.shellitems import APP_USER_MODEL, write_properties
+
+    write = d.scalar(lambda t: write_properties(APP_USER_MODEL, {5: t}), "binary")
+    got = d.property_store(write(F.concat(F.lit("Vendor."), F.col("n_name"))))["value"]
+    return table(spark, sf_dir, "nation").select("n_nationkey", got[0]["value"].alias("value"))
+
+
+@query()
+def idlist_item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import records
+
+    made = table(spark, sf_dir, "nation").select("n_nationkey", d.write_items(F.array(F.concat(F.unhex(F.lit("2F")), F.encode("n_name", "UTF-8")), F.encode("n_name", "UTF-8"))).alias("b"))
+    return rows(made, ["n_nationkey"], "b", records.item_rows, records.ITEM).select("n_nationkey", "pos", "kind", "name")
+
+
+@query()
+def plist_object_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import plistlib
+
+    from ..functions import records
+
+    write = d.scalar(lambda t: plistlib.dumps({"URL": t, "list": [1, True, 2.5]}, fmt=plistlib.FMT_BINARY), "binary")
+    made = table(spark, sf_dir, "pages").select("page_id", write("url").alias("b"))
+    return rows(made, ["page_id"], "b", lambda b: records.BinaryPlist(bytes(b)).rows(), records.PLIST_ROWS).select("page_id", "path", "kind", "value")
