@@ -93,3 +93,10 @@ def exec_valid(value: str) -> bool:
 
 
 exec_check = decoder(exec_valid, "boolean")
+
+build_cf_html = decoder(records.build_cf_html, "binary")
+write_drop_list_narrow = decoder(lambda paths, page: records.write_drop_list_narrow(list(paths), int(page)), "binary")
+drop_list_paths = decoder(lambda b, page: records.drop_list_paths(b, int(page)), "array<string>")
+is_internet_location = scalar(lambda b: records.is_internet_location(bytes(b)), "boolean")
+bookmark_check = decoder(records.bookmark_check, "int")
+bookmark_flags = decoder(records.bookmark_flags, records.BOOKMARK_FLAGS)

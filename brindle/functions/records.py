@@ -845,3 +845,92 @@ def write_bookmark(url: str | None, components: list[str], extra: dict[int, str]
         body.extend(struct.pack("<3I", key, record, 0))
     body[:4] = struct.pack("<I", at)
     return b"book" + struct.pack("<III", 48 + len(body), 0x10040000, 48) + b"\0" * 32 + bytes(body)
+
+
+# -- writers and checks beside the readers -------------------------------------
+
+
+def build_cf_html(fragment: str, source_url: str | None = None, selection: tuple[int, int] | None = None, version: str = "0.9", context: tuple[str, str] | None = ("<html><body>", "</body></html>")) -> bytes:
+    """A CF_HTML blob with checks: no marks inside the parts, no line ends in the URL, a selection on character bounds.
+
+    Without a context the outer offsets are -1. ``selection`` counts bytes of the fragment.
+    """
+    if not version or any(c in "\r\n:" for c in version) or source_url is not None and any(c in "\r\n" for c in source_url):
+        raise Bad("Malformed", 0)
+    raw = fragment.encode()
+    before, after = (x.encode() for x in context or ("", ""))
+    for part in (raw, before, after):
+        m = _START.search(part) or _END.search(part)
+        if m:
+            raise Bad("Malformed", m.start())
+    if selection is not None:
+        a, b = selection
+        if a > b or b > len(raw):
+            raise Bad("BadOffset", b)
+        for x in (a, b):
+            if x < len(raw) and raw[x] & 0xC0 == 0x80:
+                raise Bad("BadOffset", x)
+    names = ["StartHTML", "EndHTML", "StartFragment", "EndFragment"] + ["StartSelection", "EndSelection"] * (selection is not None)
+    width = {n: 2 if context is None and n.endswith("HTML") else 10 for n in names}
+    url = b"" if source_url is None else b"SourceURL:" + source_url.encode() + b"\r\n"
+    start = len(f"Version:{version}\r\n".encode()) + sum(len(n) + 3 + width[n] for n in names) + len(url)
+    first = start + len(before) + len(b"<!--StartFragment-->")
+    last = first + len(raw)
+    at = {"StartHTML": start, "EndHTML": last + len(b"<!--EndFragment-->") + len(after), "StartFragment": first, "EndFragment": last}
+    if selection is not None:
+        at |= {"StartSelection": first + selection[0], "EndSelection": first + selection[1]}
+    head = "".join(f"{n}:{'-1' if width[n] == 2 else f'{at[n]:010d}'}\r\n" for n in names)
+    return f"Version:{version}\r\n{head}".encode() + url + before + b"<!--StartFragment-->" + raw + b"<!--EndFragment-->" + after
+
+
+def write_file_descriptors_narrow(items_: list[dict[str, Any]], page: int = 1252) -> bytes:
+    """Records of 332 bytes, names under a code page."""
+    from .text import encode_page
+
+    out = [struct.pack("<I", len(items_))]
+    for x in items_:
+        name = encode_page(x["name"], page)
+        if b"\0" in name or len(name) > 259:
+            raise Bad("TooLarge" if len(name) > 259 else "Malformed", sum(map(len, out)))
+        flags = sum(FD[k] for k in ("attributes", "size") if x.get(k) is not None)
+        size = int(x.get("size") or 0)
+        out.append(struct.pack("<I16s4iIQQQII", flags, b"", 0, 0, 0, 0, int(x.get("attributes") or 0), 0, 0, 0, size >> 32, size & 0xFFFFFFFF) + name.ljust(260, b"\0"))
+    return b"".join(out)
+
+
+def is_internet_location(finder_info: bytes) -> bool:
+    """Whether the type begins with ``il`` and the creator is the system's."""
+    return len(finder_info) >= 8 and finder_info[:2] == b"il" and finder_info[4:8] == b"MACS"
+
+
+def bookmark_rows(data: bytes) -> Iterator[dict[str, Any]]:
+    """Every entry of a bookmark: key, its name, the kind and text of its value."""
+    b = Bookmark(bytes(data))
+    for key, record in b.entries():
+        kind, value = b.value(record)
+        plain = value.hex() if isinstance(value, bytes) else "/".join(str(v) for _, v in value) if kind == "array" else str(value)
+        yield {"key": None if isinstance(key, str) else key, "name": key if isinstance(key, str) else BOOKMARK_KEYS.get(key), "kind": kind, "value": plain}
+
+
+def bookmark_check(data: bytes) -> int:
+    """Walk the whole graph under the depth and the number of records; how many entries it has."""
+    return sum(1 for _ in bookmark_rows(data))
+
+
+# Resource flags from the lowest bit.
+RESOURCE_FLAGS = "IsRegularFile IsDirectory IsSymbolicLink IsVolume IsPackage IsSystemImmutable IsUserImmutable IsHidden HasHiddenExtension IsApplication IsCompressed CanSetHiddenExtension IsReadable IsWriteable IsExecutable IsAliasFile IsMountTrigger".split()
+
+
+def bookmark_flags(data: bytes) -> dict[str, Any] | None:
+    """Resource flags that are set, and the mask of those that were asked for."""
+    got = Bookmark(data).get(0x1010)
+    if got is None or got[0] != "data":
+        return None
+    if len(got[1]) < 16:
+        raise Bad("BadLength", 0)
+    raw, asked = struct.unpack_from("<QQ", got[1])
+    return {"raw": raw, "asked_for": asked, "set": [n for i, n in enumerate(RESOURCE_FLAGS) if raw >> i & 1]}
+
+
+BOOKMARK_ROWS = "key bigint, name string, kind string, value string"
+BOOKMARK_FLAGS = "struct<raw:decimal(20,0),asked_for:decimal(20,0),set:array<string>>"

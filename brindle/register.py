@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions import css_functions, decoders, html, records, rtf
+from .functions import css_functions, decoders, html, records, rtf, shellitems
 from .functions.core import Bad
 from .shipping import ensure_importable
 
-DECODERS = "html_document rtf_document rtf_header cf_html drop_list file_descriptors item_list cida shell_link webloc bookmark dib_header dib_decode uri_list copied_files percent_decode url_file ini_entries desktop_entries desktop_unescape exec_args exec_check codepage_decode codepage_encode".split()
+DECODERS = "html_document rtf_document rtf_header cf_html drop_list file_descriptors item_list cida shell_link webloc bookmark dib_header dib_decode uri_list copied_files percent_decode url_file ini_entries desktop_entries desktop_unescape exec_args exec_check codepage_decode codepage_encode build_cf_html bookmark_check bookmark_flags link_from_file property_store drop_list_paths".split()
 
 #: name: (generator of rows, result schema)
 TABLES: dict[str, tuple[Callable[[Any], Iterator[dict[str, Any]]], str]] = {
@@ -25,6 +25,8 @@ TABLES: dict[str, tuple[Callable[[Any], Iterator[dict[str, Any]]], str]] = {
     "rtf_fonts": (lambda b: rtf.fonts(bytes(b)), "id int, family string, charset int, name string"),
     "idlist_items": (records.item_rows, records.ITEM),
     "bplist_objects": (lambda b: records.BinaryPlist(bytes(b)).rows(), records.PLIST_ROWS),
+    "bookmark_entries": (records.bookmark_rows, records.BOOKMARK_ROWS),
+    "property_store_values": (lambda b: shellitems.properties(bytes(b)), shellitems.PROPERTIES),
     "css_declarations": (css_functions.declaration_rows, "name string, value string"),
 }
 

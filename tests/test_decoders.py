@@ -254,3 +254,35 @@ def test_links_of_any_format():
     assert links.link_from_file(records.write_bookmark("file:///a", ["a"]))["target"] == "file:///a"
     fails("Unsupported", 0, links.link_from_file, b"[Desktop Entry]\nType=Application\n")
     fails("BadMagic", 0, links.link_from_file, b"none")
+
+
+def test_cf_html_builder():
+    blob = records.build_cf_html("a\u00e9b", "https://e.org/", (1, 3))
+    got = records.cf_html(blob)
+    assert (got["fragment"], got["selection"], got["source_url"], got["fragment_source"]) == ("a\u00e9b", "\u00e9", "https://e.org/", "Agreed")
+    assert got["selection_in_fragment"] == {"start": 1, "end": 3}
+    assert records.cf_html(records.build_cf_html("x", context=None))["context"] is None
+    fails("BadOffset", 2, records.build_cf_html, "a\u00e9b", None, (2, 3))
+    fails("Malformed", 1, records.build_cf_html, "x<!-- EndFragment -->")
+    fails("Malformed", 0, records.build_cf_html, "x", "a\nb")
+
+
+def test_narrow_forms():
+    raw = records.write_drop_list_narrow(["C:\\\u00e9"], 1252)
+    assert records.drop_list(raw)["wide"] is False and records.drop_list_paths(raw, 1252) == ["C:\\\u00e9"]
+    got = records.file_descriptors(records.write_file_descriptors_narrow([{"name": "\u00e9.txt", "size": 7}]), False)
+    assert (got[0]["name"], got[0]["size"]) == ("\u00e9.txt", 7)
+
+
+def test_bookmark_entries():
+    raw = records.write_bookmark("file:///a", ["a"], {0xF017: "A"})
+    rows = {r["name"]: (r["kind"], r["value"]) for r in records.bookmark_rows(raw)}
+    assert rows == {"path_components": ("array", "a"), "url": ("url", "file:///a"), "display_name": ("string", "A")}
+    assert records.bookmark_check(raw) == 3 and records.bookmark_flags(raw) is None
+    looped = bytearray(raw)
+    at = 48 + 4  # the first record becomes an array that holds itself
+    looped[at : at + 12] = (4).to_bytes(4, "little") + (0x601).to_bytes(4, "little") + (4).to_bytes(4, "little")
+    with pytest.raises(Bad) as e:
+        records.bookmark_check(bytes(looped))
+    assert e.value.kind == "DepthLimit"
+    assert records.is_internet_location(b"ilhtMACS") and not records.is_internet_location(b"ilht")
