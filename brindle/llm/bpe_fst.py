@@ -25,13 +25,14 @@ case, special strings) are split with the same rules by a regular expression.
 
 from __future__ import annotations
 
-import functools
 import json
 import unicodedata
 
 import numpy as np
 import regex
 
+from .common import worker_cache
+
 CHUNK = 192
 #: Above so many states the tables are dropped and made anew, as lazy automata do.
 MOST_STATES = 400_000
@@ -50,6 +51,21 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+#: In place of a last token at the beginning of a word.
+NONE = (1 << 24) - 1
+
+
+def packed(tail: bytes, live: list[tuple[int, int, int]]) -> bytes:
+    """A state's summary as bytes: there are many, so they are kept small."""
+    return bytes((len(live),)) + b"".join((e << 16 | since + 128 << 8 | size).to_bytes(5, "little") for e, since, size in live) + tail
+
+
+def unpacked(key: bytes) -> tuple[bytes, list[tuple[int, int, int]]]:
+    n = key[0]
+    cells = [int.from_bytes(key[1 + 5 * i : 6 + 5 * i], "little") for i in range(n)]
+    return key[1 + 5 * n :], [(c >> 16, (c >> 8 & 255) - 128, c & 255) for c in cells]
+
+
 class Transducer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -75,13 +91,13 @@ class Transducer:
             (self.closing if closes else self.inner)[body] = i
             self.length[i] = len(body)
             self.begins.update(body[:k] for k in range(1, len(body) + closes))
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.kind = np.full(0x110000, UNSEEN, np.uint8)
         self.low = np.arange(0x110000, dtype=np.uint32)
         self._empty()
 
     def _empty(self) -> None:
-        self.key: list[tuple] = [(), (b"", ((-1, 0, 0),))]
+        self.key: list[bytes] = [b"", packed(b"", [(NONE, 0, 0)])]
         self.known = {self.key[START]: START}
         self.width = 96
         self.klass = np.full(256, -1, np.int16)
@@ -98,9 +114,9 @@ class Transducer:
 
     def survives(self, a: int, b: int) -> bool:
         """Whether token a followed by token b stays so when their bytes are merged anew."""
-        known = self.fits.get((a, b))
+        known = self.fits.get(a << 20 | b)
         if known is None:
-            known = self.fits[a, b] = self._survives(a, b)
+            known = self.fits[a << 20 | b] = self._survives(a, b)
         return known
 
     def _survives(self, a: int, b: int) -> bool:
@@ -125,7 +141,8 @@ class Transducer:
             else:
                 return True
 
-    def _state(self, key: tuple) -> int:
+    def _state(self, tail: bytes, live: list[tuple[int, int, int]]) -> int:
+        key = packed(tail, live)
         n = self.known.get(key)
         if n is None:
             n = self.known[key] = len(self.key)
@@ -134,27 +151,26 @@ class Transducer:
                 grow = lambda x, fill: np.concatenate((x, np.full(x.shape, fill, x.dtype)))
                 self.next, self.last = grow(self.next, -1), grow(self.last, 0)
                 self.end_out, self.end_last = grow(self.end_out, 0), grow(self.end_last, 0)
-            tail, live = key
             for e, since, size in live:
                 t = self.closing.get(tail[len(tail) - size :])
-                if t is not None and (e < 0 or self.survives(e, t)):
+                if t is not None and (e == NONE or self.survives(e, t)):
                     self.end_out[n], self.end_last[n] = 1 - since, t
                     break
         return n
 
     def _compile(self, state: int, k: int) -> None:
-        tail, live = self.key[state]
+        tail, live = unpacked(self.key[state])
         text = tail + bytes((self.byte[k],))
         for e, since, size in live:
             t = self.inner.get(text[len(tail) - size :])
-            if t is not None and (e < 0 or self.survives(e, t)):
+            if t is not None and (e == NONE or self.survives(e, t)):
                 out = 1 - since
                 break
         else:
             raise ValueError("the vocabulary has no token for a byte")
-        kept = tuple((e, since + out, size + 1) for e, since, size in live if text[len(tail) - size :] in self.begins)
+        kept = [(e, since + out, size + 1) for e, since, size in live if text[len(tail) - size :] in self.begins]
         size = kept[0][2] if kept else 0
-        n = self._state((text[len(text) - size :], (*kept, (t, 0, 0))))
+        n = self._state(text[len(text) - size :], [*kept, (t, 0, 0)])
         self.next[state, k], self.last[state, k] = n << 8 | (out + 128), t
 
     def _classes(self, data: np.ndarray) -> np.ndarray:
@@ -392,7 +408,6 @@ class Transducer:
         return [np.concatenate([nothing, *(table[w] if isinstance(w, str) else np.array([w], np.uint16) for w in ws)]) for ws in words]
 
 
-@functools.lru_cache(maxsize=2)
 def compiled(path: str) -> Transducer:
-    """One transducer a worker process and vocabulary file."""
-    return Transducer(path)
+    """One transducer a worker process, until another operator's tasks come to the process."""
+    return worker_cache(("transducer", path), lambda: Transducer(path))

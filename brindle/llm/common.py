@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[Hashable, Any] = {}
+
+
+def worker_cache(owner: Hashable, make: Callable[[], Any] = lambda: None) -> Any:
+    """An object kept in the worker process for the tasks of one owner; asking for another owner's lets it go.
+
+    Workers outlive a query, so what one operator keeps would add to the memory of the next.
+    """
+    if owner not in _HELD:
+        _HELD.clear()
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (n + 1) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,6 +102,17 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
+def binary_values(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all cells of a binary column end to end, without a copy of each, and how many a cell has."""
+    array = column.combine_chunks()
+    if isinstance(array, pa.ChunkedArray):
+        array = array.chunk(0) if array.num_chunks else pa.array([], pa.binary())
+    off = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int32)
+    data = array.buffers()[2]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, kind, (int(off[-1]) - int(off[0])) // size, int(off[0])) if data is not None and len(array) else np.zeros(0, kind), np.diff(off) // size
+
+
 def pieces(off: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text; a longer text is a piece of its own, whole."""
     n, i = len(off) - 1, 0

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, pieces, text_buffers
+from .common import fold, pieces, text_buffers, worker_cache
 from .textfeat import Piece, lowered, mix, segment_sum
 
 #: Documents of each language that the models are fitted on, about; hash buckets of the n-grams.
@@ -156,6 +156,7 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("langid")
         model = sent.value
         names = np.array([*model.langs, "und"], object)
         for batch in batches:

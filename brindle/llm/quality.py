@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_buffers
+from .common import binary_values, pieces, text_buffers, worker_cache
 from .textfeat import Piece, Rolling, mix, segment_sum
 
 #: Labelled rows that the model is fitted on at most, and weights by feature family.
-FIT_ROWS, BUCKETS = 3000, 1 << 16
+FIT_ROWS, BUCKETS = 2500, 1 << 16
 #: Rejected below this calibrated probability of good quality.
 KEEP_AT = 0.35
 SYMBOLS = np.zeros(256, bool)
@@ -183,34 +183,33 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     size = len(FAMILIES) * BUCKETS
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(size, np.float32), 20.0)
-    idx = [np.frombuffer(x.as_py(), np.int32) for x in got.column("idx")]
-    val = [np.frombuffer(x.as_py(), np.float32) for x in got.column("val")]
-    del got
+    at, sizes = binary_values(got.column("idx"), np.int32)
+    v, _ = binary_values(got.column("val"), np.float32)
     hold = np.arange(len(y)) % 5 == 4
+    edge = np.concatenate(([0], np.cumsum(sizes)))
+    parts = [(i, min(i + 200, len(y))) for i in range(0, len(y), 200)]  # bounds the arrays made in a pass
+    learn = int((~hold).sum())
 
-    def flat(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        nothing = (np.zeros(0, np.int32), np.zeros(0, np.float32))
-        return (np.concatenate([nothing[0], *(idx[r] for r in rows)]), np.concatenate([nothing[1], *(val[r] for r in rows)]), np.array([len(idx[r]) for r in rows]))
-
-    at, v, sizes = flat(np.flatnonzero(~hold))
-    goal = y[~hold]
+    def scores(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([segment_sum(x[at[edge[i] : edge[j]]] * v[edge[i] : edge[j]], sizes[i:j]) for i, j in parts])
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        z = segment_sum(x[at] * v, sizes) + x[-1]
+        z = scores(x) + x[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         reg = 2e-5
-        value = float(np.logaddexp(0, -z * (2 * goal - 1)).mean() + reg * 0.5 * (x[:-1] @ x[:-1]))
-        r = (p - goal) / len(goal)
-        grad = np.bincount(at, np.repeat(r, sizes) * v, minlength=size + 1).astype(np.float64)
+        value = float(np.logaddexp(0, -z * (2 * y - 1))[~hold].sum() / learn + reg * 0.5 * (x[:-1] @ x[:-1]))
+        r = np.where(hold, 0, p - y) / learn
+        grad = np.zeros(size + 1)
+        for i, j in parts:
+            grad += np.bincount(at[edge[i] : edge[j]], np.repeat(r[i:j], sizes[i:j]) * v[edge[i] : edge[j]], minlength=size + 1)
         grad[:-1] += reg * x[:-1]
         grad[-1] = r.sum()
         return value, grad
 
     x = minimise(loss, np.zeros(size + 1), 25)
     model = Model(x[:-1].astype(np.float32), float(x[-1]))
-    at, v, sizes = flat(np.flatnonzero(hold))
-    z, goal = segment_sum(model.weights[at] * v, sizes) + model.bias, y[hold]
-    model.slope, model.intercept = calibrate(z, goal)
+    z = scores(x) + x[-1]
+    model.slope, model.intercept = calibrate(z[hold], y[hold])
     return model
 
 
@@ -249,6 +248,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT,
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         for batch in batches:
             raw, off = text_buffers(batch.column(1))
             for i, j in pieces(off):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, text_buffers
+from .common import pieces, stored, text_buffers, worker_cache
 from .components import components
 from .textfeat import Piece
 
 LINK_BITS = 2
-#: Blocks of the 64 bits: (name, length, parity-check columns, covering radius). All are perfect codes.
+#: Generator polynomial of the binary Golay code.
 GOLAY = 0b101011100011
 
 
@@ -41,6 +40,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             raw, off = text_buffers(batch.column(1))
@@ -157,16 +157,11 @@ class Cover:
         return fp ^ home, np.uint64(fp ^ home) ^ rel
 
 
-@functools.lru_cache(maxsize=1)
-def cover(threshold: int = LINK_BITS) -> Cover:
-    return Cover(threshold)
-
-
 def anchors(nodes: DataFrame, threshold: int, visits: bool) -> DataFrame:
     """(anchor, fp): each fingerprint at its nearest anchor; with ``visits`` at all anchors in reach that are not greater."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = cover(threshold)
+        code = worker_cache(("cover", threshold), lambda: Cover(threshold))
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(fps), 4096):

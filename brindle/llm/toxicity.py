@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, pieces, text_buffers
+from .common import binary_values, fold, pieces, text_buffers, worker_cache
 from .textfeat import Piece
 
 #: Labelled rows that the model is fitted on at most, bits of the hashed feature space.
@@ -87,7 +87,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     y = got.column("y").to_numpy()
     if not len(y) or y.min() == y.max():
         return Weights(np.zeros(1 << BITS), -20.0 if not len(y) or not y.max() else 20.0)
-    return ftrl([np.frombuffer(x.as_py(), np.int32) for x in got.column("idx")], y)
+    at, sizes = binary_values(got.column("idx"), np.int32)
+    return ftrl(np.split(at, np.cumsum(sizes)[:-1]), y)
 
 
 def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = ALPHA, l1: float = L1, l2: float = L2, passes: int = PASSES) -> Weights:
@@ -131,6 +132,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = FIT
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         dense, bias = sent.value.dense(), sent.value.bias
         for batch in batches:
             raw, off = text_buffers(batch.column(2))

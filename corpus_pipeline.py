@@ -40,9 +40,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     ensure_importable(spark)
-    copies = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    many = docs.join(copies, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return many.select(*docs.columns)
+    taken = mixing.mix_sources(docs).where("copies > 0").select("doc_id", F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_mix_copies"))
+    return docs.join(taken, "doc_id").select(*docs.columns, F.explode("_mix_copies").alias("_mix_copy")).drop("_mix_copy")
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -353,6 +353,35 @@ def test_warc_reader_skips_by_header():
     assert reader.wanted(values) and not reader.wanted(values | {"target_uri": None})
 
 
+# -- tables of odd shape ---------------------------------------------------
+
+
+def test_clashing_columns_and_null_ids(spark):
+    """Columns with the names that operators use inside, and rows without an id, change no result and crash nothing."""
+    rows = [(i, t, "en", s, 1) for i, t, s in sample_rows()[:60]] + [(None, "some words without an id " * 5, "en", None, 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    odd = docs
+    for c in ("id", "key", "norm", "bucket", "sha", "fp", "node", "anchor", "size", "copies", "taken", "row", "block", "upto", "window", "first", "n_tokens", "start", "kept", "score", "order", "y", "quality", "held_out", "component_id", "x", "a", "b"):
+        odd = odd.withColumn(c, F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(50)], "doc_id long, quality int, toxic int")
+    runs = [
+        lambda d: quality.quality_rules(d, labels).select("doc_id", "n_words", "kept"),
+        lambda d: token_counts.token_counts(d, VOCABULARY),
+        lambda d: mixing.mix_sources(d).select("doc_id", "size", "taken"),
+        lambda d: toxicity.toxicity(d, labels).select("doc_id", "predicted"),
+        lambda d: langid.identify(d).select("doc_id", "lang_pred"),
+        lambda d: exact_dedup.exact_dedup(d).select("doc_id", "keep_id", "group_size", "kept"),
+        lambda d: packing.pack(d, VOCABULARY, length=64).groupBy("doc_id").agg(F.sum("length")),
+        lambda d: simhash.simhash_groups(d),
+    ]
+    for run in runs:
+        assert Counter(map(tuple, run(docs).collect())) == Counter(map(tuple, run(odd).collect()))
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (None, None, "<p>a</p>"), (2, "v", None)], "page_id long, url string, html string")
+    wide = pages.withColumn("text", F.lit("t")).withColumn("payload", F.lit("p")).withColumn("digest", F.lit("d")).withColumn("id", F.lit("i"))
+    for run in (lambda p: warc.digests(warc.archive(p)), html_extract.main_text):
+        assert Counter(map(tuple, run(pages).collect())) == Counter(map(tuple, run(wide).collect()))
+
+
 # -- pipeline ------------------------------------------------------------
 
 
