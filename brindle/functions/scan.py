@@ -104,10 +104,14 @@ def utf16_view(payload: Column, align: int) -> Column:
 def scan(df: DataFrame, id_col: str, payload_col: str, login: str | None = None) -> DataFrame:
     """One row a finding: the bytes as they are and as UTF-16LE at both alignments, distinct by rule, offset, match."""
     bytes_ = F.col(payload_col)
+    # every match of the wide views needs a unit with a zero high byte, so payloads without a NUL skip them
+    wide_text = latin1_view(bytes_).contains("\x00")
+    none = F.array().cast("array<struct<rule:string,offset:int,encoding:string,matched:string>>")
     views = [findings(latin1_view(bytes_), "ASCII", login)]
     for align in (0, 1):
         wide = findings(utf16_view(bytes_, align), "UTF-16LE", login)
-        views.append(F.transform(wide, lambda f, a=align: F.struct(f["rule"].alias("rule"), (f["offset"] * 2 + a).alias("offset"), f["encoding"].alias("encoding"), f["matched"].alias("matched"))))
+        found = F.transform(wide, lambda f, a=align: F.struct(f["rule"].alias("rule"), (f["offset"] * 2 + a).alias("offset"), f["encoding"].alias("encoding"), f["matched"].alias("matched")))
+        views.append(F.when(wide_text, found).otherwise(none))
     rows = df.select(F.col(id_col), F.explode(F.concat(*views)).alias("f")).select(id_col, "f.*")
     first = F.struct("encoding")
     return rows.groupBy(id_col, "rule", "offset", "matched").agg(F.min(first)["encoding"].alias("encoding"))
