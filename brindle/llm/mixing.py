@@ -46,6 +46,7 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
     size: Column | None = None,
+    key_col: str | None = None,
 ) -> DataFrame:
     """How many words of each document the mix takes: ``id_col``, source, size, source_size, target, copies, taken.
 
@@ -58,9 +59,11 @@ def mix_sources(
 
     The order of a source is added up in blocks (``prefix``), so a source with most rows is dealt over many tasks.
     Null texts and empty ones have size 0 and take 0; a null source is a source like others; an empty table gives
-    an empty result; other columns are not read.
+    an empty result; other columns are not read. ``key_col`` is a column that the result carries besides, for callers
+    whose ids may be null or repeated.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (words() if size is None else size).alias("size"))
+    key = [] if key_col is None else [F.col(key_col).alias("key")]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (words() if size is None else size).alias("size"), *key)
     mark = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("long")
     rows = stored(rows.withColumn("mark", mark).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     blocks = max(1, rows.count() // BLOCK_ROWS)
@@ -76,7 +79,7 @@ def mix_sources(
     out = rows.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
     taken = F.col("p").__gt__(0) & (2 * F.col("upto") - F.col("size") <= 2 * F.col("left"))
     copies = F.col("whole") + taken.cast("long")
-    return out.select(F.col("id").alias(id_col), F.col("d.source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), odds.alias("rank_odds"), "row")
+    return out.select(F.col("id").alias(id_col), F.col("d.source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), odds.alias("rank_odds"), "row", *([] if key_col is None else [F.col("key").alias(key_col)]))
 
 
 ORACLE = r"""

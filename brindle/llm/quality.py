@@ -242,7 +242,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT,
     Null and empty texts have no words and fail; repeated rows are judged alike; an empty table gives an empty
     result; without labels of both kinds only the rules judge; other columns are not read.
     """
-    model = fit(docs, labels, rows, id_col, text_col)
+    return judge(docs, fit(docs, labels, rows, id_col, text_col), keep_at, id_col, text_col)
+
+
+def judge(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``quality_rules`` by a model already fitted; ``id_col`` is only passed through."""
     kind = dict(docs.dtypes)[id_col]
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)

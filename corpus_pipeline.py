@@ -4,44 +4,80 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import exact_dedup, mixing, packing, quality, simhash
-from brindle.llm.common import new_folder, table
+from brindle.llm.common import new_folder, stored, table
 from brindle.llm.queries import vocabulary
 from brindle.shipping import ensure_importable
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids``; rows that repeat an id are one document."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+#: Name of a row in its stage, and the key that orders rows by doc_id (null last), then by that name.
+ROW, KEY = "_pipeline_row", "_pipeline_key"
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is one row of a file: a scan of files, at most projected and filtered."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "_metadata" not in docs.columns
+
+
+def _named(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``ROW``, the same at every read: ids may be null or repeated.
+
+    A row of a file is named by its place in it, which is stored already. Other rows are numbered and stored once.
+    """
+    if _is_scan(docs):
+        try:
+            return docs.select("*", F.concat_ws(":", F.col("_metadata.row_index"), F.col("_metadata.file_path")).alias(ROW))
+        except AnalysisException:  # the format has no row numbers
+            pass
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id().cast("string")), f"pipeline-rows-{name}")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(KEY, F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col(ROW).alias("row")))
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``rows`` whose name is among those of ``kept``, without the name."""
+    return rows.join(kept.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the model keep."""
     ensure_importable(spark)
-    found = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, found.where("kept"))
+    rows = _named(docs, "quality")
+    model = quality.fit(rows, table(spark, sf_dir, "labels"))
+    return _only(rows, quality.judge(rows, model, id_col=ROW).where("kept"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One row of each group of equal texts, also where rows repeat an id or have none."""
     ensure_importable(spark)
-    return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    rows = _named(docs, "exact")
+    found = exact_dedup.exact_dedup(_keyed(rows), id_col=KEY).where("kept")
+    return _only(rows, found.select(F.col(KEY)["row"].alias(ROW)))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each component of linked fingerprints."""
+    """One row (that of the smallest id, null last) of each component of linked fingerprints."""
     ensure_importable(spark)
-    return _only(docs, simhash.simhash_groups(docs).where(F.col("doc_id") == F.col("component_id")))
+    rows = _named(docs, "near")
+    found = simhash.simhash_groups(_keyed(rows), id_col=KEY)
+    return _only(rows, found.where(F.col(KEY)["row"] == F.col("component_id")["row"]).select(F.col(KEY)["row"].alias(ROW)))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each row as often as the mix takes it."""
     ensure_importable(spark)
-    taken = mixing.mix_sources(docs).where("copies > 0").select("doc_id", F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_mix_copies"))
-    return docs.join(taken, "doc_id").select(*docs.columns, F.explode("_mix_copies").alias("_mix_copy")).drop("_mix_copy")
+    rows = _named(docs, "mix")
+    taken = mixing.mix_sources(rows, key_col=ROW).where("copies > 0").select(ROW, F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_mix_copies"))
+    return rows.join(taken, ROW).select(*docs.columns, F.explode("_mix_copies").alias("_mix_copy")).drop("_mix_copy")
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -406,3 +406,51 @@ def test_pipeline(spark, tmp_path):
             assert now.where("doc_id >= 500").count() == 0
     assert seen[0] > seen[1] >= seen[2] and seen[3] > 0 and seen[4] > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[4]
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    """Verdicts belong to rows: null ids stay, rejected rows and copies go although another row of their id is kept."""
+    import corpus_pipeline
+
+    docs, labels, rows = labelled(spark)
+    r = random.Random(12)
+    fresh = lambda: " ".join(f"{r.choice(['calm', 'river', 'stone', 'paper', 'light', 'garden'])}{r.randrange(10**6)}" for _ in range(60))
+    none, hot = [fresh() for _ in range(4)], [fresh() for _ in range(30)]
+    odd = [(None, t, "s") for t in none] + [(None, none[0], "s")]  # without an id, one of them twice
+    odd += [(7000, t, "hot") for t in hot] + [(7000, hot[0], "hot")] * 3 + [(7000, "too short", "hot")]
+    odd += [(7001, hot[1], "hot"), (7001, fresh() + " end", "s")]
+    docs.unionByName(docs_of(spark, odd)).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    texts = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            texts[name] = Counter((x.doc_id, x.text) for x in now.collect())
+    first = texts["quality_rules"]
+    assert (7000, "too short") not in first and first[7000, hot[0]] == 4 and first[None, none[0]] == 2
+    for name in ("exact_dedup", "simhash_near_dedup"):
+        assert all(n == 1 for n in texts[name].values())
+        assert {x for x in texts[name] if x[0] is None} == {(None, t) for t in none}
+        assert {x for x in texts[name] if x[0] == 7000} == {(7000, t) for t in hot} and (7001, hot[1]) not in texts[name]
+        assert sum(x[0] == 7001 for x in texts[name]) == 1
+    mixed = texts["mix_sources"]
+    assert set(mixed) <= set(texts["simhash_near_dedup"]) and max(mixed.values()) <= 2
+    assert any(x[0] is None for x in mixed) and any(x[0] == 7000 for x in mixed)
+    assert now.where("doc_id is null").count() > 0
+
+
+def test_pipeline_row_names(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.range(100).select((F.col("id") % 3).alias("doc_id"), F.lit("t").alias("text")).write.parquet(f"{tmp_path}/d")
+    scan = spark.read.parquet(f"{tmp_path}/d")
+    twice = scan.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    made = spark.createDataFrame([(None, "t"), (None, "t")], "doc_id long, text string")
+    assert corpus_pipeline._is_scan(scan.where("doc_id > 0").select("text")) and not corpus_pipeline._is_scan(twice)
+    for docs, n in ((scan, 100), (scan.where("doc_id = 1"), 33), (twice, 200), (scan.unionByName(scan), 200), (made, 2)):
+        rows = corpus_pipeline._named(docs, "test")
+        first, again = ({r[0] for r in rows.select(corpus_pipeline.ROW).collect()} for _ in range(2))
+        assert first == again and len(first) == n
