@@ -9,6 +9,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noscript template iframe noframes".split())
 #: Content that is no text of the page whatever stands around it.
 UNSEEN = frozenset("script style template noscript iframe noframes title head".split())
+#: Tags that may stand in an open head; any other tag, or text, closes it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul button".split()
 )
@@ -57,6 +59,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     while True:
         m = search(page, at)
         stop = m.start() if m else page_end
+        if hidden and stop > at and not _SPACE.fullmatch(page, at, stop):
+            del stack[hidden:], tags[hidden:]
+            hidden = 0
         if stop > at and not hidden:
             stream.append((stack[-1], page[at:stop]))
         if m is None:
@@ -79,6 +84,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                         stream.append((stack[k - 1], None))
                 del stack[k:], tags[k:]
             continue
+        if hidden and tag not in IN_HEAD:
+            del stack[hidden:], tags[hidden:]
+            hidden = 0
         closes = CLOSES.get(tag)
         block = tag in BLOCK
         if closes is None and block and "p" in tags:

@@ -302,6 +302,27 @@ def test_dom_blocks():
     assert len(nodes) == 10
 
 
+def test_dom_head_without_end():
+    for page in (
+        "<html><head><title>t</title><meta charset=x><body><article><p>a<p>b</article></html>",
+        "<head><style>s</style>\n<div>a</div><p>b",
+        "<head> <script>s</script> a<p>b",
+        "<html><head><title>t</title><head><link rel=x></head><p>a<p>b",
+    ):
+        nodes, stream = parse(page)
+        assert blocks(stream) == ["a", "b"], page
+        assert all(nodes[n.parent].tag != "head" for n in nodes if n.tag in ("body", "article", "div", "p"))
+    assert blocks(parse("<head><title>t</title> <!-- x --> <meta name=y></head>z")[1]) == ["z"]
+
+
+def test_main_text_without_head_end(spark):
+    r = random.Random(78)
+    pages = [p for p in (html_extract.made_page(r) for _ in range(30)) if "</head>" in p]
+    rows = [(i, "u", p) for i, p in enumerate(pages)] + [(100 + i, "u", p.replace("</head>", "")) for i, p in enumerate(pages)]
+    out = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert any(out.values()) and all(out[i] == out[100 + i] for i in range(len(pages)))
+
+
 def test_decoding_never_keeps_a_child_of_a_dropped_node():
     nodes, _ = parse("<div><p><b>x</b></p></div><p>y")
     assert html_extract.decode(nodes, [9.0, -9.0, 9.0, 9.0, 9.0]) == [True, False, False, False, True]
