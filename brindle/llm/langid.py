@@ -79,7 +79,7 @@ class Model:
         value = np.where(full, best[np.arange(p.n), order1] if m else 0, 0)
         base = segment_sum(top[:, 0], p.words)
         growing, price = full.copy(), PRICE * np.log(np.maximum(p.words, 2))
-        for k in range(2, min(m, 4) + 1):
+        for k in range(2, m + 1):
             rows = np.flatnonzero(growing)
             if not len(rows):
                 break

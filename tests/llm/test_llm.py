@@ -292,6 +292,17 @@ def test_language(spark):
     assert langid.identify(docs.where("false")).count() == 0
 
 
+def test_language_sets_have_no_bound(spark):
+    r = random.Random(8)
+    letters = "bcdfghjklmnpqrstvwxz"
+    names = [f"l{k}" for k in range(6)]
+    stems = {k: ["".join(r.choices(letters[3 * x : 3 * x + 3], k=6)) for _ in range(6)] for x, k in enumerate(names)}
+    say = lambda k, n: " ".join(r.choice(stems[k]) for _ in range(n))
+    rows = [(i, say(names[i % 6], 30), names[i % 6], "s", 1) for i in range(240)] + [(900, " ".join(say(k, 60) for k in names), None, "s", 1)]
+    found = langid.identify(spark.createDataFrame(rows, DOCS)).where("doc_id = 900").first()
+    assert set(found.langs) == set(names) and all(abs(x - 1 / 6) < 0.05 for x in found.shares)
+
+
 # -- pages ---------------------------------------------------------------
 
 
