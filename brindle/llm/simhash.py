@@ -188,16 +188,20 @@ def links(nodes: DataFrame, threshold: int = LINK_BITS) -> DataFrame:
 def simhash_groups(docs: DataFrame, shingle: int = 3, threshold: int = LINK_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, fingerprint (16 hex digits), component_id: the smallest id reachable over linked fingerprints.
 
+    A node is a fingerprint, named by its smallest id (null last) and itself, so null and repeated ids neither part nor
+    join anything. Null ids never are the smallest: component_id is null only where no row of the component has an id.
+
     Equal fingerprints are one node (combined before the shuffle), so copies are never paired; between different
     ones every link is found (``Cover``). Null, empty and blank texts have fingerprint 0 and are linked like any
     other; texts of fewer words than a shingle are one shingle; repeated rows share a component; an empty table
     gives an empty result; other columns are not read.
     """
     rows = stored(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    nodes = stored(rows.groupBy("fp").agg(F.min(id_col).alias("node")), "simhash-nodes")
+    nodes = rows.groupBy("fp").agg(F.min(id_col).alias("id"))
+    nodes = stored(nodes.select("fp", F.struct(F.col("id").isNull().alias("no"), "id", "fp").alias("node")), "simhash-nodes")
     pairs = links(nodes, threshold)
     edges = pairs.join(nodes.select(F.col("fp").alias("x"), F.col("node").alias("a")), "x").join(nodes.select(F.col("fp").alias("y"), F.col("node").alias("b")), "y").select("a", "b")
-    parts = components(edges)
-    named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    parts = components(edges).select(F.col("node.fp").alias("fp"), "component")
+    named = nodes.join(parts, "fp", "left").select("fp", F.coalesce("component", "node")["id"].alias("component_id"))
     out = rows.join(named, "fp")
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

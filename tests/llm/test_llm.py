@@ -216,6 +216,15 @@ def test_simhash_groups(spark):
     assert simhash.simhash_groups(docs_of(spark, [])).count() == 0
 
 
+def test_simhash_links_over_null_and_repeated_ids(spark, monkeypatch):
+    fps = {"a": 0b0, "b": 0b11, "c": 0b1111, "far": 0xFFFF0000, "near far": 0xFFFF0001, "alone": 0xFFFF << 40}
+    of = F.create_map(*[F.lit(x) for kv in fps.items() for x in kv])
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle, i, t: docs.select(i, of[F.col(t)].cast("long").alias("fp")))
+    rows = [(1, "a", "s"), (None, "b", "s"), (2, "c", "s"), (1, "far", "s"), (0, "near far", "s"), (None, "alone", "s")]
+    out = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.simhash_groups(docs_of(spark, rows)).collect()}
+    assert out == {(i, format(fps[t], "016x")): c for (i, t, _), c in zip(rows, (1, 1, 1, 0, 0, None), strict=True)}
+
+
 def test_components_of_a_path(spark):
     n = 40
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (7, 7)], "a long, b long")
