@@ -312,6 +312,18 @@ def test_language_sets_have_no_bound(spark):
     assert set(found.langs) == set(names) and all(abs(x - 1 / 6) < 0.05 for x in found.shares)
 
 
+def test_quality_fits_on_3000_rows(spark):
+    docs = spark.range(3200).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"))
+    seen = []
+    keep = quality.calibrate
+    quality.calibrate = lambda z, y: seen.append(len(y)) or keep(z, y)
+    try:
+        quality.quality_rules(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    finally:
+        quality.calibrate = keep
+    assert seen == [600]  # a fifth of the rows
+
+
 # -- pages ---------------------------------------------------------------
 
 
