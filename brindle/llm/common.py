@@ -28,7 +28,9 @@ def fold(column: str | Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; where that is unset (tests) a new temporary one."""
+    """The folder every executor sees: ``spark.checkpoint.dir``; where that is unset, a new temporary one in local
+    mode (tests), an error on a cluster.
+    """
     sc = spark.sparkContext
     held = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if held:
@@ -36,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(held)
         return held.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor sees")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -74,6 +78,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot above so many rows, and above its share of all rows that leaves at most so many hot keys.
+HOT_ROWS, MOST_HOT = 20_000, 10_000
+
+
+def join_hot(rows: DataFrame, named: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``named``, which is unique by ``on`` and has the rows of each key in ``count``.
+
+    Hot keys are joined by a broadcast of their entries, ``MOST_HOT`` at most of ``total`` rows, so no task gets all
+    rows of one; the others by a shuffle. Both frames are read twice and should be stored.
+    """
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    hot = named.where(F.col(count) > limit)
+    if hot.isEmpty():
+        return rows.join(named, on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(named.where(F.col(count) <= limit), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 _HELD: dict[Hashable, Any] = {}
 
 
@@ -88,6 +110,32 @@ def worker_cache(owner: Hashable, make: Callable[[], Any] = lambda: None) -> Any
     return _HELD[owner]
 
 
+#: Bytes of features that a fit brings to the driver at most.
+FIT_BYTES = 128 << 20
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, salt: str, id_col: str, text_col: str) -> DataFrame:
+    """y, order, text of ``rows`` labelled documents at most: those with the least hash of the id, in ``order``.
+
+    One row a label, whatever repeats: of documents that share an id the least text.
+    """
+    picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    picked = picked.withColumn("order", F.xxhash64("id", F.lit(salt))).orderBy("order", "id", "y").limit(rows)
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    return found.groupBy("order", "y").agg(F.min("text").alias("text")).select("y", "order", "text")
+
+
+def fit_features(features: DataFrame, limit: int | None = None) -> pa.Table:
+    """``features`` (y, order, idx and others) on the driver, by order: as many of the first as have ``limit`` bytes."""
+    limit = FIT_BYTES if limit is None else limit
+    made = stored(features, "fit-features")
+    sizes = made.select("order", F.octet_length("idx").cast("long").alias("n")).toArrow().sort_by("order")
+    fits = int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy()), limit, side="right"))
+    if fits < len(sizes):
+        made = made.where(F.col("order") < sizes.column("order")[fits].as_py())
+    return made.toArrow().sort_by([("order", "ascending"), ("y", "ascending")])
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (n + 1) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
