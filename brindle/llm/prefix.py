@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks whose sums one task adds up.
-SPAN = 4096
+#: Blocks whose sums one task adds up, and rows of a range (at least; a large table has more of them).
+SPAN, RANGE_ROWS, MOST_RANGES = 4096, 20_000, 10_000
+
+
+def ranges(df: DataFrame, n: int, order: list[str], out: str) -> DataFrame:
+    """``df``, of about ``n`` rows, in ranges of ``order`` of about equal size, numbered in that order in ``out``.
+
+    Spark draws the borders from a sample, so the spread of the values does not matter; rows that are equal in
+    ``order`` share a range. ``df`` is read twice.
+    """
+    spark = df.sparkSession
+    parts = max(1, min(MOST_RANGES, n // RANGE_ROWS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 1_000_000)))
+    if parts == 1:
+        return df.withColumn(out, F.lit(0))
+    return df.repartitionByRange(parts, *[F.col(c).asc_nulls_last() for c in order]).withColumn(out, F.spark_partition_id())
 
 
 def offsets(sums: DataFrame, queue: list[str], block: str, value: str, out: str) -> DataFrame:
