@@ -11,11 +11,14 @@ last token); the END symbol closes a word with its word-end token.
 
 States and transitions are made when first met (lazy determinisation) and kept
 in dense tables, so that numpy runs many chunks of text in lockstep. Chunks
-are cut anywhere. A chunk that holds a word boundary maps every entry state to
-one exit state; its head, up to the boundary, is run once the exit of the
-chunk before it is known. That is the prefix scan over chunk state maps: maps
-with a boundary are constant and fix the entries of those after them at once,
-the others compose in order.
+are cut anywhere, and each has a map from entry state to exit state. A chunk
+that holds a word boundary has a constant map. Of others, which lie inside long
+words, the map is tabulated for the entries that can occur: the start state
+and the exits of the chunk before. The maps of all chunks are composed by a
+parallel prefix scan (doubling), which gives every chunk its entry; where an
+exit meets no tabulated entry, the tables grow by it and the scan is repeated.
+As states forget what lies far behind, that is seldom more than once. Then all
+heads and inner chunks are run at once from their entries.
 
 Splitting a text into words (Unicode letters, numbers, other runs, English
 contractions) is done before, by tables over code points; rare texts that such
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -34,12 +38,17 @@ import regex
 from .common import worker_cache
 
 CHUNK = 192
-#: Above so many states the tables are dropped and made anew, as lazy automata do.
-MOST_STATES = 400_000
+#: Above so many states the tables are dropped and made anew, as lazy automata do; a run stops at twice as many.
+MOST_STATES = 250_000
+#: Verdicts on pairs of tokens that are kept at most.
+MOST_FITS = 300_000
+#: Bytes that run at once, and characters of a text that are split at once; both end at white space or a word's end.
+SEGMENT, PART = 1 << 20, 1 << 20
 DEAD, START = 0, 1
 
 #: The pre-tokenizer's pattern of the vocabulary file.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+SPACES = regex.compile(r"\s")
 TAILS = ("s", "t", "m", "d", "re", "ve", "ll")
 SPACE, LETTER, NUMBER, OTHER, ODD, UNSEEN = 0, 1, 2, 3, 4, 5
 
@@ -66,6 +75,10 @@ def unpacked(key: bytes) -> tuple[bytes, list[tuple[int, int, int]]]:
     return key[1 + 5 * n :], [(c >> 16, (c >> 8 & 255) - 128, c & 255) for c in cells]
 
 
+class Full(Exception):
+    """The tables have outgrown twice ``MOST_STATES`` within a run."""
+
+
 class Transducer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -81,6 +94,8 @@ class Transducer:
         for a, b in model["merges"]:
             x, y, z = vocab[a], vocab[b], vocab[a + b]
             self.merged[x, y], self.left[z], self.right[z] = z, x, y
+        if max(vocab.values()) > 0xFFFF:
+            raise ValueError("the tables hold token ids of 16 bits")
         self.inner: dict[bytes, int] = {}
         self.closing: dict[bytes, int] = {}
         self.begins: set[bytes] = set()
@@ -88,15 +103,18 @@ class Transducer:
         for t, i in vocab.items():
             closes = t.endswith(end)
             body = bytes(back[c] for c in (t[: -len(end)] if closes else t))
+            if len(body) > 0xFF:
+                raise ValueError("the tables hold token lengths of 8 bits")
             (self.closing if closes else self.inner)[body] = i
             self.length[i] = len(body)
             self.begins.update(body[:k] for k in range(1, len(body) + closes))
-        self.fits: dict[int, bool] = {}
+        self.strict = True
         self.kind = np.full(0x110000, UNSEEN, np.uint8)
         self.low = np.arange(0x110000, dtype=np.uint32)
         self._empty()
 
     def _empty(self) -> None:
+        self.fits: dict[int, bool] = {}
         self.key: list[bytes] = [b"", packed(b"", [(NONE, 0, 0)])]
         self.known = {self.key[START]: START}
         self.width = 96
@@ -116,6 +134,8 @@ class Transducer:
         """Whether token a followed by token b stays so when their bytes are merged anew."""
         known = self.fits.get(a << 20 | b)
         if known is None:
+            if len(self.fits) >= MOST_FITS:
+                self.fits.clear()
             known = self.fits[a << 20 | b] = self._survives(a, b)
         return known
 
@@ -145,6 +165,8 @@ class Transducer:
         key = packed(tail, live)
         n = self.known.get(key)
         if n is None:
+            if self.strict and len(self.key) > 2 * MOST_STATES:
+                raise Full
             n = self.known[key] = len(self.key)
             self.key.append(key)
             if n >= len(self.next):
@@ -195,8 +217,6 @@ class Transducer:
 
         Returns the packed transition taken at each byte and the table cell it was read from.
         """
-        if len(self.key) > MOST_STATES:
-            self._empty()
         size = min(CHUNK, max(1, len(data)))
         lanes = max(1, -(-len(data) // size))
         pad = lanes * size - len(data)
@@ -204,7 +224,8 @@ class Transducer:
         cuts = np.pad(cut, (0, pad), constant_values=True).reshape(lanes, size)
         c = np.ascontiguousarray(cuts.T)
         v, cell = np.empty((size, lanes), np.int32), np.empty((size, lanes), np.int32)
-        state = np.where(c[0], START, DEAD).astype(np.int64)
+        constant = c.any(axis=0)
+        state = np.where(c[0] | ~constant, START, DEAD).astype(np.int64)
         for j in range(size):
             np.copyto(state, START, where=c[j])
             state *= self.width
@@ -212,27 +233,102 @@ class Transducer:
             cell[j] = state
             self._read(state, v[j])
             np.right_shift(v[j], 8, out=state)
-        constant = c.any(axis=0)
-        known = constant.copy()
-        waiting = np.flatnonzero(~c[0])
-        reach = np.where(constant, c.argmax(axis=0), size)  # where a head ends
-        while len(waiting):
-            ready = waiting[known[waiting - 1]]
-            live, s = ready, (v[-1, ready - 1] >> 8).astype(np.int64)
-            for j in range(size):
-                on = reach[live] > j
-                live, s = live[on], s[on]
-                if not len(live):
-                    break
-                at = s * self.width + k[j, live]
-                got = np.empty(len(at), np.int32)
-                self._read(at, got)
-                cell[j, live], v[j, live] = at, got
-                s = (got >> 8).astype(np.int64)
-            known[ready] = True
-            waiting = np.setdiff1d(waiting, ready, assume_unique=True)
+        entry = self._entries(k, constant, state)
+        live = np.flatnonzero(~c[0])
+        s, reach = entry[live], np.where(constant, c.argmax(axis=0), size)  # where a head ends
+        for j in range(size):
+            on = reach[live] > j
+            live, s = live[on], s[on]
+            if not len(live):
+                break
+            at = s * self.width + k[j, live]
+            got = np.empty(len(at), np.int32)
+            self._read(at, got)
+            cell[j, live], v[j, live] = at, got
+            s = (got >> 8).astype(np.int64)
         return v.T.reshape(-1)[: len(data)], cell.T.reshape(-1)[: len(data)]
 
+    def _entries(self, k: np.ndarray, constant: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Entry state of each chunk, from the composed maps of those before it.
+
+        ``out`` is the exit of each chunk: of a constant map for every entry, of the others for START.
+        """
+        lanes = len(out)
+        before = np.concatenate(([START], out[:-1]))
+        inner = np.flatnonzero(~constant)
+        if not len(inner):
+            return before
+        entry, exit_ = np.full((lanes, 1), START, np.int64), out[:, None].copy()
+        fresh = 1  # columns of the last round
+        while True:
+            n = entry.shape[1]
+            # column of a chunk's map -> column of the next one's; n stands for an entry that is not tabulated
+            step = np.full((lanes, n + 1), n, np.int64)
+            step[0] = 0
+            for r in range(n):
+                hit = exit_[:-1, r : r + 1] == entry[1:]
+                step[1:, r] = np.where(constant[1:], 0, np.where(hit.any(axis=1), hit.argmax(axis=1), n))
+            step[1:][constant[1:]] = 0
+            d = 1
+            while d < lanes:  # the prefix scan
+                step[d:] = np.take_along_axis(step[d:], step[:-d], axis=1)
+                d *= 2
+            column = step[:, 0]
+            unknown = inner[column[inner] == n]
+            if not len(unknown):
+                break
+            # the entry of the first unknown chunk of a word is sure; periodic words have it in later chunks too
+            lead = unknown[np.concatenate(([True], np.diff(unknown) > 1))]
+            sure = np.repeat(exit_[lead - 1, np.where(constant[lead - 1], 0, column[lead - 1])], np.diff(np.append(np.searchsorted(unknown, lead), len(unknown))))
+            new_entry, new_exit = [], []
+            for asked in (sure, *(exit_[unknown - 1, r] for r in range(n - fresh, n))):
+                tried = np.concatenate([entry[unknown], *(e[unknown, None] for e in new_entry)], axis=1)
+                todo = (asked >= 0) & ~(tried == asked[:, None]).any(axis=1)
+                if todo.any():
+                    e, x = np.full(lanes, -1, np.int64), np.full(lanes, -2, np.int64)
+                    who = unknown[todo]
+                    e[who], s = asked[todo], asked[todo]
+                    for j in range(len(k)):
+                        got = np.empty(len(who), np.int32)
+                        self._read(s * self.width + k[j, who], got)
+                        s = (got >> 8).astype(np.int64)
+                    x[who] = s
+                    new_entry.append(e)
+                    new_exit.append(np.where(constant, out, x))
+            entry, exit_ = np.column_stack([entry, *new_entry]), np.column_stack([exit_, *new_exit])
+            fresh = len(new_entry)
+        exits = np.where(constant, out, exit_[np.arange(lanes), column])
+        return np.concatenate(([START], exits[:-1]))
+
+    def runs(self, data: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``run`` over segments that end where a word does: (from, to, transitions, cells), valid until the next one.
+
+        Between segments the tables are dropped if they are too large; a segment that outgrows them is halved.
+        """
+        edges = np.append(np.flatnonzero(cut), len(data))
+        todo = [(0, len(data))] if len(data) else []
+        while todo:
+            a, b = todo.pop()
+            if b - a > SEGMENT:
+                mid = int(edges[np.searchsorted(edges, a + SEGMENT)])
+                if mid < b:
+                    todo.append((mid, b))
+                    b = mid
+            if len(self.key) > MOST_STATES:
+                self._empty()
+            try:
+                v, cell = self.run(data[a:b], cut[a:b])
+            except Full:
+                self._empty()
+                mid = int(edges[np.searchsorted(edges, (a + b) // 2)])
+                if mid < b and mid > a:
+                    todo += [(mid, b), (a, mid)]
+                    continue
+                self.strict = False  # one word
+                v, cell = self.run(data[a:b], cut[a:b])
+                self.strict = True
+            yield a, b, v, cell
+
     def _read(self, at: np.ndarray, out: np.ndarray) -> None:
         """Read cells of the table, compiling the transitions that are new."""
         np.take(self.next.reshape(-1), at, out=out, mode="clip")
@@ -242,9 +338,9 @@ class Transducer:
             np.take(self.next.reshape(-1), at, out=out, mode="clip")
 
     def _emitted(self, v: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        """Tokens by byte, those of a word's END with its last byte."""
+        """Tokens by byte of a segment, those of a word's END with its last byte."""
         out = (v & 255) - 128
-        before = np.flatnonzero(cut[1:])
+        before = np.append(np.flatnonzero(cut[1:]), len(v) - 1)
         out[before] += self.end_out[v[before] >> 8]
         return out
 
@@ -324,15 +420,34 @@ class Transducer:
                 found += WORDS.findall("".join(map(str.lower, unicodedata.normalize("NFC", part))))
         return found
 
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """A long text in parts that begin with white space: no word, mark or special string is cut."""
+        out, at = [], 0
+        while len(text) - at > PART:
+            m = SPACES.search(text, at + PART)
+            if m is None:
+                break
+            out.append(text[at : m.start()])
+            at = m.start()
+        return [*out, text[at:]]
+
     def counts(self, texts: list[str]) -> np.ndarray:
         """Number of tokens of each text."""
+        if any(len(t) > PART for t in texts):
+            return np.array([sum(int(self.counts_of([p])[0]) for p in self.parts(t)) for t in texts], np.int64)
+        return self.counts_of(texts)
+
+    def counts_of(self, texts: list[str]) -> np.ndarray:
         total = np.zeros(len(texts), np.int64)
         fast = [i for i, t in enumerate(texts) if not self.slow(t)]
         odd = sorted(set(range(len(texts))) - set(fast))
         if fast:
             data, cut, stop = self.split([texts[i] for i in fast])
-            v, _ = self.run(data, cut)
-            at = np.concatenate(([0], np.cumsum(self._emitted(v, cut), dtype=np.int64)))
+            made = np.zeros(len(data), np.int32)
+            for a, b, v, _ in self.runs(data, cut):
+                made[a:b] = self._emitted(v, cut[a:b])
+            at = np.concatenate(([0], np.cumsum(made, dtype=np.int64)))
             total[fast] = np.diff(at[np.concatenate(([0], stop))])
         if odd:
             for i, ids in zip(odd, self._slow_ids([texts[i] for i in odd]), strict=True):
@@ -341,6 +456,12 @@ class Transducer:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All token ids end to end, and the number of each text."""
+        if any(len(t) > PART for t in texts):
+            got = [np.concatenate([self.ids_of([p])[0] for p in self.parts(t)]) for t in texts]
+            return np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
+        return self.ids_of(texts)
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         fast = [i for i, t in enumerate(texts) if not self.slow(t)]
         odd = sorted(set(range(len(texts))) - set(fast))
         got, total = np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
@@ -363,14 +484,18 @@ class Transducer:
 
     def _ids(self, data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids end to end, and the number of tokens of each word with its last byte."""
-        v, cell = self.run(data, cut)
-        n = np.zeros(len(data), np.int64)
+        n, got = np.zeros(len(data), np.int64), [np.zeros(0, np.uint16)]
+        for a, b, v, cell in self.runs(data, cut):
+            got.append(self._segment_ids(cut[a:b], v, cell, n[a:b]))
+        return np.concatenate(got), n
+
+    def _segment_ids(self, cut: np.ndarray, v: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
         begin = np.flatnonzero(cut)
-        stop = begin[1:]
+        stop = np.append(begin[1:], len(cut))
         token = self.end_last[v[stop - 1] >> 8].astype(np.int64)
         words = np.flatnonzero(token)
         if not len(words):
-            return np.zeros(0, np.uint16), n
+            return np.zeros(0, np.uint16)
         begin, at, token = begin[words], stop[words], token[words]
         last, live = self.last.reshape(-1), np.arange(len(words))
         each, back = np.zeros(len(words), np.int64), []
@@ -387,7 +512,7 @@ class Transducer:
         for step, (who, token) in enumerate(back):
             got[place[who] - 1 - step] = token
         n[final] = each
-        return got, n
+        return got
 
     def _slow_ids(self, texts: list[str]) -> list[np.ndarray]:
         words = [self.plain_words(t) for t in texts]
