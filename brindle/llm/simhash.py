@@ -10,11 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, text_buffers, worker_cache
+from .common import join_hot, pieces, stored, text_buffers, worker_cache
 from .components import components
 from .textfeat import Piece
 
 LINK_BITS = 2
+#: Fingerprints a task sends to their anchors, about.
+NODES_A_TASK = 50_000
 #: Generator polynomial of the binary Golay code.
 GOLAY = 0b101011100011
 
@@ -92,7 +94,6 @@ class Cover:
             checks = self.checks(name, size)
             self.parts.append((shift, size, checks, self._patterns(size, checks, radius, threshold)))
             shift += size
-        self.ways: dict[tuple[int, ...], tuple[int, np.ndarray]] = {}
 
     @staticmethod
     def checks(name: str, size: int) -> np.ndarray:
@@ -194,14 +195,17 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, threshold: int = LINK_BITS
     Equal fingerprints are one node (combined before the shuffle), so copies are never paired; between different
     ones every link is found (``Cover``). Null, empty and blank texts have fingerprint 0 and are linked like any
     other; texts of fewer words than a shingle are one shingle; repeated rows share a component; an empty table
-    gives an empty result; other columns are not read.
+    gives an empty result; other columns are not read. A fingerprint of very many rows is joined back by broadcast.
     """
     rows = stored(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min(id_col).alias("id"))
-    nodes = stored(nodes.select("fp", F.struct(F.col("id").isNull().alias("no"), "id", "fp").alias("node")), "simhash-nodes")
-    pairs = links(nodes, threshold)
+    nodes = rows.groupBy("fp").agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("held"))
+    nodes = stored(nodes.select("fp", "held", F.struct(F.col("id").isNull().alias("no"), "id", "fp").alias("node")), "simhash-nodes")
+    total = rows.count()
+    # a fingerprint becomes about 80 rows, so a few rows of the small table are work for a task
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // NODES_A_TASK)
+    pairs = stored(links(nodes.select("fp").repartition(parts, "fp"), threshold), "simhash-links")
     edges = pairs.join(nodes.select(F.col("fp").alias("x"), F.col("node").alias("a")), "x").join(nodes.select(F.col("fp").alias("y"), F.col("node").alias("b")), "y").select("a", "b")
-    parts = components(edges).select(F.col("node.fp").alias("fp"), "component")
-    named = nodes.join(parts, "fp", "left").select("fp", F.coalesce("component", "node")["id"].alias("component_id"))
-    out = rows.join(named, "fp")
+    found = components(edges).select(F.col("node.fp").alias("fp"), "component")
+    named = nodes.join(found, "fp", "left").select("fp", "held", F.coalesce("component", "node")["id"].alias("component_id"))
+    out = join_hot(rows, stored(named, "simhash-named"), ["fp"], "held", total)
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
