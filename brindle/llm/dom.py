@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript template iframe noframes".split())
+#: Raw content that is code: left open, it runs to the end of the page.
+CODE = frozenset(("script", "style"))
 #: Content that is no text of the page whatever stands around it.
 UNSEEN = frozenset("script style template noscript iframe noframes title head".split())
 #: Tags that may stand in an open head; any other tag, or text, closes it.
@@ -25,8 +28,10 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 _P_SCOPE = frozenset("article aside body button div td th li main section header footer nav form table".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+#: In a tag a quote opens a value only after "="; elsewhere it is part of a name, and the tag ends at the next ">".
+_INSIDE = r"(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[^>=])*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})(?:>|\Z)", re.S)
+_ATTR = re.compile(r"""([^\s=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -53,14 +58,20 @@ def attribute_words(attrs: str) -> list[str]:
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     """Nodes in page order (the first is the root) and the stream (node, text | None): None marks a break of block."""
     root = Node("#root", "", -1, 0)
-    nodes, stack, tags = [root], [0], ["#root"]
+    nodes, stack, tags, opened = [root], [0], ["#root"], Counter()
     stream: list[tuple[int, str | None]] = []
     hidden, at, page_end, search = 0, 0, len(page), _TOKEN.search  # hidden: depth of the stack at which unseen content began
+
+    def cut(k: int) -> None:
+        for t in tags[k:]:
+            opened[t] -= 1
+        del stack[k:], tags[k:]
+
     while True:
         m = search(page, at)
         stop = m.start() if m else page_end
         if hidden and stop > at and not _SPACE.fullmatch(page, at, stop):
-            del stack[hidden:], tags[hidden:]
+            cut(hidden)
             hidden = 0
         if stop > at and not hidden:
             stream.append((stack[-1], page[at:stop]))
@@ -74,7 +85,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag in tags and tag != "#root":
+            if opened[tag]:
                 k = len(tags) - 1
                 while tags[k] != tag:
                     k -= 1
@@ -82,20 +93,20 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                     hidden = 0
                     if not BLOCK.isdisjoint(tags[k:]):
                         stream.append((stack[k - 1], None))
-                del stack[k:], tags[k:]
+                cut(k)
             continue
         if hidden and tag not in IN_HEAD:
-            del stack[hidden:], tags[hidden:]
+            cut(hidden)
             hidden = 0
         closes = CLOSES.get(tag)
         block = tag in BLOCK
-        if closes is None and block and "p" in tags:
+        if closes is None and block and opened["p"]:
             closes = ({"p"}, _P_SCOPE)
-        if closes:
+        if closes and any(opened[t] for t in closes[0]):
             for k in range(len(tags) - 1, 0, -1):
                 open_tag = tags[k]
                 if open_tag in closes[0]:
-                    del stack[k:], tags[k:]
+                    cut(k)
                     if open_tag not in ("td", "th") or tag != "tr":
                         break
                 elif open_tag in closes[1]:
@@ -115,6 +126,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             continue
         if tag in RAW:
             close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(page, at)
+            if close is None and tag not in CODE:
+                continue  # left open by mistake: it must not swallow the page
             end = close.start() if close else page_end
             if not hidden and tag not in UNSEEN:
                 stream.append((i, page[at:end]))
@@ -124,6 +137,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             continue
         stack.append(i)
         tags.append(tag)
+        opened[tag] += 1
         if not hidden and tag in UNSEEN:
             hidden = len(tags) - 1
     return nodes, stream
