@@ -15,6 +15,8 @@ from .textfeat import Piece, lowered, mix, segment_sum
 
 #: Documents of each language that the models are fitted on, about; hash buckets of the n-grams.
 FIT_DOCS, BUCKETS = 3000, 1 << 16
+#: Bytes of the model at most: with many languages its buckets are halved until it fits.
+MODEL_BYTES = 64 << 20
 #: EM rounds by language set, and the price of each further language: PRICE * ln(words) of log-likelihood.
 ROUNDS, PRICE = 6, 3.0
 #: n-gram lengths in bytes, with the space before and after the word.
@@ -28,7 +30,7 @@ def _piece(raw: np.ndarray, off: np.ndarray) -> Piece:
     return Piece(lowered(np.where(_LETTER[raw], raw, np.uint8(32))), off)
 
 
-def _grams(p: Piece) -> Iterator[tuple[np.ndarray, int]]:
+def _grams(p: Piece, buckets: int) -> Iterator[tuple[np.ndarray, int]]:
     """Bucket of the n-gram that begins at each byte, and n."""
     values = p.data.astype(np.uint64)
     values[p.data == 10] = 32
@@ -36,7 +38,15 @@ def _grams(p: Piece) -> Iterator[tuple[np.ndarray, int]]:
         h = np.zeros(len(values), np.uint64)
         for k in range(n):
             h[: len(values) - k] |= values[k:] << np.uint64(8 * k)
-        yield (mix(h + np.uint64(n)) >> np.uint64(48)).astype(np.int64), n
+        yield (mix(h + np.uint64(n)) >> np.uint64(65 - buckets.bit_length())).astype(np.int64), n
+
+
+def buckets_for(langs: int) -> int:
+    """Buckets a language has, a power of two, so that the model is at most ``MODEL_BYTES``."""
+    n = BUCKETS
+    while n > 256 and n * langs * len(ORDERS) * 4 > MODEL_BYTES:
+        n //= 2
+    return n
 
 
 @dataclass
@@ -48,7 +58,7 @@ class Model:
         """Log-likelihood of each word by language: the mean over orders of the sum over its n-grams."""
         size = len(p.data)
         total = np.zeros((len(p.ws), len(self.langs)))
-        for k, (at, n) in enumerate(_grams(p)):
+        for k, (at, n) in enumerate(_grams(p, self.log.shape[1])):
             begin = np.maximum(p.ws - 1, 0)
             stop = np.maximum(np.minimum(p.we + 2 - n, size), begin + 1)
             for x in range(len(self.langs)):
@@ -72,13 +82,18 @@ class Model:
         like = np.exp(ll - top)
         best = segment_sum(ll, p.words)
         order1 = best.argmax(axis=1) if m else np.zeros(p.n, int)
-        share = self._em(like, p, np.full((p.n, m), 1.0 / max(m, 1)), ROUNDS)[0]
-        rank = np.argsort(-share, axis=1, kind="stable")
         chosen = np.zeros((p.n, m))
         chosen[np.arange(p.n), order1] = full
         value = np.where(full, best[np.arange(p.n), order1] if m else 0, 0)
         base = segment_sum(top[:, 0], p.words)
-        growing, price = full.copy(), PRICE * np.log(np.maximum(p.words, 2))
+        price = PRICE * np.log(np.maximum(p.words, 2))
+        # no mixture is likelier than every word in its best language: where that gains too little, one language stays
+        growing = full & (base - value > price)
+        some = np.flatnonzero(growing)
+        share, rank = np.zeros((p.n, m)), np.zeros((p.n, m), np.int64)
+        if len(some):
+            share[some] = self._em(like[np.repeat(growing, p.words)], p, np.full((p.n, m), 1.0 / m), ROUNDS, some)[0]
+            rank[some] = np.argsort(-share[some], axis=1, kind="stable")
         for k in range(2, m + 1):
             rows = np.flatnonzero(growing)
             if not len(rows):
@@ -118,8 +133,10 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCS, id_col: str = "doc_id", t
     draw = F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = spoken.where(draw < odds[F.col("lang")]).select("lang", "text").repartition(8)
 
+    buckets = buckets_for(len(langs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), len(ORDERS), BUCKETS), np.int64)
+        total = np.zeros((len(langs), len(ORDERS), buckets), np.int64)
         for batch in batches:
             raw, off = text_buffers(batch.column(1))
             names = batch.column(0).to_pylist()
@@ -127,16 +144,16 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCS, id_col: str = "doc_id", t
                 p = _piece(raw, off[i : j + 1])
                 lang = np.repeat([langs.index(x) for x in names[i:j]], p.end - p.start + 1)
                 used = np.concatenate((~p.space[1:], [False])) | ~p.space  # begins in a word or just before one
-                for k, (at, _) in enumerate(_grams(p)):
+                for k, (at, _) in enumerate(_grams(p, buckets)):
                     for x in np.unique(lang):
-                        total[x, k] += np.bincount(at[used & (lang == x)], minlength=BUCKETS)
+                        total[x, k] += np.bincount(at[used & (lang == x)], minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array([t.tobytes() for t in total], pa.binary())], ["lang", "counts"])
 
     got = sample.mapInArrow(run, "lang string, counts binary").toLocalIterator()
-    total = np.zeros((len(langs), len(ORDERS), BUCKETS))
+    total = np.zeros((len(langs), len(ORDERS), buckets))
     for r in got:
-        total[langs.index(r["lang"])] += np.frombuffer(r["counts"], np.int64).reshape(len(ORDERS), BUCKETS)
-    log = np.log((total + 0.05) / (total.sum(axis=2, keepdims=True) + 0.05 * BUCKETS))
+        total[langs.index(r["lang"])] += np.frombuffer(r["counts"], np.int64).reshape(len(ORDERS), buckets)
+    log = np.log((total + 0.05) / (total.sum(axis=2, keepdims=True) + 0.05 * buckets))
     return Model(langs, np.ascontiguousarray(log.transpose(1, 2, 0)).astype(np.float32))
 
 
