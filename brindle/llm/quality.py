@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, pieces, text_buffers, worker_cache
+from .common import binary_values, fit_features, fit_sample, pieces, text_buffers, worker_cache
 from .textfeat import Piece, Rolling, mix, segment_sum
 
 #: Labelled rows that the model is fitted on at most, and weights by feature family.
@@ -156,12 +156,10 @@ def minimise(f, x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on ``rows`` labelled documents at most (those with the least hash of the id), a fifth of them to calibrate.
 
-    The features of the sample are made on the executors and brought to the driver: their number is bounded by
-    ``rows``, that of each text by the buckets. Without both labels the model keeps everything.
+    The features of the sample are made on the executors and brought to the driver: ``rows`` and ``FIT_BYTES`` bound
+    them. Without both labels the model keeps everything.
     """
-    picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    picked = picked.withColumn("order", F.xxhash64("id", F.lit("fit"))).orderBy("order", "id").limit(rows)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("y", "order", "text")
+    sample = fit_sample(docs, labels, label_col, rows, "fit", id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
                 val = [np.concatenate([np.zeros(0, np.float32), *(v for _, v in c)]).tobytes() for c in cells]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["y", "order", "idx", "val"])
 
-    got = sample.mapInArrow(run, "y int, order long, idx binary, val binary").toArrow().sort_by("order")
+    got = fit_features(sample.mapInArrow(run, "y int, order long, idx binary, val binary"))
     y = got.column("y").to_numpy().astype(np.float64)
     size = len(FAMILIES) * BUCKETS
     if not len(y) or y.min() == y.max():
@@ -267,4 +265,22 @@ def judge(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, id_col: str =
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
+def kept_rows(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``judge`` keeps: a map without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
+        for batch in batches:
+            raw, off = text_buffers(batch.column(at))
+            for i, j in pieces(off):
+                p = Piece(raw, off[i : j + 1])
+                c = base_counts(p)
+                good = (c["n_words"] >= 20) & (100 * c["n_repeat_words"] <= 30 * c["n_words"])
+                yield batch.slice(i, j - i).filter(pa.array(good & (sent.value.probability(p) >= keep_at)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, fold, pieces, text_buffers, worker_cache
+from .common import binary_values, fit_features, fit_sample, fold, pieces, text_buffers, worker_cache
 from .textfeat import Piece
 
 #: Labelled rows that the model is fitted on at most, bits of the hashed feature space.
@@ -65,11 +65,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     The caller leaves out the rows that must not be learnt from. Each different n-gram of a text is one binary
     feature. z and n are per coordinate, so frequent features slow down and rare ones keep learning; a weight is zero
     until |z| exceeds L1. The positive rows weigh as much as the negative ones up to a factor of 4. The sample goes
-    to the driver as hashed features, bounded by ``rows``.
+    to the driver as hashed features, bounded by ``rows`` and ``FIT_BYTES``.
     """
-    picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    picked = picked.withColumn("order", F.xxhash64("id", F.lit("toxic"))).orderBy("order", "id").limit(rows)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("y", "order", "text")
+    sample = fit_sample(docs, labels, label_col, rows, "toxic", id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
                 idx = [x.astype(np.int32).tobytes() for x in np.split(cell & ((1 << BITS) - 1), stop)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(idx, pa.binary())], ["y", "order", "idx"])
 
-    got = sample.mapInArrow(run, "y int, order long, idx binary").toArrow().sort_by("order")
+    got = fit_features(sample.mapInArrow(run, "y int, order long, idx binary"))
     y = got.column("y").to_numpy()
     if not len(y) or y.min() == y.max():
         return Weights(np.zeros(1 << BITS), -20.0 if not len(y) or not y.max() else 20.0)
