@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from brindle.llm import components, exact_dedup, html_extract, langid, mixing, packing, quality, simhash, token_counts, toxicity, warc
 from brindle.llm.bpe_fst import Transducer
 from brindle.llm.dom import blocks, parse
+from brindle.llm.textfeat import Piece
 
 P = pytest.importorskip("public_tokenizers")
 VOCABULARY = P.path("word_bpe_49k.json")
@@ -88,9 +89,10 @@ def test_token_counts(spark, library):
 
 
 def test_packing(spark, library):
-    rows = [x for x in sample_rows() if x[0] != 106]
+    rows = sample_rows() + [(None, "no id here", "s1"), (None, "no id here", "s1")]
     out = packing.pack(docs_of(spark, rows), VOCABULARY, length=64, window_sequences=4).collect()
     ids = {i: library.encode(t or "", add_special_tokens=False).ids + [2] for i, t, _ in rows}
+    times = Counter(i for i, _, _ in rows)
     covered = defaultdict(list)
     sequences = defaultdict(list)
     for r in out:
@@ -98,12 +100,9 @@ def test_packing(spark, library):
         assert r.ids_crc32 == zlib.crc32(part.tobytes()) and r.doc_tokens == len(ids[r.doc_id])
         covered[r.doc_id].append((r.start, r.length))
         sequences[r.sequence_id].append((r.offset, r.length))
-    for i, parts in covered.items():
-        at = 0
-        for start, n in sorted(parts):
-            assert start == at and n > 0
-            at += n
-        assert at == len(ids[i])
+    for i, parts in covered.items():  # each token as often as the row is there
+        assert all(n > 0 for _, n in parts)
+        assert Counter(k for start, n in parts for k in range(start, start + n)) == Counter(dict.fromkeys(range(len(ids[i])), times[i]))
     assert set(covered) == set(ids)
     for parts in sequences.values():
         at = 0
@@ -122,6 +121,34 @@ def test_windows_keep_the_proportions(spark):
         assert 0.15 < r.small / (r.big + r.small) < 0.35
 
 
+def test_packing_to_targets(spark, library):
+    """In every window while its queue lasts a source has its target to within a document; all tokens are packed."""
+    r = random.Random(5)
+    rows = [(i, "word " * r.randint(5, 60), s) for i, s in enumerate(["a"] * 300 + ["b"] * 300 + [None] * 150 + ["c"] * 40)]
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids) + 1
+    held, most = Counter(), max(size(t) for _, t, _ in rows)
+    for _, t, s in rows:
+        held[s] += size(t)
+    for targets in ({"a": 0.6, "b": 0.3}, {"b": 0.5, None: 0.5}, None):
+        out = packing.pack(docs_of(spark, rows), VOCABULARY, length=64, window_sequences=32, targets=targets).collect()
+        assert sum(x.length for x in out) == sum(held.values())
+        by = defaultdict(Counter)
+        for x in out:
+            by[x.window][x.source] += x.length
+        quantum = {s: w * 64 * 32 for s, w in targets.items()} if targets else {s: n / len(by) for s, n in held.items()}
+        dry, done = False, Counter()
+        for k, w in enumerate(sorted(by)):
+            done.update(by[w])
+            dry = dry or any(done[s] >= held[s] - most for s in held)
+            if dry:
+                break
+            for s in quantum:
+                assert -most < done[s] - quantum[s] * (k + 1) <= 1, (targets, s, k)
+        assert k > 3
+    with pytest.raises(ValueError):
+        packing.pack(docs_of(spark, rows), VOCABULARY, targets={"a": 0.8, "b": 0.4})
+
+
 # -- mixing --------------------------------------------------------------
 
 
@@ -159,32 +186,109 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs_of(spark, [])).count() == 0
 
 
+def test_mixing_agrees_in_any_layout(spark):
+    """Null and repeated ids, equal rows, other partitions: the same rows are taken; whole rows are repeated alike."""
+    r = random.Random(3)
+    rows = [(None, " ".join(r.choices("abcdef", k=r.randint(1, 60))), "s") for _ in range(80)]
+    rows += [(1, " ".join(r.choices("abcdef", k=r.randint(1, 60))), "s") for _ in range(40)] + [(2, "x y z", "t")] * 90 + [(3, "w " * 9, "t")] * 10
+    runs = []
+    for k in (1, 7):
+        r.shuffle(rows)
+        docs = docs_of(spark, rows).repartition(k)
+        out = mixing.mix_sources(docs).collect()
+        taken = sum(x.taken for x in out if x.source == "t")
+        assert abs(taken - next(x.target for x in out if x.source == "t")) <= 9
+        runs.append(Counter((x.doc_id, x.size, x.taken) for x in out))
+        whole = Counter((x.doc_id, len(WORD.findall(x.text))) for x in mixing.mixed(docs).collect())
+        want = Counter()
+        for x in out:
+            want[x.doc_id, x.size] += x.copies
+        assert whole == +want
+    assert runs[0] == runs[1]
+
+
+def test_mixing_draws_unequal_probabilities(spark):
+    """Over seeds a document's copies are about those expected of its size and source, and ranks follow the odds."""
+    rows = [(k, "w " * (3 if k % 2 else 300), "a") for k in range(120)] + [(200 + k, "w " * 50, "b") for k in range(100)]
+    docs = docs_of(spark, rows)
+    copies, n = Counter(), 25
+    for seed in range(n):
+        out = mixing.mix_sources(docs, weights=(1, 1), share=0.7, seed=seed).collect()
+        for x in out:
+            copies[x.source, x.size] += x.copies
+        for s in "ab":  # those in are before those out
+            ranked = sorted((x.rank_odds, x.copies - min(y.copies for y in out if (y.source, y.size) == (s, x.size))) for x in out if x.source == s)
+            taken = [c > 0 for _, c in ranked]
+            assert taken == sorted(taken, reverse=True)
+    size, target = {"a": 60 * 303.0, "b": 5000.0}, out[0].target
+    goal = {x.source: x.target for x in out}
+    level = goal["a"] / (60 * (3 * 10 + 300 * 17))
+    for s, k, expected in (("a", 3, level * 10), ("a", 300, level * 17), ("b", 50, goal["b"] / size["b"])):
+        mean = copies[s, k] / (n * sum(1 for _, t, x in rows if x == s and len(t) // 2 == k))
+        assert abs(mean - expected) < 0.06, (s, k, mean, expected, target)
+
+
 # -- exact duplicates ----------------------------------------------------
 
 
-def test_exact_dedup(spark):
-    rows = sample_rows()
-    for capacity in (4096, 3):
-        out = exact_dedup.exact_dedup(docs_of(spark, rows), capacity=capacity).collect()
-        groups = defaultdict(list)
-        for i, t, _ in rows:
-            groups["".join(c for c in t or "" if c not in " \t\n\r\x0b\x0c")].append((-len(t or ""), i))
-        want = Counter()
-        for norm, members in groups.items():
-            keep = min(members)[1]
-            for _, i in members:
-                want[i, keep, len(members), i == keep, hashlib.sha256(norm.encode()).hexdigest()] += 1
-        assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in out) == want
-    assert exact_dedup.exact_dedup(docs_of(spark, [])).count() == 0
+def squeezed(text):
+    return "".join(c for c in text or "" if c not in " \t\n\r\x0b\x0c")
+
+
+def brute_groups(rows):
+    """(id, keep, size, kept, sha) with exactly one kept row a group."""
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[squeezed(t)].append((-len(t or ""), i is None, i or 0, i))
+    want = Counter()
+    for norm, members in groups.items():
+        members.sort(key=lambda m: m[:3])
+        for k, m in enumerate(members):
+            want[m[3], members[0][3], len(members), k == 0, hashlib.sha256(norm.encode()).hexdigest()] += 1
+    return want
+
+
+ODD_ROWS = [(5, "a b c", "s"), (5, "abc", "s"), (6, "a bc", "s"), (None, "a  b  c", "s"), (None, "q", "s"), (None, "q", "s"), (7, "q", None), (None, None, None), (None, "", None)]
+
+
+@pytest.mark.parametrize(("capacity", "key"), [(1024, None), (3, "length"), (1, "one")])
+def test_exact_dedup(spark, capacity, key):
+    """Also with keys that collide (chains), share long prefixes (pages) or are hot, and with null and repeated ids."""
+    keys = {None: F.xxhash64, "length": lambda c: F.length(c).cast("long"), "one": lambda c: F.lit(-7).cast("long")}
+    rows = sample_rows() + ODD_ROWS
+    docs = docs_of(spark, rows)
+    out = exact_dedup.exact_dedup(docs, capacity=capacity, key=keys[key]).collect()
+    want = brute_groups(rows)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in out) == want
+    chains = defaultdict(set)
+    for r in out:
+        chains[r.text_sha256].add((r.bucket, r.chain))
+    assert all(len(c) == 1 for c in chains.values())
+    if key == "one":  # one chain holds all texts
+        assert {c for x in chains.values() for _, c in x} == set(range(1, len(chains) + 1))
+    kept = exact_dedup.distinct_rows(docs, capacity=capacity, key=keys[key])
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, squeezed(r.text)) for r in kept.collect()) == Counter((x[1], n) for n in {squeezed(t) for _, t, *_ in rows} for x in want if x[3] and x[4] == hashlib.sha256(n.encode()).hexdigest())
+
+
+def test_exact_dedup_of_nothing(spark):
+    assert exact_dedup.exact_dedup(docs_of(spark, [])).count() == 0 and exact_dedup.distinct_rows(docs_of(spark, [])).count() == 0
 
 
 def test_directory_splits_overfull_buckets(spark):
-    keys = spark.range(1000).select((F.col("id") % 16).cast("int").alias("prefix"))
+    keys = spark.range(1000).select((F.col("id") % 16).cast("int").alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
     leaves = exact_dedup.directory(keys, 4, 130).collect()
-    assert len(leaves) == 16 and {r.depth for r in leaves} == {3}
+    assert len(leaves) == 16 and {r.depth for r in leaves} == {3} and all(r.held <= 130 for r in leaves)
     assert all(r.bucket == r.prefix >> 1 << 1 for r in leaves)
 
 
+def test_owners_hold_ranges_of_buckets(spark):
+    index = exact_dedup.build(spark.range(5000).select(F.xxhash64("id").alias("key")), 100)
+    rows = index.entries.orderBy("bucket").collect()
+    assert [r.owner for r in rows] == sorted(r.owner for r in rows) and len({r.owner for r in rows}) == index.owners
+    assert not index.any_hot and all(r.pages == 1 for r in rows)
+
+
 # -- near duplicates -----------------------------------------------------
 
 
@@ -285,6 +389,88 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs_of(spark, []), labels).count() == 0
 
 
+def test_toxicity_by_plain_ftrl():
+    """The batch form against the published update, feature by feature."""
+    r = np.random.default_rng(3)
+    rows = [np.unique(r.integers(0, 300, 12)).astype(np.int32) for _ in range(400)]
+    y = np.array([int(np.isin([3, 50, 70], x).any()) for x in rows])
+    got = toxicity.ftrl(rows, y, alpha=0.5, l1=2.0, l2=1.0, passes=2)
+    l1, weight = 2.0 * (400 / 8000) ** 0.5, min(4.0, (400 - y.sum()) / y.sum())
+    z, n, bz, bn = defaultdict(float), defaultdict(float), 0.0, 0.0
+
+    def w(i):
+        return 0.0 if abs(z[i]) <= l1 else (np.sign(z[i]) * l1 - z[i]) / ((1.0 + n[i] ** 0.5) / 0.5 + 1.0)
+
+    for _ in range(2):
+        for x, goal in zip(rows, y.tolist(), strict=True):
+            bias = -bz / ((1.0 + bn**0.5) / 0.5)
+            g = (1 / (1 + np.exp(-(sum(w(i) for i in x.tolist()) + bias))) - goal) * (weight if goal else 1.0)
+            if abs(g) < 1e-4:
+                continue
+            for i in x.tolist():
+                old, s = w(i), ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5
+                z[i], n[i] = z[i] + g - s * old, n[i] + g * g
+            bz += g - ((bn + g * g) ** 0.5 - bn**0.5) / 0.5 * bias
+            bn += g * g
+    want = {i: w(i) for i in z if abs(w(i)) > 0}
+    assert set(got.at.tolist()) == set(want)
+    assert all(abs(want[i] - v) < 1e-6 for i, v in zip(got.at.tolist(), got.value.tolist(), strict=True))
+    text = ["bad word here bad word", "", "nothing"]
+    dense = np.zeros(1 << toxicity.BITS, np.float32)
+    p = Piece(*_buffers(text))
+    at, doc = toxicity.grams(p)
+    dense[at[doc == 0][:2]] = 0.7
+    each = [sum(dense[b] for b in set(at[doc == k].tolist())) for k in range(3)]
+    assert np.allclose(toxicity.Weights.score(p, dense, -0.2), 1 / (1 + np.exp(-(np.array(each) - 0.2))))
+
+
+def _buffers(texts):
+    raw = "".join(texts).encode()
+    return np.frombuffer(raw, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+
+
+def test_language_by_plain_em(spark):
+    """Sets and proportions against expectation-maximisation word by word, with the same likelihoods and penalty."""
+    r = random.Random(16)
+    parts = {"aa": ["thing", "with", "shore"], "bb": ["schnee", "nicht", "wald"], "cc": ["quelle", "avec", "beau"]}
+    say = lambda k, n: " ".join(r.choice(parts[k]) for _ in range(n))
+    docs = spark.createDataFrame([(i, say(k, 30), k, "s", 1) for i in range(90) for k in [list(parts)[i % 3]]], DOCS)
+    model = langid.fit(docs)
+    texts = [say("aa", 40), say("aa", 20) + " " + say("bb", 30), " ".join(say(k, 25) for k in parts), "", "12 !", say("cc", 1), say("bb", 50) + " " + say("aa", 2)]
+    p = langid._piece(*_buffers(texts))
+    share, used = model.infer(p)
+    ll = model.words(p)
+
+    def em(like, start, rounds):
+        s = start
+        for _ in range(rounds):
+            s = np.mean([like_w * s / ((like_w * s).sum() + 1e-300) for like_w in like], axis=0)
+        return s, sum(np.log((like_w * s).sum() + 1e-300) for like_w in like)
+
+    for d in range(len(texts)):
+        mine = ll[p.doc == d]
+        if not len(mine):
+            assert not used[d].any()
+            continue
+        like, top = np.exp(mine - mine.max(axis=1, keepdims=True)), mine.max(axis=1).sum()
+        best = mine.sum(axis=0)
+        want, value = np.eye(3)[best.argmax()], best.max()
+        first, _ = em(like, np.full(3, 1 / 3), langid.ROUNDS)
+        for k in (2, 3):
+            start = np.zeros(3)
+            for x in np.argsort(-first, kind="stable")[:k]:
+                start[x] = first[x] + 1e-3
+            got, gain = em(like, start / start.sum(), 3)
+            if gain + top <= value + langid.PRICE * np.log(max(len(mine), 2)):
+                break
+            want, value = got, gain + top
+        assert np.allclose(share[d], want, atol=1e-9), texts[d]
+
+
+def test_language_model_is_bounded():
+    assert langid.buckets_for(4) == langid.BUCKETS and langid.buckets_for(5000) * 5000 * 12 <= langid.MODEL_BYTES
+
+
 def test_language(spark):
     r = random.Random(6)
     parts = {"aa": ["thing", "with", "shore", "other", "and"], "bb": ["schnee", "und", "nicht", "wald", "grau"], "cc": ["était", "quelle", "une", "avec", "beau"]}
@@ -347,6 +533,47 @@ def test_dom_head_without_end():
     assert blocks(parse("<head><title>t</title> <!-- x --> <meta name=y></head>z")[1]) == ["z"]
 
 
+def test_dom_odd_markup():
+    assert blocks(parse("<p it's>Hello one</p><p>don't go</p><p>third</p>")[1]) == ["Hello one", "don't go", "third"]
+    assert blocks(parse("<p title='a > b' x=\"c > d\" y = e'f>one</p><p a=\">two</p>")[1]) == ["one", "two"]
+    assert blocks(parse("<p>a</p><iframe src=x><p>b</p>")[1]) == ["a", "b"]
+    assert blocks(parse("<p>a</p><noscript><p>b</p></noscript><p>c</p><script>d")[1]) == ["a", "c"]
+    assert html_extract.attribute_words(" class='main Box' it's id=left-col data-x=\"ad\"") == ["main", "box", "left", "col"]
+
+
+def test_dom_is_linear():
+    import time
+
+    start = time.time()
+    for page in ("<span>" * 40000 + "x", "<p>" + "<i>" * 20000 + "</b>" * 20000, "<a b=\"" * 20000, "<p " + "='x" * 20000, "<iframe>" * 300 + "x" * 10**5):
+        parse(page)
+    assert time.time() - start < 20
+
+
+def test_trees_and_decoding_by_brute_force():
+    """Scores node by node and tree by tree, and a decoding that multiplies probabilities along each path."""
+    r, trees = random.Random(70), html_extract.model()
+    for _ in range(5):
+        nodes, stream = parse(html_extract.made_page(r))
+        x = html_extract.node_features(nodes, stream)
+        kept = []
+        for i, row in enumerate(x):
+            z = trees.bias
+            for splits, value in trees.trees:
+                leaf = 0
+                for choice in splits:
+                    f, cut = int(choice[leaf, 0]), int(choice[leaf, 1])
+                    leaf = 2 * leaf + (cut < len(trees.edges[f]) and row[f] > trees.edges[f][cut])
+                z += value[leaf]
+            assert abs(z - trees.score(x)[i]) < 1e-9
+            p, at = 1.0, i
+            while at > 0:
+                p *= 1 / (1 + np.exp(-trees.score(x)[at]))
+                at = nodes[at].parent
+            kept.append(p >= 0.5)
+        assert html_extract.decode(nodes, trees.score(x).tolist()) == kept
+
+
 def test_main_text_without_head_end(spark):
     r = random.Random(78)
     pages = [p for p in (html_extract.made_page(r) for _ in range(30)) if "</head>" in p]
@@ -373,27 +600,102 @@ def test_main_text(spark):
         assert out[i].n_chars == len(out[i].text)
     assert same >= 45
     assert out[98].text == out[99].text == ""
+    assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_warc(spark, tmp_path):
-    rows = [(3, "http://a", "<p>x</p>"), (1, "http://a\r\nb", "<p>x</p>"), (2, None, None), (5, "u", ""), (4, "u", "é" * 5000), (4, "u", "é" * 5000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+WARC_ROWS = [(3, "http://a", "<p>x</p>"), (1, "http://a\r\nb", "<p>x</p>"), (2, None, None), (5, "u", ""), (4, "u", "é" * 5000), (4, "u", "é" * 5000), (1, "again", "<p>x</p>"), (None, "n", "<p>x</p>"), (None, "n", "q"), (None, "n", "q")]
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_warc(spark, tmp_path, monkeypatch, hot):
+    """One response a payload, also where the smallest id repeats or is null, or the payload is hot."""
+    monkeypatch.setattr(warc, "HOT_ROWS", hot)
+    monkeypatch.setattr(warc, "MOST_HOT", 10**6)
+    pages = spark.createDataFrame(WARC_ROWS, "page_id long, url string, html string")
     got = warc.digests(warc.archive(pages, f"file://{tmp_path}/a"))
-    first = {}
-    for i, _, h in sorted(rows):
-        first.setdefault(h or "", i)
+    groups = defaultdict(list)
+    for i, _, h in WARC_ROWS:
+        groups[h or ""].append(i)
     want = Counter()
-    for i, _, h in rows:
-        raw = (h or "").encode()
-        other = first[h or ""]
-        want[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if other == i else "revisit", None if other == i else other] += 1
+    for h, ids in groups.items():
+        ids.sort(key=lambda i: (i is None, i or 0))
+        raw = h.encode()
+        for k, i in enumerate(ids):
+            want[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if k else "response", ids[0] if k else None] += 1
     assert Counter(tuple(r) for r in got.collect()) == want
-    read = spark.read.format("warc").load(f"file://{tmp_path}/a")
-    assert read.where("record_type = 'revisit'").count() == 2
-    assert bytes(read.where("record_id = '<urn:page:4>'").first().payload) == ("é" * 5000).encode()
-    small = warc.digests(warc.archive(pages, f"file://{tmp_path}/b", least_bytes=9))
-    assert small.where("record_type = 'revisit'").count() == 0
+    read = lambda: spark.read.format("warc").load(f"file://{tmp_path}/a")
+    assert read().where("record_type = 'revisit'").count() == len(WARC_ROWS) - len(groups)
+    assert bytes(read().where("record_id = '<urn:page:4>' AND record_type = 'response'").first().payload) == ("é" * 5000).encode()
+    assert read().where("payload_ok").count() == len(groups) and read().where("NOT payload_ok").count() == 0
+    small = warc.digests(warc.archive(pages, f"file://{tmp_path}/b", least_bytes=9)).collect()
+    assert [r.record_type for r in small].count("revisit") == 1 and len(small) == len(WARC_ROWS)
     assert warc.archive(pages.where("false"), f"file://{tmp_path}/c").count() == 0
+    again = warc.to_records(pages.where("page_id = 2"))
+    for n in (len(WARC_ROWS) + 1, len(WARC_ROWS) + 2):
+        again.write.format("warc").mode("append").save(f"file://{tmp_path}/a")
+        assert spark.read.format("warc").load(f"file://{tmp_path}/a").count() == n
+    for _ in range(2):
+        again.write.format("warc").mode("overwrite").save(f"file://{tmp_path}/a")
+        assert spark.read.format("warc").load(f"file://{tmp_path}/a").count() == 1
+    assert len(list((tmp_path / "a").glob("*.warc.gz"))) == 1
+
+
+def ordinary_records():
+    """Records as crawlers write them: other types, HTTP without a length, a folded header, a chunked body."""
+
+    def record(kind, block, **headers):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", *(f"{k.replace('_', '-')}: {v}" for k, v in headers.items()), f"Content-Length: {len(block)}"]
+        return "\r\n".join([*lines, "", ""]).encode() + block + b"\r\n\r\n"
+
+    html = b"<p>" + bytes(random.Random(1).choices(range(256), k=300_000)) + b"</p>"
+    return [
+        record("warcinfo", b"software: x\r\nformat: WARC\r\n", WARC_Record_ID="<urn:1>", Content_Type="application/warc-fields"),
+        record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", WARC_Record_ID="<urn:2>", WARC_Target_URI="http://a/", Content_Type="application/http; msgtype=request"),
+        record("response", b"HTTP/1.1 200 OK\r\nServer: y\r\n\r\n" + html, WARC_Record_ID="<urn:3>", WARC_Target_URI="http://a/", Content_Type="application/http; msgtype=response", WARC_Payload_Digest="sha1:" + warc.digest_of(html)),
+        record("metadata", b"fetchTimeMs: 3\r\n", WARC_Record_ID="<urn:4>\r\n  folded", Content_Type="application/warc-fields"),
+        record("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n1\r\nx\r\n0\r\n\r\n", WARC_Record_ID="<urn:5>", Content_Type="application/http", WARC_Payload_Digest="sha1:" + warc.digest_of(b"x")),
+        record("response", b"HTTP/1.1 200 OK\r\n\r\nbad", WARC_Record_ID="<urn:6>", Content_Type="application/http", WARC_Payload_Digest="sha1:" + warc.digest_of(b"good")),
+        record("resource", b"", WARC_Record_ID="<urn:7>", WARC_Target_URI="file:///e"),
+    ], html
+
+
+def test_ordinary_warc_files(spark, tmp_path):
+    import gzip
+
+    records, html = ordinary_records()
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "in" / "deep" / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "in" / "c.warc.gz").write_bytes(gzip.compress(b"".join(records)))  # one member holds all
+    (tmp_path / "in" / "notes.txt").write_text("no archive")
+    warc.register(spark)
+    got = spark.read.format("warc").load(f"file://{tmp_path}/in")
+    out = got.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.first("record_type").alias("type"), F.first("payload_bytes").alias("size"), F.first("payload").alias("payload"), F.first("payload_ok").alias("ok"), F.countDistinct("payload").alias("same"))
+    by = {r.record_id: r for r in out.collect()}
+    assert all(r.n == 3 and r.same == 1 for r in by.values()) and len(by) == 7
+    assert [by[f"<urn:{k}>"].type for k in (1, 2, 3, 5, 7)] == ["warcinfo", "request", "response", "response", "resource"] and by["<urn:4> folded"].type == "metadata"
+    assert bytes(by["<urn:3>"].payload) == html and by["<urn:3>"].ok and by["<urn:3>"].size == len(html)
+    assert by["<urn:5>"].ok is None and by["<urn:6>"].ok is False and by["<urn:7>"].size == 0 and bytes(by["<urn:1>"].payload).startswith(b"software")
+    assert spark.read.format("warc").load(f"file://{tmp_path}/in/a.warc").where("record_type = 'response' AND target_uri LIKE 'http%'").count() == 1
+    assert spark.read.format("warc").load(f"file://{tmp_path}/in").where("record_type = 'nothing'").count() == 0
+    (tmp_path / "in" / "bad.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nx")
+    with pytest.raises(Exception, match="Content-Length"):
+        spark.read.format("warc").load(f"file://{tmp_path}/in/bad.warc").count()
+
+
+def test_warc_bytes_made_for_skipped_payloads(tmp_path):
+    """Of unwanted payloads nothing is read in plain files and in members that tell their length."""
+    import gzip
+    import io
+
+    records, html = ordinary_records()
+    reader = warc.WarcReader({"path": "x"})
+    reader.want = [("in", "record_type", ("metadata",))]
+    own = b"".join(warc.encode_record({"WARC-Type": "response"}, html, len(html)) for _ in range(5))
+    for data, found, most in ((b"".join(records), 1, 150_000), (own, 0, 5 * 40_000), (b"".join(map(gzip.compress, records)), 1, 10**6)):
+        assert len(list(reader.records(io.BytesIO(data), 0, -1))) == found
+        assert reader.stream.made < most
+    assert len(own) > 5 * 250_000
 
 
 def test_warc_reader_skips_by_header():
@@ -493,17 +795,3 @@ def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
     assert set(mixed) <= set(texts["simhash_near_dedup"]) and max(mixed.values()) <= 2
     assert any(x[0] is None for x in mixed) and any(x[0] == 7000 for x in mixed)
     assert now.where("doc_id is null").count() > 0
-
-
-def test_pipeline_row_names(spark, tmp_path):
-    import corpus_pipeline
-
-    spark.range(100).select((F.col("id") % 3).alias("doc_id"), F.lit("t").alias("text")).write.parquet(f"{tmp_path}/d")
-    scan = spark.read.parquet(f"{tmp_path}/d")
-    twice = scan.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
-    made = spark.createDataFrame([(None, "t"), (None, "t")], "doc_id long, text string")
-    assert corpus_pipeline._is_scan(scan.where("doc_id > 0").select("text")) and not corpus_pipeline._is_scan(twice)
-    for docs, n in ((scan, 100), (scan.where("doc_id = 1"), 33), (twice, 200), (scan.unionByName(scan), 200), (made, 2)):
-        rows = corpus_pipeline._named(docs, "test")
-        first, again = ({r[0] for r in rows.select(corpus_pipeline.ROW).collect()} for _ in range(2))
-        assert first == again and len(first) == n
