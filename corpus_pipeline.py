@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,74 +13,43 @@ from brindle.llm.queries import vocabulary
 from brindle.shipping import ensure_importable
 
 
-#: Name of a row in its stage, and the key that orders rows by doc_id (null last), then by that name.
-ROW, KEY = "_pipeline_row", "_pipeline_key"
-
-
-def _is_scan(docs: DataFrame) -> bool:
-    """Whether each row of ``docs`` is one row of a file: a scan of files, at most projected and filtered."""
-    plan = docs._jdf.queryExecution().analyzed()
-    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
-        plan = plan.children().head()
-    return plan.nodeName() == "LogicalRelation" and "_metadata" not in docs.columns
-
-
-def _named(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with ``ROW``, the same at every read: ids may be null or repeated.
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and the model keep: one map over the rows, so null and repeated ids are rows like others.
 
-    A row of a file is named by its place in it, which is stored already. Other rows are numbered and stored once.
+    Null and empty texts go. Without labels of both kinds only the rules judge.
     """
-    if _is_scan(docs):
-        try:
-            return docs.select("*", F.concat_ws(":", F.col("_metadata.row_index"), F.col("_metadata.file_path")).alias(ROW))
-        except AnalysisException:  # the format has no row numbers
-            pass
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id().cast("string")), f"pipeline-rows-{name}")
-
-
-def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn(KEY, F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col(ROW).alias("row")))
-
-
-def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``rows`` whose name is among those of ``kept``, without the name."""
-    return rows.join(kept.select(ROW), ROW, "left_semi").drop(ROW)
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the model keep."""
     ensure_importable(spark)
-    rows = _named(docs, "quality")
-    model = quality.fit(rows, table(spark, sf_dir, "labels"))
-    return _only(rows, quality.judge(rows, model, id_col=ROW).where("kept"))
+    return quality.kept_rows(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, also where rows repeat an id or have none."""
+    """One row of each group of equal texts, also where rows repeat an id or have none (those stay last)."""
     ensure_importable(spark)
-    rows = _named(docs, "exact")
-    found = exact_dedup.exact_dedup(_keyed(rows), id_col=KEY).where("kept")
-    return _only(rows, found.select(F.col(KEY)["row"].alias(ROW)))
+    return exact_dedup.distinct_rows(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row (that of the smallest id, null last) of each component of linked fingerprints."""
+    """One row (that of the smallest id, null last) of each component of linked fingerprints.
+
+    Rows are numbered and stored once, so the decisions meet rows, not ids: null and repeated ids are rows like others.
+    """
     ensure_importable(spark)
-    rows = _named(docs, "near")
-    found = simhash.simhash_groups(_keyed(rows), id_col=KEY)
-    return _only(rows, found.where(F.col(KEY)["row"] == F.col("component_id")["row"]).select(F.col(KEY)["row"].alias(ROW)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = stored(docs.select(whole, F.monotonically_increasing_id().alias("row")), "pipeline-near")
+    key = F.struct(F.col("whole.doc_id").isNull().alias("no"), F.col("whole.doc_id").alias("id"), F.col("row"))
+    found = simhash.simhash_groups(rows.select(key.alias("key"), F.col("whole.text").alias("text")), id_col="key")
+    kept = found.where(F.col("key.row") == F.col("component_id.row")).select("key.row")
+    return rows.join(kept, "row", "left_semi").select("whole.*")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it."""
+    """Each row as often as the mix takes it: twice at most; none of those without a word."""
     ensure_importable(spark)
-    rows = _named(docs, "mix")
-    taken = mixing.mix_sources(rows, key_col=ROW).where("copies > 0").select(ROW, F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_mix_copies"))
-    return rows.join(taken, ROW).select(*docs.columns, F.explode("_mix_copies").alias("_mix_copy")).drop("_mix_copy")
+    return mixing.mixed(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
+    """Pieces of the documents in sequences; each row is packed, whatever its id."""
     ensure_importable(spark)
     return packing.pack(docs, vocabulary())
 
