@@ -216,6 +216,15 @@ def encode_png(width: int, height: int, rgba: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def encode_tiff(width: int, height: int, rgba: bytes) -> bytes:
+    """One uncompressed strip of eight-bit RGBA with straight alpha, little-endian."""
+    body = _pixels(width, height, rgba).tobytes()
+    short, long = 3, 4
+    deep = 8 + 2 + 11 * 12 + 4  # the four sample depths follow the directory, the strip follows them
+    tags = ((256, long, 1, width), (257, long, 1, height), (258, short, 4, deep), (259, short, 1, 1), (262, short, 1, 2), (273, long, 1, deep + 8), (277, short, 1, 4), (278, long, 1, height), (279, long, 1, len(body)), (284, short, 1, 1), (338, short, 1, 2))
+    return struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I4H", 0, 8, 8, 8, 8) + body
+
+
 def header_row(b: bytes) -> dict[str, Any]:
     h = header(b)
     return {"size": h.size, "width": h.width, "height": h.height, "top_down": h.top_down, "bits": h.bits, "compression": h.compression, "colours": h.colours}

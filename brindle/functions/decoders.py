@@ -34,6 +34,14 @@ RICH = f"struct<text:string,runs:array<struct<start:int,end:int,style:{html.STYL
 html_document = decoder(html.document, html.DOCUMENT)
 rtf_document = decoder(rtf.document, RICH)
 rtf_header = decoder(rtf.header, rtf.HEADER)
+
+
+def rtf_from_runs(words: str, runs: list[dict]) -> bytes:
+    raw = words.encode()
+    return rtf.write([(raw[r["start"] : r["end"]].decode("utf-8", "replace"), r["style"]) for r in runs])
+
+
+rtf_write = scalar(rtf_from_runs, "binary")
 rtf_from_text = scalar(lambda t: rtf.write([(t, {})]), "binary")
 utf16le_lossy = scalar(utf16_lossy, "string")
 utf16le_char_count = scalar(text.utf16le_char_count, "long")
@@ -55,6 +63,8 @@ write_file_descriptors = decoder(lambda xs: records.write_file_descriptors([dict
 item_list = decoder(records.item_list, records.ITEM_LIST)
 write_items = scalar(lambda xs: records.write_items([bytes(x) for x in xs]), "binary")
 cida = decoder(records.cida, records.CIDA)
+write_cida = scalar(lambda parent, children: records.write_cida(bytes(parent), [bytes(c) for c in children]), "binary")
+write_network_link = scalar(lambda share: records.write_network_link(bytes(share)), "binary")
 shell_link = decoder(records.shell_link, records.SHELL_LINK)
 write_shell_link = scalar(lambda path, args, name: records.write_shell_link({"local_base_path": path, "arguments": args, "name": name}), "binary")
 webloc = decoder(records.webloc, records.WEBLOC)
@@ -67,6 +77,7 @@ dib_header = decoder(bitmap.header_row, bitmap.HEADER)
 dib_decode = decoder(bitmap.decode, bitmap.IMAGE)
 dib_encode_v5 = scalar(lambda w, h, px: bitmap.encode_v5(int(w), int(h), bytes(px)), "binary")
 dib_encode = scalar(lambda w, h, px: bitmap.encode_dib(int(w), int(h), bytes(px)), "binary")
+tiff_encode = scalar(lambda w, h, px: bitmap.encode_tiff(int(w), int(h), bytes(px)), "binary")
 png_encode = scalar(lambda w, h, px: bitmap.encode_png(int(w), int(h), bytes(px)), "binary")
 
 URL_FILE = "struct<url:string,working_directory:string,icon_file:string,icon_index:int,hotkey:struct<key:int,modifiers:int>,show_command:bigint,modified:decimal(20,0),id_list:binary>"
@@ -84,6 +95,11 @@ desktop_entries = decoder(lineformats.desktop, DESKTOP)
 desktop_entry = decoder(lineformats.desktop_entry, DESKTOP_ENTRY)
 desktop_unescape = decoder(lineformats.unescape, "string")
 desktop_list = scalar(lineformats.list_items, "array<string>")
+desktop_bool = decoder(lineformats.as_bool, "boolean")
+desktop_number = decoder(lineformats.as_number, "double")
+desktop_actions = decoder(lineformats.actions, lineformats.ACTIONS)
+exec_program = decoder(lineformats.program, "string")
+exec_fields = decoder(lambda v: [lineformats.as_field(a) for a in lineformats.exec_args(v)], "array<string>")
 exec_args = decoder(lineformats.exec_args, "array<struct<raw:string,quoted:boolean,offset:int>>")
 
 

@@ -30,9 +30,11 @@ def extended_caps(df: DataFrame, key: str, size_col: str, max_total: int = MAX_T
 
 
 def budget(df: DataFrame, stream: list[str], order: list[str], n: str, limit: int) -> DataFrame:
-    """Running use of a byte budget by stream: spent, accepted (the first row that does not fit ends the stream),
-    is_exhausted.
+    """Running use of a byte budget by stream: spent, accepted, is_exhausted.
+
+    spent counts what was offered, not what fit. A chunk is accepted if it fits in what remains; the first that does
+    not leaves nothing, so after it only empty chunks are.
     """
     w = Window.partitionBy(*stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("spent", F.sum(n).over(w))
-    return out.withColumn("accepted", F.col("spent") <= limit).withColumn("is_exhausted", F.col("spent") >= limit)
+    return out.withColumn("accepted", (F.col("spent") <= limit) | (F.col(n) == 0)).withColumn("is_exhausted", F.col("spent") >= limit)

@@ -362,6 +362,52 @@ def exec_check(value: str, base: int = 0) -> None:
         raise Bad("Malformed", base)
 
 
+def as_bool(value: str, at: int = 0) -> bool:
+    """``true`` or ``false``, spelled so; escapes are undone first."""
+    word = unescape_lossy(value)
+    if word not in ("true", "false"):
+        raise Bad("Malformed", at)
+    return word == "true"
+
+
+def as_number(value: str, at: int = 0) -> float:
+    """A number as the format spells it: digits, a point, an exponent, or inf and nan; no blanks or underscores."""
+    if not re.fullmatch(r"[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|inf|infinity|nan)", value, re.I if value[-1:].isalpha() else 0):
+        raise Bad("Malformed", at)
+    return float(value)
+
+
+def program(value: str) -> str | None:
+    """The first argument of a command, still escaped."""
+    found = exec_args(value)
+    return found[0]["raw"] if found else None
+
+
+def as_field(arg: dict[str, Any]) -> str | None:
+    """The field code that an argument is, alone."""
+    try:
+        parts = exec_pieces(arg)
+    except Bad:
+        return None
+    return parts[0]["field"] if len(parts) == 1 else None
+
+
+def actions(data: bytes, locale: str | None = None) -> list[dict[str, Any]]:
+    """The actions that the entry lists, in order, with name, icon and command of their groups; others are ignored."""
+    entries = desktop(data)
+    out = []
+    for raw in list_items(localized(entries, "Desktop Entry", "Actions", None) or ""):
+        name = unescape_lossy(raw)
+        group = f"Desktop Action {name}"
+        get = lambda k, tag=None, g=group: localized(entries, g, k, tag)
+        command = get("Exec")
+        out.append({"id": name, "found": any(e["group"] == group for e in entries), "name": None if (n := get("Name", locale)) is None else unescape_lossy(n), "icon": get("Icon", locale), "program": None if command is None else program(command)})
+    return out
+
+
+ACTIONS = "array<struct<id:string,found:boolean,name:string,icon:string,program:string>>"
+
+
 def desktop_entry(data: bytes, locale: str | None = None) -> dict[str, Any]:
     """The main group's common fields, with arguments of its command."""
     entries = desktop(data)

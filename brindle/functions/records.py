@@ -10,6 +10,7 @@ from xml.sax.saxutils import unescape as xml_unescape
 
 from . import shellitems
 from .core import MAX_DEPTH, Bad, Reader, guid_text, utf8_strict, utf16_lossy
+from .guids import CONTROL_PANEL, KNOWN_FOLDERS, network_name
 from .text import decode_page_lossy
 
 # -- CF_HTML -------------------------------------------------------------
@@ -197,19 +198,6 @@ DESCRIPTORS = "array<struct<name:string,flags:bigint,clsid:string,attributes:big
 
 # -- item lists --------------------------------------------------------------
 
-# Folders by class identifier.
-KNOWN_FOLDERS = {
-    "{20D04FE0-3AEA-1069-A2D8-08002B30309D}": "My Computer",
-    "{208D2C60-3AEA-1069-A2D7-08002B30309D}": "Network",
-    "{450D8FBA-AD25-11D0-98A8-0800361B1103}": "My Documents",
-    "{645FF040-5081-101B-9F08-00AA002F954E}": "Recycle Bin",
-    "{21EC2020-3AEA-1069-A2DD-08002B30309D}": "Control Panel",
-    "{871C5380-42A0-1069-A2EA-08002B30309D}": "Internet Explorer",
-    "{59031A47-3F72-44A7-89C5-5595FE6B30EE}": "Users Files",
-    "{031E4825-7B94-4DC3-B131-E946B44C8DD5}": "Libraries",
-}
-
-
 def items(data: bytes, base: int = 0) -> Iterator[tuple[bytes, int]]:
     """Items of a list: each begins with its own size; a size of 0 ends the list, and so does the end on a boundary."""
     at = 0
@@ -258,7 +246,7 @@ def shell_item(data: bytes, wrapped: bool = False) -> dict[str, Any]:
     """What one item is: a delegate's inner item (one level), then signatures, then the class byte; an item that is
     not understood is Unknown, never an error.
     """
-    out: dict[str, Any] = {"kind": "Unknown", "class": data[0] if data else None, "name": None, "guid": None, "size": None, "modified": None, "attributes": None}
+    out: dict[str, Any] = {"kind": "Unknown", "class": data[0] if data else None, "name": None, "guid": None, "size": None, "modified": None, "attributes": None, "ftp": None}
     if not data:
         return out
     if not wrapped and (inner := shellitems.delegate(data)) is not None:
@@ -286,15 +274,33 @@ def shell_item(data: bytes, wrapped: bool = False) -> dict[str, Any]:
         if family == 0x40 and len(data) >= 3:
             return out | {"kind": "NetworkLocation", "name": decode_page_lossy(_until_nul(data[3:], 1), 1252) or None}
         if kind == 0x61 and len(data) >= 4:
-            tail = data[4 + int.from_bytes(data[2:4], "little") :]
-            return out | {"kind": "Uri", "name": (utf16_lossy(_until_nul(tail, 2)) if data[1] & 0x80 else decode_page_lossy(_until_nul(tail, 1), 1252)) or None}
+            stop, wide = 4 + int.from_bytes(data[2:4], "little"), bool(data[1] & 0x80)
+            return out | {"kind": "Uri", "name": _words(data[stop:], wide), "ftp": _ftp(data[4:stop], wide)}
         if kind == 0x71 and len(data) >= 28:
-            return out | {"kind": "ControlPanelItem", "guid": guid_text(data[12:28])}
+            g = guid_text(data[12:28])
+            return out | {"kind": "ControlPanelItem", "guid": g, "name": CONTROL_PANEL.get(g)}
     except (Bad, struct.error):
         pass
     return out
 
 
+def _words(b: bytes, wide: bool) -> str | None:
+    return (utf16_lossy(_until_nul(b, 2)) if wide else decode_page_lossy(_until_nul(b, 1), 1252)) or None
+
+
+def _ftp(block: bytes, wide: bool) -> dict[str, Any] | None:
+    """Time, host, user and password of a URI item's data; a count that runs past the block ends the strings."""
+    if len(block) < 36:
+        return None
+    found, at = {"host": None, "user": None, "password": None}, 36
+    for key in found:
+        if at + 4 > len(block) or at + 4 + (n := int.from_bytes(block[at : at + 4], "little")) > len(block):
+            break
+        found[key] = _words(block[at + 4 : at + 4 + n], wide)
+        at += 4 + n
+    return {"timestamp": int.from_bytes(block[8:16], "little"), **found}
+
+
 def _until_nul(b: bytes, unit: int) -> bytes:
     return next((b[:i] for i in range(0, len(b) - unit + 1, unit) if not any(b[i : i + unit])), b)
 
@@ -316,7 +322,7 @@ def item_rows(data: bytes) -> Iterator[dict[str, Any]]:
         yield {"offset": at, **shell_item(item)}
 
 
-ITEM = "offset int, kind string, class int, name string, guid string, size bigint, modified struct<year:int,month:int,day:int,hour:int,minute:int,second:int>, attributes int"
+ITEM = "offset int, kind string, class int, name string, guid string, size bigint, modified struct<year:int,month:int,day:int,hour:int,minute:int,second:int>, attributes int, ftp struct<timestamp:decimal(20,0),host:string,user:string,password:string>"
 
 
 def item_list(data: bytes) -> dict[str, Any]:
@@ -409,7 +415,7 @@ def link_info(b: bytes, base: int) -> dict[str, Any]:
     _, head, flags, volume, local, network, suffix = struct.unpack_from("<7I", b)
     wide = head >= 0x24 and len(b) >= 36
     wide_local, wide_suffix = struct.unpack_from("<II", b, 28) if wide else (0, 0)
-    out: dict[str, Any] = {"local_base_path": None, "common_path_suffix": None, "net_name": None, "drive_type": None, "drive_serial": None, "volume_label": None}
+    out: dict[str, Any] = {"local_base_path": None, "common_path_suffix": None, "net_name": None, "device_name": None, "provider": None, "drive_type": None, "drive_serial": None, "volume_label": None}
     if flags & 1:
         out["local_base_path"] = _cstr_at(b, wide_local, base, True) if wide_local else _cstr_at(b, local, base)
         if volume + 16 > len(b):
@@ -423,7 +429,16 @@ def link_info(b: bytes, base: int) -> dict[str, Any]:
     if flags & 2:
         if network + 20 > len(b):
             raise Bad("BadOffset", base + network)
-        out["net_name"] = _cstr_at(b, network + struct.unpack_from("<I", b, network + 8)[0], base)
+        size, valid, name, device, provider = struct.unpack_from("<5I", b, network)
+        if size < 20 or network + size > len(b):
+            raise Bad("BadLength", base + network)
+        part, here = b[network : network + size], base + network
+        wide_name, wide_device = struct.unpack_from("<II", part, 20) if name > 20 and size >= 28 else (0, 0)
+        out["net_name"] = _cstr_at(part, wide_name, here, True) if wide_name else _cstr_at(part, name, here)
+        if valid & 1:
+            out["device_name"] = _cstr_at(part, wide_device, here, True) if wide_device else _cstr_at(part, device, here)
+        if valid & 2:
+            out["provider"] = network_name(provider)
     if suffix or wide_suffix:
         out["common_path_suffix"] = _cstr_at(b, wide_suffix, base, True) if wide_suffix else _cstr_at(b, suffix, base)
     return out
@@ -457,7 +472,7 @@ def shell_link(data: bytes) -> dict[str, Any]:
     icon, show, hot = r.i32(), r.u32(), r.u16()
     r.take(10)
     out: dict[str, Any] = {"flags": flags, "attributes": attributes, "created": created, "accessed": accessed, "written": written, "size": size, "icon_index": icon, "show_command": show, "hotkey": hot, "id_list_path": None}
-    out |= {"local_base_path": None, "common_path_suffix": None, "net_name": None, "drive_type": None, "drive_serial": None, "volume_label": None}
+    out |= {"local_base_path": None, "common_path_suffix": None, "net_name": None, "device_name": None, "provider": None, "drive_type": None, "drive_serial": None, "volume_label": None}
     if flags & HAS_ID_LIST:
         n = r.u16()
         out["id_list_path"] = display_path(r.take(n))
@@ -494,11 +509,19 @@ def shell_link(data: bytes) -> dict[str, Any]:
 
 SHELL_LINK = (
     "struct<flags:bigint,attributes:bigint,created:decimal(20,0),accessed:decimal(20,0),written:decimal(20,0),size:bigint,icon_index:int,show_command:bigint,hotkey:int,"
-    "id_list_path:string,local_base_path:string,common_path_suffix:string,net_name:string,drive_type:string,drive_serial:bigint,volume_label:string,name:string,relative_path:string,"
+    "id_list_path:string,local_base_path:string,common_path_suffix:string,net_name:string,device_name:string,provider:string,drive_type:string,drive_serial:bigint,volume_label:string,name:string,relative_path:string,"
     "working_dir:string,arguments:string,icon_location:string,environment_path:string,app_user_model_id:string,console_code_page:bigint,machine_id:string,blocks:array<struct<signature:bigint,kind:string,offset:int>>,candidates:array<string>>"
 )
 
 
+def write_network_link(share: bytes, device: bytes = b"Z:", provider: int = 0x002E0000) -> bytes:
+    """A link into a share, mapped to a drive: a header and the network part of the link information alone."""
+    names = share + b"\0" + device + b"\0"
+    network = struct.pack("<5I", 20 + len(names), 3, 20, 20 + len(share) + 1, provider) + names
+    info = struct.pack("<7I", 28 + len(network) + 1, 28, 2, 0, 0, 28, 28 + len(network)) + network + b"\0"
+    return struct.pack("<I16sIIQQQIiIH10x", 76, LINK_CLSID, HAS_LINK_INFO | IS_UNICODE, 0, 0, 0, 0, 0, 0, 1, 0) + info
+
+
 def write_shell_link(x: dict[str, Any]) -> bytes:
     """A .lnk file of strings and a local path; strings but the arguments have 260 characters at most."""
     flags, strings = IS_UNICODE, []

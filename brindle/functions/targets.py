@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,6 +84,16 @@ def percent_encode_path(s: Column | str) -> Column:
     return F.replace(percent_encode_segment(s), F.lit("%2F"), F.lit("/"))
 
 
+# Characters that each set leaves as they are, besides letters and digits.
+KEPT = {"unreserved": "-._~", "segment": "-._~!$&'()*+,;=:@", "path": "-._~!$&'()*+,;=:@/"}
+
+
+def encoded_len(s: Column | str, chars: str = "path") -> Column:
+    """Bytes that percent-encoding with a set of ``KEPT`` makes, without encoding: one for each kept byte, else three."""
+    kept = F.regexp_count(col(s), F.lit("[A-Za-z0-9" + re.sub(r"([^\w])", r"\\\1", KEPT[chars]) + "]"))
+    return 3 * F.octet_length(col(s)) - 2 * kept
+
+
 def percent_decode_lossy(s: Column | str) -> Column:
     """A stray % stays; bytes that are no UTF-8 become U+FFFD. Null-safe and never failing."""
     c = col(s)
@@ -176,21 +188,6 @@ def drop_effect_bytes(action: Column | str) -> Column:
     return F.when(c == "Move", F.unhex(F.lit("02000000"))).when(c == "Link", F.unhex(F.lit("04000000"))).otherwise(F.unhex(F.lit("01000000")))
 
 
-def sniff_shortcut(payload: Column | str) -> Column:
-    """Which shortcut format the bytes begin as."""
-    b = col(payload)
-    head = F.hex(F.substring(b, 1, 4))
-    # a byte-order mark and white space may come before text formats
-    text = F.regexp_replace(F.make_valid_utf8(F.substring(b, 1, 256).cast("string")), "^\ufeff?[ \\t\\r\\n\\x0c]*", "")
-    return (
-        F.when(head.isin(b"book".hex().upper(), b"alis".hex().upper()), "Bookmark")
-        .when(F.hex(F.substring(b, 1, 8)) == b"bplist00".hex().upper(), "Webloc")
-        .when(text.startswith("<"), "Webloc")
-        .when(F.lower(F.substring(text, 1, 15)) == "[desktop entry]", "DesktopEntry")
-        .when(text.startswith("["), "UrlFile")
-    )
-
-
 def html_escape(s: Column | str) -> Column:
     c = col(s)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):

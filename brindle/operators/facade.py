@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -21,7 +21,7 @@ from ..functions.core import Bad, utf8_strict
 from ..functions.links import classify
 from ..functions.targets import html_escape_lines
 from ..plans import dims
-from .payload import native_name, resolve, transfer_action
+from .payload import item_action, native_name, resolve
 
 STYLE = html.STYLE
 RICH = f"struct<text:string,runs:array<struct<start:int,end:int,style:{STYLE}>>>"
@@ -136,52 +136,139 @@ def decode_all(items: DataFrame, **options: Any) -> DataFrame:
     return decode_rows(resolve(items).where("is_content"), **options).where("failure IS NULL")
 
 
+ENTRIES = "array<struct<kind:string,value:string>>"
+
+
 def decode_payload(items: DataFrame, max_flavor_bytes: int | None = limits.MAX_FLAVOR_BYTES, policy: Column | None = None, strict_rank: bool = True, **options: Any) -> DataFrame:
     """The richest representation of each payload that decodes, enriched from its siblings: one row a payload.
 
-    Representations are tried by (rank, ordinal). One over the byte cap is skipped, or treated as ``policy`` (a
-    column of Accept, Skip or Abort) says; Abort ends the search there. Types that no decoder exists for still
-    succeed as Unknown and so win by rank; ``strict_rank=False`` sets them last. If nothing succeeds the row carries
-    the failure: a decoder's error before others, else TooLarge with the greatest size, else Unknown. Further options
-    are those of ``decode_item``; markup that is kept gets the payload's plain text beside it.
+    Representations are tried by (rank, ordinal), and none after the first that succeeds is decoded: the rows of a
+    payload meet once, sorted, and stream by with one open payload a task. One over the byte cap is skipped, or
+    treated as ``policy`` (a column of Accept, Skip or Abort) says; Abort ends the search there. Types that no decoder
+    exists for still succeed as Unknown and so win by rank; ``strict_rank=False`` sets them last. If nothing succeeds
+    the row carries the failure: a decoder's error before others, else TooLarge with the greatest size, else none.
+    Further options are those of ``decode_item``; markup that is kept gets the payload's plain text beside it.
     """
-    rows = resolve(items).where("is_content")
     rank = F.col("read_rank") if strict_rank else F.when(F.col("flavor").isin("WebArchive", "PlainTextUtf16"), 254).otherwise(F.col("read_rank"))
-    size = F.octet_length("bytes")
+    size = F.octet_length("bytes").cast("long")
     over = limits.rejects(size, max_flavor_bytes)
     verdict = F.when(over, F.lit("Skip") if policy is None else policy).otherwise("Accept")
-    w = Window.partitionBy("payload_id").orderBy("_rank", "ordinal")
-    rows = rows.withColumns({"_rank": rank, "_size": size, "_verdict": verdict})
-    aborted = F.max(F.when(F.col("_verdict") == "Abort", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_over", aborted).where("_over = 0")
-    refused = rows.where("_verdict <> 'Accept'").groupBy("payload_id").agg(F.max("_size").alias("refused_bytes"))
-    tried = decode_rows(rows.where("_verdict = 'Accept'").withColumn("read_rank", F.col("_rank")), **options)
-    order = F.struct(F.col("failure").isNotNull().alias("f"), (F.coalesce(F.col("failure.variant"), F.lit("")) != "Codec").alias("c"), F.col("read_rank"), F.col("ordinal"))
-    names = ["flavor", "native", "kind", *ARMS, "failure"]
-    won = tried.groupBy("payload_id").agg(F.min_by(F.struct(*names), order).alias("w")).select("payload_id", "w.*")
-    all_payloads = items.groupBy("payload_id").agg(F.first("platform").alias("platform"))
-    out = all_payloads.join(won, "payload_id", "left").join(refused, "payload_id", "left")
-    lost = F.when(F.col("failure").isNotNull(), F.col("failure")).when(F.col("kind").isNull() & F.col("refused_bytes").isNotNull(), F.struct(F.lit("TooLarge").alias("variant"), F.lit(None).cast("string").alias("kind"), F.col("refused_bytes").cast("long").alias("offset")))
-    return enrich(out.withColumn("failure", lost), items)
-
-
-def enrich(decoded: DataFrame, items: DataFrame) -> DataFrame:
-    """Transfer action for files, title for links, and all files of a macOS payload in the order of its items."""
-    r = resolve(items)
-    actions = transfer_action(items)
-    title = r.where("flavor = 'UrlName'").groupBy("payload_id").agg(F.min_by(F.make_valid_utf8(F.col("bytes").cast("string")), "ordinal").alias("_title"))
-    mac = decode_rows(r.where("flavor = 'FileList' AND platform = 'MacOs'")).where("failure IS NULL")
-    parts = F.array_sort(F.collect_list(F.struct("item", "ordinal", "files.entries")))
-    lists = mac.groupBy("payload_id").agg(F.flatten(F.transform(parts, lambda p: p["entries"])).alias("_entries"))
-    out = decoded.join(actions, "payload_id", "left").join(title, "payload_id", "left").join(lists, "payload_id", "left")
-    words = r.where("flavor = 'PlainText'").groupBy("payload_id").agg(F.min_by(F.struct("platform", "native", "bytes", "flavor"), "ordinal").alias("_p"))
-    plain = decode_rows(words.select("payload_id", "_p.*", F.lit(0).alias("ordinal"), F.lit(0).alias("item"), F.lit(0).alias("read_rank"))).select("payload_id", F.col("text").alias("_plain"))
-    out = out.join(plain, "payload_id", "left")
-    markup = F.when(F.col("html").isNotNull(), F.struct(F.col("html.markup").alias("markup"), F.coalesce("html.plain", "_plain").alias("plain")))
-    entries = F.when(F.size("_entries") > F.size("files.entries"), F.col("_entries")).otherwise(F.col("files.entries"))
-    files = F.when(F.col("files").isNotNull(), F.struct(entries.alias("entries"), F.col("action").alias("action")))
-    link = F.when(F.col("link").isNotNull(), F.struct(F.col("link.target_kind").alias("target_kind"), F.col("link.target").alias("target"), F.coalesce("link.title", "_title").alias("title")))
-    return out.withColumns({"files": files, "link": link, "html": markup}).drop("action", "_title", "_entries", "_plain", "refused_bytes")
+    # what is neither content nor a name is settled by its own row; its bytes stay behind
+    used = F.col("is_content") | (F.col("flavor") == "UrlName")
+    verb = F.when(~F.col("is_content") | F.col("flavor").startswith("x-special/") | F.col("flavor").isin("Other", "DropEffect"), item_action(F.col("native"), F.col("bytes")))
+    rows = resolve(items).select("payload_id", "platform", "ordinal", "item", "native", "flavor", "is_content", F.coalesce(rank, F.lit(255)).cast("int").alias("rank"), size.alias("size"), verdict.alias("verdict"), verb.alias("verb"), F.when(used, F.col("bytes")).alias("bytes"))
+    ordered = rows.repartition("payload_id").sortWithinPartitions("payload_id", "rank", "ordinal")
+    schema = f"payload_id {dict(items.dtypes)['payload_id']}, platform string, flavor string, native string, {ITEM}, {FAILURE}, action string, title string, entries {ENTRIES}, plain string"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done = None, []
+        for b in batches:
+            for x in b.to_pylist():
+                if now is None or x["payload_id"] != now.id:
+                    done += [] if now is None else [now.row()]
+                    now = Search(x, options)
+                now.look(x)
+            if len(done) > 256:
+                yield pa.RecordBatch.from_pylist(done, arrow)
+                done = []
+        if now is not None:
+            done.append(now.row())
+        yield pa.RecordBatch.from_pylist(done, arrow)
+
+    return enriched(ordered.mapInArrow(run, schema))
+
+
+class Search:
+    """One payload's representations as they come by rank: the first success, or what failed, and what enriches it."""
+
+    def __init__(self, x: dict[str, Any], options: dict[str, Any]):
+        self.id, self.options = x["payload_id"], options
+        self.first: tuple[int, str | None] = (x["ordinal"], x["platform"])
+        self.won: dict[str, Any] | None = None
+        self.lost: dict[str, Any] | None = None
+        self.refused: int | None = None
+        self.ended = False
+        self.verb: tuple[int, str] | None = None
+        self.title: tuple[int, str] | None = None
+        self.plain: dict[str, Any] | None = None
+        self.files: list[tuple[int, int, list]] = []
+
+    def look(self, x: dict[str, Any]) -> None:
+        self.first = min(self.first, (x["ordinal"], x["platform"]), key=lambda f: f[0])
+        if x["verb"] is not None and (self.verb is None or x["ordinal"] < self.verb[0]):
+            self.verb = (x["ordinal"], x["verb"])
+        if x["flavor"] == "UrlName" and (self.title is None or x["ordinal"] < self.title[0]):
+            self.title = (x["ordinal"], (x["bytes"] or b"").decode("utf-8", "replace"))
+        if x["flavor"] == "PlainText" and (self.plain is None or x["ordinal"] < self.plain["ordinal"]):
+            self.plain = x
+        if not x["is_content"] or self.ended:
+            return
+        if x["verdict"] != "Accept":
+            self.refused = max(self.refused or 0, x["size"] or 0)
+            self.ended = self.won is None and x["verdict"] == "Abort"
+            return
+        more = self.won is not None and x["flavor"] == "FileList" and x["platform"] == dims.MACOS and self.won["kind"] == "Files"
+        if self.won is not None and not more:
+            return
+        keep = {"flavor": x["flavor"], "native": x["native"]}
+        try:
+            got = decode_item(x["bytes"] or b"", x["native"], x["platform"], x["flavor"], **self.options)
+        except (Bad, Refused) as e:
+            if self.won is None:
+                bad = isinstance(e, Bad)
+                failure = {"variant": "Codec", "kind": e.kind, "offset": e.offset} if bad else {"variant": str(e), "kind": None, "offset": None}
+                if self.lost is None or bad and self.lost["failure"]["variant"] != "Codec":
+                    self.lost = {**keep, "failure": failure}
+            return
+        if x["flavor"] == "FileList" and x["platform"] == dims.MACOS:
+            self.files.append((x["item"] or 0, x["ordinal"], got["files"]["entries"]))
+        if self.won is None:
+            self.won = {**keep, **got}
+
+    def row(self) -> dict[str, Any]:
+        out = {"payload_id": self.id, "platform": self.first[1], "action": self.verb and self.verb[1], "title": self.title and self.title[1]}
+        if self.won is None:
+            refused = None if self.refused is None else {"failure": {"variant": "TooLarge", "kind": None, "offset": self.refused}}
+            return out | (self.lost or refused or {})
+        if self.won["kind"] == "Html" and self.plain is not None:
+            out["plain"] = text.decode_plain(self.plain["bytes"] or b"", self.plain["platform"])
+        if self.files:
+            out["entries"] = [e for _, _, found in sorted(self.files, key=lambda f: f[:2]) for e in found]
+        return out | self.won
+
+
+def enriched(found: DataFrame) -> DataFrame:
+    """Transfer action for files, title for links, plain text beside kept markup, and all files of a macOS payload in
+    the order of its items, from the columns action, title, plain and entries.
+    """
+    markup = F.when(F.col("html").isNotNull(), F.struct(F.col("html.markup").alias("markup"), F.coalesce("html.plain", "plain").alias("plain")))
+    entries = F.when(F.size("entries") > F.size("files.entries"), F.col("entries")).otherwise(F.col("files.entries"))
+    files = F.when(F.col("files").isNotNull(), F.struct(entries.alias("entries"), F.coalesce("action", F.lit("Copy")).alias("action")))
+    link = F.when(F.col("link").isNotNull(), F.struct(F.col("link.target_kind").alias("target_kind"), F.col("link.target").alias("target"), F.coalesce("link.title", "title").alias("title")))
+    return found.withColumns({"files": files, "link": link, "html": markup}).drop("action", "title", "entries", "plain")
+
+
+def files_of_paths(paths: Column) -> Column:
+    """A file list that copies these paths."""
+    return F.struct(F.transform(paths, lambda p: F.struct(F.lit("Path").alias("kind"), p.alias("value"))).alias("entries"), F.lit("Copy").alias("action"))
+
+
+def is_default(style: Column) -> Column:
+    """Whether a style says nothing."""
+    on = F.coalesce(style["bold"] | style["italic"] | style["underline"] | style["strike"], F.lit(False))
+    return ~on & style["size_pt"].isNull() & style["font_family"].isNull() & style["color"].isNull() & style["background"].isNull()
+
+
+def is_plain(rich: Column) -> Column:
+    """Whether nothing of a rich text is styled."""
+    return F.forall(rich["runs"], lambda r: is_default(r["style"]))
+
+
+def spans(rich: Column) -> Column:
+    """array of struct(text, style): the runs with their characters."""
+    raw = F.encode(rich["text"], "UTF-8")
+    return F.transform(rich["runs"], lambda r: F.struct(F.decode(F.substring(raw, r["start"] + 1, r["end"] - r["start"]), "UTF-8").alias("text"), r["style"].alias("style")))
 
 
 def plain_text() -> Column:
@@ -233,16 +320,14 @@ def encode_flavor(x: dict[str, Any], flavor: str, platform: str) -> list[bytes]:
         if platform != dims.WINDOWS:
             return [markup.encode()]
         return [_cf_html(markup)]
-    if flavor in ("DibV5", "Dib", "Png") and kind == "Image":
+    if flavor in ("DibV5", "Dib", "Png", "Tiff") and kind == "Image":
         img = x["image"]
         if img["format"] == flavor:
             return [img["pixels"]]
         if img["format"] != "Rgba":
             return []
-        f = {"DibV5": bitmap.encode_v5, "Dib": bitmap.encode_dib, "Png": bitmap.encode_png}[flavor]
+        f = {"DibV5": bitmap.encode_v5, "Dib": bitmap.encode_dib, "Png": bitmap.encode_png, "Tiff": bitmap.encode_tiff}[flavor]
         return [f(img["width"], img["height"], img["pixels"])]
-    if flavor == "Tiff" and kind == "Image":
-        return [x["image"]["pixels"]] if x["image"]["format"] == "Tiff" else []
     if kind == "Files":
         entries, action = x["files"]["entries"], x["files"]["action"]
         uris = [_uri(e) for e in entries]

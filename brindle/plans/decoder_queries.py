@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decoders as d
-from ..functions import html, rtf
+from ..functions import html, rtf, scan
 from ..functions.core import rows
 from ..shipping import ensure_importable
 from .sql_queries import table
@@ -47,12 +47,28 @@ def html_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(table(spark, sf_dir, "pages"), ["page_id"], "html", html.run_rows, html.RUNS).select("page_id", "pos", "kind", "text", "style.bold", "style.italic")
 
 
-@query()
+_TOKENS_SQL = r"""WITH p AS (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>|[^<]+') AS x FROM pages),
+q AS (SELECT page_id, unnest(x) AS piece, unnest(range(len(x))) AS k FROM p),
+r AS (SELECT page_id, piece, (sum(octet_length(encode(piece))) OVER (PARTITION BY page_id ORDER BY k) - octet_length(encode(piece)))::BIGINT AS place FROM q),
+raw AS (SELECT *, regexp_extract(piece, '^<[^>]*>') AS a, regexp_extract(piece, '</[^>]*>$') AS z FROM r WHERE regexp_matches(piece, '(?is)^<(script|style)[^>]*>.')),
+t AS (SELECT page_id, place, piece FROM r WHERE NOT regexp_matches(piece, '(?is)^<(script|style)[^>]*>.')
+  UNION ALL SELECT page_id, place, a FROM raw
+  UNION ALL SELECT page_id, place + octet_length(encode(a)), substr(piece, length(a) + 1, length(piece) - length(a) - length(z)) FROM raw WHERE length(piece) > length(a) + length(z)
+  UNION ALL SELECT page_id, place + octet_length(encode(piece)) - octet_length(encode(z)), z FROM raw)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY place) - 1)::INTEGER AS pos,
+  CASE WHEN starts_with(piece, '<!--') THEN 'comment' WHEN starts_with(piece, '<!') THEN 'doctype' WHEN starts_with(piece, '</') THEN 'end' WHEN starts_with(piece, '<') THEN 'start' ELSE 'text' END AS kind,
+  CASE WHEN regexp_matches(piece, '^</?[A-Za-z]') THEN regexp_extract(piece, '^</?([A-Za-z][^\s/>]*)', 1) END AS name, place::INTEGER AS "offset" FROM t"""
+
+
+@query(_TOKENS_SQL)
 def html_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(table(spark, sf_dir, "pages"), ["page_id"], "html", html.token_rows, html.TOKENS).select("page_id", "pos", "kind", "name", "offset")
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS n FROM pages")
+_MARKUP = "regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'gis')"
+
+
+@query(f"SELECT page_id, len(regexp_extract_all({_MARKUP}, '(?i)<a\\s[^>]*href\\s*=')) AS n FROM pages")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of links of every page, by the attributes of its tokens."""
     t = rows(table(spark, sf_dir, "pages"), ["page_id"], "html", html.token_rows, html.TOKENS)
@@ -60,7 +76,7 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("page_id").agg(F.sum(link.cast("long")).alias("n"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<p>')) AS p, len(regexp_extract_all(html, '</p>')) - 1 AS p_end, len(regexp_extract_all(html, '<!--')) AS comments FROM pages")
+@query(f"SELECT page_id, len(regexp_extract_all({_MARKUP}, '(?i)<p[\\s>/]')) AS p, len(regexp_extract_all({_MARKUP}, '(?i)</p[\\s>/]')) AS p_end, len(regexp_extract_all(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'gis'), '<!--')) AS comments FROM pages")
 def html_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph tags and comments; the end tag inside a script is text there."""
     t = rows(table(spark, sf_dir, "pages"), ["page_id"], "html", html.token_rows, html.TOKENS)
@@ -75,37 +91,47 @@ def html_style_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("r.style.bold").agg(F.count(F.lit(1)).alias("runs"), F.sum(F.col("r.end") - F.col("r.start")).alias("bytes"))
 
 
-@query("SELECT doc_id, md5(text) AS md5 FROM documents")
+@query(r"SELECT doc_id, md5(rtrim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '^\n', ''), ' ')) AS md5 FROM documents")
 def html_escape_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Escaped text inside ``pre`` decodes to itself."""
+    """Escaped text inside ``pre`` decodes to itself, but for a leading line end and spaces at the end of the document."""
     from ..functions.targets import html_escape
 
     markup = F.encode(F.concat(F.lit("<pre>"), html_escape("text"), F.lit("</pre>")), "UTF-8")
-    out = table(spark, sf_dir, "documents").select("doc_id", "text", d.html_document(markup).alias("d"))
-    # a document loses a leading line end and spaces at its end
-    lost = F.regexp_replace(F.regexp_replace("text", "^\n", ""), " +$", "") == F.col("d.value.text")
-    return out.select("doc_id", F.md5(F.when(lost, F.col("text")).otherwise(F.col("d.value.text")).cast("binary")).alias("md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(d.html_document(markup)["value"]["text"].cast("binary")).alias("md5"))
+
 
+_LINES_AS_LF = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
 
-@query("SELECT doc_id, md5(text) AS md5 FROM documents WHERE text NOT LIKE '%' || chr(13) || '%'")
+
+@query(f"SELECT doc_id, md5({_LINES_AS_LF}) AS md5 FROM documents")
 def rtf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").contains("\r"))
-    return docs.select("doc_id", F.md5(d.rtf_document(d.rtf_from_text("text"))["value"]["text"].cast("binary")).alias("md5"))
+    """CR, LF and CRLF are one paragraph mark in RTF and come back as LF; everything else comes back as it was."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(d.rtf_document(d.rtf_from_text("text"))["value"]["text"].cast("binary")).alias("md5"))
 
 
-@query()
+@query(
+    f"SELECT doc_id, CASE WHEN t = '' THEN 9 ELSE 12 + length(regexp_replace(t, '[ -~]', '', 'g')) + length(regexp_replace(t, '[\\x00-\\x{{FFFF}}]', '', 'g')) END::BIGINT AS words, 3::BIGINT AS opened, 3::BIGINT AS closed, "
+    f"length(regexp_replace(t, '[^\\\\{{}}]', '', 'g'))::BIGINT AS escapes FROM (SELECT doc_id, {_LINES_AS_LF} AS t FROM documents)"
+)
 def rtf_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control words (those of the header, line ends, tabs and UTF-16 units), groups and escaped characters of each text."""
     made = table(spark, sf_dir, "documents").select("doc_id", d.rtf_from_text("text").alias("rtf"))
-    return rows(made, ["doc_id"], "rtf", rtf.token_rows, rtf.TOKENS).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    n = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
+    return rows(made, ["doc_id"], "rtf", rtf.token_rows, rtf.TOKENS).groupBy("doc_id").agg(n("word").alias("words"), n("open").alias("opened"), n("close").alias("closed"), n("symbol").alias("escapes"))
 
 
-@query("SELECT doc_id, md5(text) AS md5, octet_length(encode(text)) AS n FROM documents")
+@query("SELECT c_custkey, c_name || ' & ' || c_mktsegment AS text, octet_length(encode(c_name)) AS bold, octet_length(encode(c_mktsegment)) AS italic, 'aa0' || (c_custkey % 10) || 'cc' AS color, FALSE AS plain FROM customer")
 def rich_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HTML to styled runs to RTF and back: the text of a page survives."""
-    docs = table(spark, sf_dir, "documents")
-    back = d.rtf_document(d.rtf_from_text("text"))["value"]
-    whole = F.aggregate(back["runs"], F.lit(0), lambda a, r: a + r["end"] - r["start"])
-    return docs.select("doc_id", F.md5(back["text"].cast("binary")).alias("md5"), whole.cast("long").alias("n"))
+    """HTML to styled runs to RTF and back: text and styles survive."""
+    from ..operators.facade import is_plain, spans
+
+    shade = F.concat(F.lit("AA0"), (F.col("c_custkey") % 10).cast("string"), F.lit("CC"))
+    markup = F.concat(F.lit("<b>"), F.col("c_name"), F.lit("</b> &amp; <i><font color=#"), shade, F.lit(">"), F.col("c_mktsegment"), F.lit("</font></i>"))
+    first = table(spark, sf_dir, "customer").select("c_custkey", d.html_document(F.encode(markup, "UTF-8"))["value"].alias("rich"))
+    back = first.select("c_custkey", d.rtf_document(d.rtf_write("rich.text", "rich.runs"))["value"].alias("rich"))
+    size = lambda key: F.aggregate(F.filter(F.col("s"), lambda x: x["style"][key]), F.lit(0), lambda a, x: a + F.octet_length(x["text"])).cast("long")
+    color = F.element_at(F.filter(F.col("s"), lambda x: x["style"]["italic"]), 1)["style"]["color"]
+    return back.select("c_custkey", "rich", spans(F.col("rich")).alias("s")).select("c_custkey", F.col("rich.text").alias("text"), size("bold").alias("bold"), size("italic").alias("italic"), color.alias("color"), is_plain(F.col("rich")).alias("plain"))
 
 
 @query("SELECT doc_id, md5(text) AS md5, length(text) AS chars FROM documents")
@@ -134,11 +160,11 @@ def codepage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", d.codepage_decode(d.codepage_encode(F.col("c_name"), page)["value"], page)["value"].alias("back"))
 
 
-@query("SELECT p_partkey % 50 AS list, count(*) AS n FROM part GROUP BY 1")
+@query("SELECT p_partkey % 50 AS list, count(*) AS n, string_agg(p_name, '|' ORDER BY encode(p_name)) AS paths FROM part GROUP BY 1")
 def hdrop_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 50).alias("list")).agg(F.array_sort(F.collect_list("p_name")).alias("p"))
     back = d.drop_list(d.write_drop_list("p")["value"])["value"]
-    return lists.select("list", F.when(back["paths"] == F.col("p"), F.size(back["raw"])).cast("long").alias("n"))
+    return lists.select("list", F.size(back["raw"]).cast("long").alias("n"), F.array_join(back["paths"], "|").alias("paths"))
 
 
 @query("SELECT n_nationkey, n_name AS name, n_nationkey * 5000000000 AS size, n_nationkey % 2 = 0 AS is_directory FROM nation")
@@ -148,11 +174,11 @@ def file_descriptor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", back["name"].alias("name"), back["size"].cast("long").alias("size"), back["is_directory"].alias("is_directory"))
 
 
-@query("SELECT n_nationkey, 2 AS count FROM nation")
+@query("SELECT n_nationkey, 2 AS count, n_name || '|' || reverse(n_name) AS items FROM nation")
 def item_list_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.array(F.encode("n_name", "UTF-8"), F.encode(F.reverse("n_name"), "UTF-8"))
     back = d.item_list(d.write_items(raw))["value"]
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.when(back["items"] == raw, back["count"]).alias("count"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", back["count"].alias("count"), F.array_join(F.transform(back["items"], lambda b: F.decode(b, "UTF-8")), "|").alias("items"))
 
 
 @query("SELECT s_suppkey, 'C:\\Data\\' || s_name AS path, '-k ' || s_suppkey AS args FROM supplier")
@@ -192,19 +218,66 @@ def desktop_entry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", d.desktop_entry(F.encode(blob, "UTF-8"), tag)["value"]["name"].alias("name"))
 
 
-@query("SELECT s_suppkey, 'run|a b|%U' AS args FROM supplier")
+@query("SELECT s_suppkey, 'run-' || s_suppkey || '|' || s_name || ' x|%U' AS args, 'run-' || s_suppkey AS program, '||U' AS fields FROM supplier")
 def exec_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blob = F.encode(F.lit('[Desktop Entry]\nType=Application\nExec=run "a b" %U\n'), "UTF-8")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", d.desktop_entry(F.when(F.col("s_suppkey") >= 0, blob))["value"]["exec"].alias("a")).select("s_suppkey", F.array_join("a", "|").alias("args"))
+    command = F.concat(F.lit("run-"), F.col("s_suppkey").cast("string"), F.lit(' "'), F.col("s_name"), F.lit(' x" %U'))
+    blob = F.encode(F.concat(F.lit("[Desktop Entry]\nType=Application\nExec="), command, F.lit("\n")), "UTF-8")
+    got = table(spark, sf_dir, "supplier").select("s_suppkey", d.desktop_entry(blob)["value"]["exec"].alias("a"), d.exec_program(command)["value"].alias("program"), d.exec_fields(command)["value"].alias("f"))
+    return got.select("s_suppkey", F.array_join("a", "|").alias("args"), "program", F.array_join("f", "|", "").alias("fields"))
+
+
+@query("SELECT s_suppkey, 'open:Open ' || s_name || ':run;new:Neu:-' AS actions, s_suppkey % 2 = 0 AS hidden, s_suppkey / 4.0::DOUBLE AS number FROM supplier")
+def desktop_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed actions with their groups' names (by locale) and programs; a group that is not listed is ignored."""
+    blob = F.concat(
+        F.lit("[Desktop Entry]\nType=Application\nActions=open;new;\n[Desktop Action open]\nName=Open "),
+        F.col("s_name"),
+        F.lit("\nExec=run --x %f\n[Desktop Action new]\nName=New\nName[de]=Neu\n[Desktop Action other]\nName=Other\n"),
+    )
+    got = d.desktop_actions(F.encode(blob, "UTF-8"), F.lit("de_AT"))["value"]
+    shown = F.array_join(F.transform(got, lambda a: F.concat_ws(":", a["id"], a["name"], F.coalesce(a["program"], F.lit("-")))), ";")
+    flag = d.desktop_bool(F.when(F.col("s_suppkey") % 2 == 0, "true").otherwise("false"))["value"]
+    number = d.desktop_number((F.col("s_suppkey") / 4).cast("string"))["value"]
+    return table(spark, sf_dir, "supplier").select("s_suppkey", shown.alias("actions"), flag.alias("hidden"), number.alias("number"))
+
+
+_PIXELS_SQL = "regexp_replace(sha256(vec_id::VARCHAR), '(......)..', '\\1ff', 'g')"
 
 
-@query("SELECT vec_id, 8 AS width, 2 AS height, TRUE AS same FROM embeddings")
+@query(f"SELECT vec_id, 4 AS width, 2 AS height, {_PIXELS_SQL} AS v5, {_PIXELS_SQL} AS dib, upper(substr(sha256(vec_id::VARCHAR), 1, 6) || substr(sha256(vec_id::VARCHAR), 9, 2)) || 'FF' AS tiff FROM embeddings")
 def dib_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen pixels made of each vector's numbers, to a bitmap and back."""
-    digits = F.substring(F.sha2(F.col("vec_id").cast("string"), 512), 1, 128)
-    px = F.unhex(F.regexp_replace(digits, "(......)..", "$1ff"))
-    back = d.dib_decode(d.dib_encode_v5(F.lit(8), F.lit(2), px))["value"]
-    return table(spark, sf_dir, "embeddings").select("vec_id", back["width"].alias("width"), back["height"].alias("height"), (back["pixels"] == px).alias("same"))
+    """Eight pixels made of each vector's number, to bitmaps of 32 and 24 bits and back, and to a TIFF's last strip."""
+    px = F.unhex(F.regexp_replace(F.sha2(F.col("vec_id").cast("string"), 256), "(......)..", "$1ff"))
+    v5, dib = (d.dib_decode(f(F.lit(4), F.lit(2), px))["value"] for f in (d.dib_encode_v5, d.dib_encode))
+    tiff = d.tiff_encode(F.lit(4), F.lit(2), px)
+    low = lambda c: F.lower(F.hex(c))
+    first = F.regexp_replace(F.hex(F.substring(tiff, F.octet_length(tiff) - 31, 5)), "^(......)FF(..)$", "$1$2FF")
+    return table(spark, sf_dir, "embeddings").select("vec_id", v5["width"].alias("width"), v5["height"].alias("height"), low(v5["pixels"]).alias("v5"), low(dib["pixels"]).alias("dib"), first.alias("tiff"))
+
+
+@query(
+    "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN a || b || b || a WHEN 1 THEN a || a || a || b WHEN 2 THEN b || a || a || b ELSE 'FF0000FF' || '00FF00FF' || '0000FFFF' || 'FFFFFFFF' END AS pixels "
+    "FROM (SELECT p_partkey, upper(substr(md5(p_partkey::VARCHAR), 1, 6)) || 'FF' AS a, upper(substr(md5(p_partkey::VARCHAR), 7, 6)) || 'FF' AS b FROM part)"
+)
+def dib_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four pixels in a row: eight bits with a palette, run lengths, one bit, and masks of 16 bits."""
+    hexed = F.upper(F.md5(F.col("p_partkey").cast("string").cast("binary")))
+    bgr = lambda at: F.concat(F.substring(hexed, at + 4, 2), F.substring(hexed, at + 2, 2), F.substring(hexed, at, 2), F.lit("00"))
+    palette = F.concat(bgr(1), bgr(7))
+
+    def head(bits: int, compression: int, colours: int) -> str:
+        import struct
+
+        return struct.pack("<IiiHHIIiiII", 40, 4, 1, 1, bits, compression, 0, 0, 0, colours, 0).hex()
+
+    lit = F.lit
+    made = (
+        F.when(F.col("p_partkey") % 4 == 0, F.concat(lit(head(8, 0, 2)), palette, lit("00010100")))
+        .when(F.col("p_partkey") % 4 == 1, F.concat(lit(head(8, 1, 2)), palette, lit("0300" + "0101" + "0001")))
+        .when(F.col("p_partkey") % 4 == 2, F.concat(lit(head(1, 0, 2)), palette, lit("90000000")))
+        .otherwise(F.concat(lit(head(16, 3, 0)), lit("00f80000" + "e0070000" + "1f000000"), lit("00f8" + "e007" + "1f00" + "ffff")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", F.hex(d.dib_decode(F.unhex(made))["value"]["pixels"]).alias("pixels"))
 
 
 @query("SELECT page_id, 'Agreed' AS fragment_source, md5(html) AS md5 FROM pages")
@@ -273,20 +346,35 @@ def payload_encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dims import PLATFORMS
 
     item = decode_payload(_payloads(spark, sf_dir, "Unix")).drop("platform", "native", "flavor", "failure")
-    made = encode(item, *PLATFORMS)
-    back = decode_all(made.select("payload_id", "platform", "ordinal", "item", "native", "bytes"))
-    names = made.groupBy("payload_id", "platform").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "native"))), lambda x: x["native"]), ",").alias("natives"))
-    texts = back.groupBy("payload_id", "platform").agg(F.collect_set(F.rtrim(plain_text())).alias("t"))
-    return names.join(texts, ["payload_id", "platform"]).select("payload_id", "platform", "natives", (F.size("t") == 1).alias("same"))
+    made = encode(item, *PLATFORMS).select("payload_id", "platform", "ordinal", "item", "native", "bytes")
+    back = decode_all(made).select("payload_id", "platform", "ordinal", "native", F.rtrim(plain_text()).alias("t"))
+    each = back.groupBy("payload_id", "platform").agg(F.array_sort(F.collect_list(F.struct("ordinal", "native"))).alias("n"), F.count("t").alias("texts"), F.countDistinct("t").alias("different"))
+    return each.select("payload_id", "platform", F.array_join(F.transform("n", lambda x: x["native"]), ",").alias("natives"), ((F.col("texts") == F.size("n")) & (F.col("different") == 1)).alias("same"))
 
 
-@query()
+def _found_sql(rule: str, pattern: str, shown: str, keep: str) -> str:
+    """Findings of one pattern with their byte offsets: the lengths of what lies before."""
+    return f"""SELECT doc_id, '{rule}' AS rule, (list_sum([octet_length(encode(x)) for x in g[1:k]]) + coalesce(list_sum([octet_length(encode(x)) for x in h[1:k - 1]]), 0))::INTEGER AS "offset", {shown} AS matched, 'ASCII' AS encoding
+FROM (SELECT doc_id, h, g, unnest(h) AS m, unnest(range(1, len(h) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS h, string_split_regex(text, '{pattern}') AS g FROM documents)) WHERE {keep}"""
+
+
+_LEAKS_SQL = " UNION ".join(
+    (
+        _found_sql("Email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "m", r"regexp_matches(lower(m), '^[^.@].*@[^.].*[.][a-z]{2,24}$') AND NOT regexp_matches(m, '[.]@') AND NOT regexp_matches(lower(m), '@(example[.](com|net|org|edu)|localhost)$') AND NOT regexp_matches(lower(m), '[.](example|test|invalid|localhost|local)$')"),
+        _found_sql("HexRun", "[0-9A-Fa-f]{32,}", "substr(m, 1, 8) || '…' || substr(m, -8)", "length(replace(m, m[1], '')) > 0"),
+        _found_sql("HomePath", r"(?i)(?:/Users/|/home/|\\Users\\|\\home\\)[A-Za-z0-9._-]+", "m", "lower(regexp_extract(m, '[A-Za-z0-9._-]+$')) NOT IN (" + ", ".join(f"'{u}'" for u in scan.PLACEHOLDER_USERS) + ")"),
+    )
+)
+
+
+@query(_LEAKS_SQL)
 def leak_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rule over the bytes of every document, as they are and as UTF-16LE at both alignments."""
-    from ..functions.scan import scan
+    """Every rule over the bytes of every document, as they are and as UTF-16LE at both alignments.
 
+    The SQL knows the rules that need no look behind a match: these tables hold nothing for the others.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
-    return scan(docs, "doc_id", "bytes").select("doc_id", "rule", "offset", "matched", "encoding")
+    return scan.scan(docs, "doc_id", "bytes").select("doc_id", "rule", "offset", "matched", "encoding")
 
 
 @query("SELECT page_id, ['UrlFile', 'DesktopEntry', 'Webloc', 'Bookmark'][page_id % 4 + 1] AS format, 'Url' AS target_kind, url AS target FROM pages")
@@ -306,13 +394,24 @@ def shortcut_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", d.sniff_shortcut("b").alias("format"), link["target_kind"].alias("target_kind"), link["target"].alias("target"))
 
 
-@query("SELECT p_partkey, substr(md5(p_partkey::VARCHAR), 1, 6) AS color, p_size * 0.75::DOUBLE AS pt FROM part")
+@query(
+    "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN substr(h, 1, 6) WHEN 1 THEN h[1] || h[1] || h[2] || h[2] || h[3] || h[3] WHEN 2 THEN upper(printf('%02x%02x%02x', r, 255, 0)) WHEN 3 THEN 'FF0000' END AS color, "
+    "CASE p_partkey % 3 WHEN 0 THEN p_size * 0.75 WHEN 1 THEN p_size WHEN 2 THEN p_size * 12 END::DOUBLE AS pt FROM (SELECT *, upper(md5(p_partkey::VARCHAR)) AS h, p_partkey % 256 AS r FROM part)"
+)
 def css_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.css_functions import SCALARS
 
     color, size = d.scalar(*SCALARS["css_color"]), d.scalar(*SCALARS["css_size_pt"])
-    hexed = F.concat(F.lit("#"), F.upper(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 6)))
-    return table(spark, sf_dir, "part").select("p_partkey", color(hexed).alias("color"), size(F.concat(F.col("p_size").cast("string"), F.lit("px"))).alias("pt"))
+    digits, k = F.md5(F.col("p_partkey").cast("string").cast("binary")), F.col("p_partkey") % 5
+    said = (
+        F.when(k == 0, F.concat(F.lit("#"), F.substring(digits, 1, 6)))
+        .when(k == 1, F.concat(F.lit("#"), F.substring(digits, 1, 3)))
+        .when(k == 2, F.concat(F.lit("rgb("), (F.col("p_partkey") % 256).cast("string"), F.lit(", 100%, 0)")))
+        .when(k == 3, "Red")
+        .otherwise("no-such-colour")
+    )
+    unit = F.get(F.array(F.lit("px"), F.lit("pt"), F.lit("pc")), (F.col("p_partkey") % 3).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.upper(color(said)).alias("color"), size(F.concat(F.col("p_size").cast("string"), unit)).alias("pt"))
 
 
 @query("SELECT s_suppkey AS payload_id, ordinal, 'text_html' || CASE WHEN ordinal = 0 THEN '' ELSE '-' || (ordinal + 1) END AS stem FROM supplier, (SELECT unnest([0, 1, 2]) AS ordinal)")
@@ -341,15 +440,29 @@ def property_store_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", got[0]["value"].alias("value"))
 
 
-@query()
+@query(
+    "SELECT n_nationkey, i.pos, i.kind, CASE i.pos WHEN 0 THEN 'This PC' WHEN 1 THEN 'Keyboard' WHEN 2 THEN n_name WHEN 3 THEN substr(n_name, 4) ELSE 'ftp://' || n_name || '/' END AS name, CASE i.pos WHEN 4 THEN n_name END AS ftp_host, CASE i.pos WHEN 4 THEN 'me' END AS ftp_user "
+    "FROM nation, (SELECT unnest(['RootFolder', 'ControlPanelItem', 'Volume', 'NetworkLocation', 'Uri']) AS kind, unnest([0, 1, 2, 3, 4])::INTEGER AS pos) i"
+)
 def idlist_item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of five classes, with names from the tables of identifiers and an FTP block."""
     from ..functions import records
 
-    made = table(spark, sf_dir, "nation").select("n_nationkey", d.write_items(F.array(F.concat(F.unhex(F.lit("2F")), F.encode("n_name", "UTF-8")), F.encode("n_name", "UTF-8"))).alias("b"))
-    return rows(made, ["n_nationkey"], "b", records.item_rows, records.ITEM).select("n_nationkey", "pos", "kind", "name")
+    name = F.encode("n_name", "UTF-8")
+    size = lambda c, n: F.unhex(F.concat(F.lpad(F.hex(F.octet_length(c)), 2, "0"), F.lit("00" * (n - 1))))
+    ftp = F.concat(F.unhex(F.lit("00" * 36)), size(name, 4), name, F.unhex(F.lit("02000000")), F.lit(b"me"), F.unhex(F.lit("00000000")))
+    items = F.array(
+        F.unhex(F.lit("1F50" + "CE295F5EA8E0D349AF327A7BDC173478")),
+        F.unhex(F.lit("7100" + "00" * 10 + "F7E85B728E667B4C8F9046BDB0936430")),
+        F.concat(F.unhex(F.lit("2F")), name),
+        name,
+        F.concat(F.unhex(F.lit("6100")), size(ftp, 2), ftp, F.lit(b"ftp://"), name, F.lit(b"/")),
+    )
+    made = table(spark, sf_dir, "nation").select("n_nationkey", d.write_items(items).alias("b"))
+    return rows(made, ["n_nationkey"], "b", records.item_rows, records.ITEM).select("n_nationkey", "pos", "kind", "name", F.col("ftp.host").alias("ftp_host"), F.col("ftp.user").alias("ftp_user"))
 
 
-@query()
+@query("SELECT page_id, p.path, p.kind, CASE p.path WHEN '/URL' THEN url ELSE p.value END AS value FROM pages, (SELECT unnest(['', '/URL', '/list', '/list/0', '/list/1', '/list/2']) AS path, unnest(['dict', 'string', 'array', 'int', 'bool', 'real']) AS kind, unnest([NULL, NULL, NULL, '1', 'True', '2.5']) AS value) p")
 def plist_object_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     import plistlib
 
@@ -358,3 +471,59 @@ def plist_object_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     write = d.scalar(lambda t: plistlib.dumps({"URL": t, "list": [1, True, 2.5]}, fmt=plistlib.FMT_BINARY), "binary")
     made = table(spark, sf_dir, "pages").select("page_id", write("url").alias("b"))
     return rows(made, ["page_id"], "b", lambda b: records.BinaryPlist(bytes(b)).rows(), records.PLIST_ROWS).select("page_id", "path", "kind", "value")
+
+
+@query("SELECT n_nationkey, n_name || '|' || reverse(n_name) AS children, n_name || '_P' AS parent FROM nation")
+def cida_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parent list and its children, as display paths."""
+    item = lambda c: d.write_items(F.array(F.concat(F.unhex(F.lit("2F")), F.encode(c, "UTF-8"))))
+    blob = d.write_cida(item(F.concat("n_name", F.lit("_P"))), F.array(item(F.col("n_name")), item(F.reverse("n_name"))))
+    back = d.cida(blob)["value"]
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(back["children"]["path"], "|").alias("children"), back["parent"]["path"].alias("parent"))
+
+
+@query("SELECT s_suppkey, '\\\\srv\\' || s_name AS share, 'Z:' AS device, 'DAV' AS provider FROM supplier")
+def network_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links into a network share: share, mapped drive and provider."""
+    share = F.encode(F.concat(F.lit("\\\\srv\\"), F.col("s_name")), "UTF-8")
+    back = d.shell_link(d.write_network_link(share))["value"]
+    return table(spark, sf_dir, "supplier").select("s_suppkey", back["net_name"].alias("share"), back["device_name"].alias("device"), back["provider"].alias("provider"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; in a temporary one in local mode without it."""
+    import tempfile
+    import uuid
+
+    held = spark.conf.get("spark.checkpoint.dir", None)
+    if not held and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor sees")
+    return f"{held.rstrip('/') if held else tempfile.mkdtemp(prefix='brindle-')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT user_id::VARCHAR AS stream, event_id AS seq, s AS spent, s <= 100 OR n = 0 AS accepted, s >= 100 AS is_exhausted FROM (SELECT user_id, event_id, octet_length(encode(props)) AS n, sum(octet_length(encode(props))) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS s FROM events)")
+def budget_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte budget of each user's events as a stream, written by micro-batch and read again."""
+    from ..streaming.budget import OUT, budget_stream
+
+    path = _scratch(spark, "budget")
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    chunks = events.select(F.col("user_id").cast("string").alias("stream"), F.col("event_id").cast("long").alias("seq"), F.octet_length("props").cast("long").alias("n"))
+    run = budget_stream(chunks, 100).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{path}/out").select("stream", "seq", "spent", "accepted", "is_exhausted")
+
+
+@query("SELECT s_suppkey || '/' || p.stem AS name, 'paired' AS state, octet_length(encode(s_name)) AS size, p.flavor, TRUE AS sound FROM supplier, (SELECT unnest(['text_html', 'text_plain']) AS stem, unnest(['Html', 'PlainText']) AS flavor) p")
+def payload_folder_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Representations written as pairs of files and scanned again, with the problems of their descriptions."""
+    from ..sources import payload_dir
+
+    root = _scratch(spark, "payloads")
+    natives = F.array(F.lit("text/html"), F.lit("text/plain"))
+    items = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("payload_id"), F.lit("Unix").alias("platform"), F.posexplode(natives).alias("ordinal", "native"), F.lit(0).alias("item"), F.encode("s_name", "UTF-8").alias("bytes"))
+    payload_dir.write(items, root, os="any", app="none", how="made")
+    found = payload_dir.pairs(spark, root)
+    bad = payload_dir.problems(found.where("state = 'paired'")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(bad, "stem", "left").select(F.regexp_extract("stem", "([^/]+/[^/]+)$", 1).alias("name"), "state", "size", F.get_json_object("sidecar", "$.flavor").alias("flavor"), F.col("n").isNull().alias("sound"))

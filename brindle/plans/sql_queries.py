@@ -203,6 +203,11 @@ def leak_homepath(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.size(F.filter(found, lambda f: f["rule"] == "HomePath")).cast("long").alias("n"))
 
 
+def encoded_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of a percent-encoded text, told without encoding it."""
+    return table(spark, sf_dir, "documents").select("doc_id", targets.encoded_len("text", "unreserved").cast("long").alias("n"))
+
+
 def limits_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("text")
     return table(spark, sf_dir, "documents").groupBy(limits.rejects(size, 4096).alias("refused")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).cast("long").alias("bytes"))
@@ -256,7 +261,7 @@ QUERIES = {
     for f in (
         url_scheme, url_classify, path_classify, url_is_file, url_percent_valid, url_percent_encode_unreserved, text_percent_encode, percent_roundtrip, file_uri, line_count, line_split,
         urilist_roundtrip, gnome_roundtrip, kde_verbs, drop_effects, html_escape, cf_html_offsets, cf_html_roundtrip, idlist_roundtrip, filetime_roundtrip, flavor_resolve, flavor_rank,
-        payload_best, payload_get, payload_item_count, transfer_action, write_plan_fanout, leak_email, leak_hexrun, leak_uuid, leak_homepath, limits_reject, budget_running, runs_merge,
+        payload_best, payload_get, payload_item_count, transfer_action, write_plan_fanout, leak_email, leak_hexrun, leak_uuid, leak_homepath, limits_reject, budget_running, runs_merge, encoded_lengths,
         locale_fallback, ini_lookup, text_utf8_roundtrip, dos_dates, side_effecting_targets,
     )
 }
@@ -298,8 +303,9 @@ ORACLES = {
     "leak_hexrun": "SELECT doc_id, len(h)::BIGINT AS n, array_to_string(h, '|') AS hits FROM (SELECT doc_id, regexp_extract_all(text, '[0-9A-Fa-f]{32,}') AS h FROM documents)",
     "leak_uuid": "SELECT o_orderkey, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) AS uuid FROM (SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS m FROM orders)",
     "leak_homepath": "SELECT c_custkey, CASE WHEN c_custkey % 4 IN (1, 3) THEN 2 ELSE 0 END::BIGINT AS n FROM customer",
+    "encoded_lengths": "SELECT doc_id, length(url_encode(text)) AS n FROM documents",
     "limits_reject": "SELECT octet_length(encode(text)) > 4096 AS refused, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY 1",
-    "budget_running": "SELECT user_id, event_id, s AS spent, s <= 100 AS accepted, s >= 100 AS is_exhausted FROM (SELECT user_id, event_id, sum(octet_length(encode(props))) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS s FROM events)",
+    "budget_running": "SELECT user_id, event_id, s AS spent, s <= 100 OR n = 0 AS accepted, s >= 100 AS is_exhausted FROM (SELECT user_id, event_id, octet_length(encode(props)) AS n, sum(octet_length(encode(props))) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS s FROM events)",
     "runs_merge": "SELECT user_id, event_type, min(event_id) AS s, max(event_id) + 1 AS e FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS c FROM events)) GROUP BY user_id, island, event_type",
     "locale_fallback": "SELECT c_custkey, ['de', 'de_AT', 'de_AT.UTF-8', 'sr_YU@Latn', 'sr@Latn', 'pt_BR.UTF-8@x'][c_custkey % 6 + 1] AS tag, ['de', 'de_AT,de', 'de_AT,de', 'sr_YU@Latn,sr_YU,sr@Latn,sr', 'sr@Latn,sr', 'pt_BR@x,pt_BR,pt@x,pt'][c_custkey % 6 + 1] AS rungs FROM customer",
     "ini_lookup": "SELECT user_id, section, arg_min(event_id, event_id)::VARCHAR AS value FROM (SELECT *, last_value(CASE WHEN event_id % 3 = 1 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS section FROM events) WHERE event_id % 3 <> 1 GROUP BY 1, 2",

@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import Bad, decoder
+from ..operators.payload import resolve
 from ..functions.targets import canonical_kind, kind_from_notes, safe_stem
 
 MAX_PAYLOAD, MAX_SIDECAR = 256 << 10, 64 << 10
@@ -118,12 +123,59 @@ def stems(items: DataFrame) -> DataFrame:
     return base.withColumn("stem", F.when(n == 1, F.col("_stem")).otherwise(F.concat("_stem", F.lit("-"), n.cast("string")))).drop("_stem")
 
 
-def sidecar_json(format_: Column, origin: str = "captured", **more: Column) -> Column:
-    """A description with its keys in a fixed order."""
-    return F.to_json(F.struct(format_.alias("format"), F.lit(origin).alias("origin"), *[c.alias(k) for k, c in more.items()]))
+def described(items: DataFrame, origin: str = "captured", source: str = "", os: str = "", app: str = "", app_version: str = "", how: str = "", notes: str = "") -> DataFrame:
+    """``items`` with stem and sidecar, a description with its keys in a fixed order; unknown fields stay as blanks."""
+    rows = resolve(stems(items))
+    flavor = F.when(F.col("flavor") != "Other", F.col("flavor"))
+    fields = F.struct(
+        F.col("native").alias("format"),
+        flavor.alias("flavor"),
+        F.lit(origin).alias("origin"),
+        F.concat("native", F.lit(" from "), F.lit(source) if source else F.col("platform")).alias("description"),
+        F.lit("ok").alias("expect"),
+        *[F.lit(v).alias(k) for k, v in (("os", os), ("app", app), ("app_version", app_version), ("how", how))],
+        F.octet_length("bytes").alias("bytes"),
+        F.col("item"),
+        F.lit(False).alias("redacted"),
+        F.lit(notes).alias("notes"),
+    )
+    return rows.select(*items.columns, "stem", F.to_json(fields, {"ignoreNullFields": "false"}).alias("sidecar"))
+
 
+def write(items: DataFrame, root: str, force: bool = False, **about: str) -> int:
+    """Sink: ``root/payload_id/stem.bin`` and ``.json`` for each representation with bytes; the number of pairs.
 
-def write(items: DataFrame, path: str) -> None:
-    """Sink: one row a representation, with stem and description, partitioned by payload as Parquet."""
-    rows = stems(items).withColumn("sidecar", sidecar_json(F.col("native"), bytes=F.octet_length("bytes"), item=F.col("item")))
-    rows.write.mode("append").parquet(path)
+    Every task writes its own rows' files. Unless ``force`` is set nothing is written if any of the files is there
+    already: a capture that half replaces another is worse than none. Files are written whole under another name and
+    then renamed, so a task that is run again does no harm.
+    """
+    rows = described(items, **about).where("bytes IS NOT NULL").select(F.concat_ws("/", F.col("payload_id").cast("string"), "stem").alias("name"), "bytes", "sidecar")
+
+    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = filesystem(root)
+        for b in batches:
+            paths = [f"{n}.{kind}" for n in b.column(0).to_pylist() for kind in ("bin", "json")]
+            infos = fs.get_file_info([f"{top}/{p}" for p in paths])
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, i in zip(paths, infos, strict=True) if i.type != pafs.FileType.NotFound], pa.string())], ["name"])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = filesystem(root)
+        for b in batches:
+            for x in b.to_pylist():
+                fs.create_dir(f"{top}/{x['name'].rpartition('/')[0]}", recursive=True)
+                for kind, data in (("bin", bytes(x["bytes"])), ("json", x["sidecar"].encode())):
+                    new = f"{top}/{x['name']}.{kind}.{uuid.uuid4().hex}.new"
+                    with fs.open_output_stream(new, compression=None) as f:
+                        f.write(data)
+                    fs.move(new, f"{top}/{x['name']}.{kind}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    if not force:
+        clash = rows.select("name").mapInArrow(there, "name string").limit(10).collect()
+        if clash:
+            raise FileExistsError("would overwrite " + ", ".join(r.name for r in clash))
+    return rows.mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def filesystem(root: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(root) if ":/" in root else (pafs.LocalFileSystem(), root)

@@ -10,25 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "stream string, seq long, n long, spent long, accepted boolean, is_exhausted boolean"
-STATE = "spent long, closed boolean"
+STATE = "spent long"
+MOST = (1 << 63) - 1
 
 
 def consume(limit: int):
-    """The state function for one stream: chunks in order of ``seq`` use up the budget; the first that does not fit
-    closes the stream, and nothing after it is accepted.
-    """
+    """The state function for one stream, chunks in order of ``seq``, with the rules of ``limits.budget``."""
 
     def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spent, closed = state.get if state.exists else (0, False)
+        (spent,) = state.get if state.exists else (0,)
         rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for seq, n in zip(rows["seq"], rows["n"], strict=True):
-            fits = not closed and spent + n <= limit
-            closed = closed or not fits
-            spent = spent + int(n) if fits else spent
-            out.append((key[0], int(seq), int(n), spent, fits, spent >= limit or closed))
-        state.update((spent, closed))
-        yield pd.DataFrame(out, columns=["stream", "seq", "n", "spent", "accepted", "is_exhausted"])
+        n = rows["n"].to_numpy()
+        # sums stop at the greatest long instead of turning over
+        total = [spent := min(MOST, spent + x) for x in n.tolist()]
+        state.update((spent,))
+        rows = rows.assign(stream=key[0], spent=total)
+        yield rows.assign(accepted=(rows["spent"] <= limit) | (n == 0), is_exhausted=rows["spent"] >= limit)[["stream", "seq", "n", "spent", "accepted", "is_exhausted"]]
 
     return run
 
@@ -36,6 +33,6 @@ def consume(limit: int):
 def budget_stream(chunks: DataFrame, limit: int) -> DataFrame:
     """``chunks`` (stream string, seq long, n long), a streaming frame, with the budget's state after each chunk.
 
-    State is two fields a stream; memory grows with the number of streams, not with their chunks.
+    State is one field a stream; memory grows with the number of streams, not with their chunks.
     """
     return chunks.groupBy("stream").applyInPandasWithState(consume(limit), OUT, STATE, "append", GroupStateTimeout.NoTimeout)

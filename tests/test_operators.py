@@ -156,11 +156,16 @@ def test_budget_over_micro_batches(spark, tmp_path):
     stream = spark.readStream.schema("stream string, seq long, n long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = budget_stream(stream, 100).writeStream.format("memory").queryName("budget_out").outputMode("append").start()
     q.processAllAvailable()
-    chunks([("a", 1, 50), ("a", 2, 5)])
+    chunks([("a", 1, 50), ("a", 2, 5), ("a", 3, 0), ("b", 1, 90), ("b", 2, (1 << 63) - 1), ("b", 3, 1)])
     q.processAllAvailable()
     q.stop()
-    got = {(r.stream, r.seq): r.accepted for r in spark.table("budget_out").collect()}
-    assert got == {("a", 0): True, ("b", 0): True, ("a", 1): False, ("a", 2): False}
+    got = {(r.stream, r.seq): (r.spent, r.accepted, r.is_exhausted) for r in spark.table("budget_out").collect()}
+    most = (1 << 63) - 1
+    assert got == {("a", 0): (60, True, False), ("b", 0): (10, True, False), ("a", 1): (110, False, True), ("a", 2): (115, False, True), ("a", 3): (115, True, True), ("b", 1): (100, True, True), ("b", 2): (most, False, True), ("b", 3): (most, False, True)}
+    from brindle.functions.limits import budget
+
+    rows = spark.createDataFrame([("x", k, n) for k, n in enumerate((8, 5, 0))], "stream string, seq long, n long")
+    assert [(r.spent, r.accepted) for r in budget(rows, ["stream"], ["seq"], "n", 10).orderBy("seq").collect()] == [(8, True), (13, False), (13, True)]
 
 
 def test_sql_names(spark):
