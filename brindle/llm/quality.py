@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_values, fit_features, fit_sample, pieces, text_buffers, worker_cache
-from .textfeat import Piece, Rolling, mix, segment_sum
+from .textfeat import HASH_BYTES, Piece, Rolling, hash_slices, mix, segment_sum
 
 #: Labelled rows that the model is fitted on at most, and weights by feature family.
 FIT_ROWS, BUCKETS = 3000, 1 << 16
@@ -33,7 +33,7 @@ def base_counts(p: Piece) -> dict[str, np.ndarray]:
     used = np.concatenate(([0], np.cumsum(~p.space)))
     real = used[stop] > used[begin]
     begin, stop, text = begin[real], stop[real], text[real]
-    key = mix(p.bytes_hash.of(begin, stop) + mix(text.astype(np.uint64)))
+    key = mix(hash_slices(p.data, begin, stop) + mix(text.astype(np.uint64)))
     data = p.data.tobytes()
     dup = _later(key, lambda i, j: text[i] == text[j] and data[begin[i] : stop[i]] == data[begin[j] : stop[j]])
     out["n_dup_lines"] = np.bincount(text[dup], minlength=p.n)
@@ -58,16 +58,18 @@ def base_counts(p: Piece) -> dict[str, np.ndarray]:
 
 
 def _later(key: np.ndarray, equal) -> np.ndarray:
-    """Items that equal an earlier one."""
+    """Items that equal an earlier one: of those with one key, compared with each different one before."""
     order = np.argsort(key, kind="stable")
     out = np.zeros(len(key), bool)
     same = np.concatenate(([False], key[order][1:] == key[order][:-1])) if len(key) else np.zeros(0, bool)
-    lead = 0
+    leads: list[int] = []
     for k in np.flatnonzero(same):
         if not same[k - 1]:
-            lead = order[k - 1]
-        if equal(lead, order[k]):
+            leads = [order[k - 1]]
+        if any(equal(lead, order[k]) for lead in leads):
             out[order[k]] = True
+        else:
+            leads.append(order[k])
     return out
 
 
@@ -88,16 +90,22 @@ def _confirmed(p: Piece, hits: np.ndarray, data: bytes) -> np.ndarray:
     return np.fromiter((seen[k] > 1 for k in keys), bool, len(keys))
 
 
-def features(p: Piece) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket of each n-gram, their number by text) of each family."""
-    out = []
+def features(p: Piece) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """(bucket of each n-gram, their number by text) of each family; of a long text alone in its piece, by parts."""
     for family, (kind, n) in enumerate(FAMILIES):
         if kind == "word":
             h, _, sizes = p.word_grams(n)
+            parts = [(h, sizes)]
+        elif p.n == 1 and len(p.data) > 2 * HASH_BYTES:
+            parts = ((h, np.array([len(h)])) for h in p.char_parts(n))
         else:
-            h, sizes = p.char_grams(n)
-        out.append(((h >> np.uint64(48)).astype(np.int64) + family * BUCKETS, sizes))
-    return out
+            parts = [p.char_grams(n)]
+        yield [((h >> np.uint64(48)).astype(np.int32) + family * BUCKETS, sizes) for h, sizes in parts] if isinstance(parts, list) else _counted(parts, family)
+
+
+def _counted(parts: Iterator[tuple[np.ndarray, np.ndarray]], family: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for h, sizes in parts:
+        yield (h >> np.uint64(48)).astype(np.int32) + family * BUCKETS, sizes
 
 
 @dataclass
@@ -111,8 +119,12 @@ class Model:
 
     def raw(self, p: Piece) -> np.ndarray:
         total = np.full(p.n, self.bias)
-        for at, sizes in features(p):
-            total += segment_sum(self.weights[at], sizes) / np.maximum(sizes, 1)
+        for parts in features(p):
+            held, number = np.zeros(p.n), np.zeros(p.n, np.int64)
+            for at, sizes in parts:
+                held += segment_sum(self.weights[at], sizes)
+                number += sizes
+            total += held / np.maximum(number, 1)
         return total
 
     def probability(self, p: Piece) -> np.ndarray:
@@ -167,7 +179,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
             for i, j in pieces(off):
                 p = Piece(raw, off[i : j + 1])
                 cells: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(p.n)]
-                for at, sizes in features(p):
+                for parts in features(p):
+                    if not isinstance(parts, list):  # one long text
+                        held = sum((np.bincount(at, minlength=len(FAMILIES) * BUCKETS) for at, _ in parts), np.zeros(len(FAMILIES) * BUCKETS, np.int64))
+                        u = np.flatnonzero(held)
+                        cells[0].append((u.astype(np.int32), (held[u] / held.sum()).astype(np.float32)))
+                        continue
+                    ((at, sizes),) = parts
                     stop = np.cumsum(sizes)
                     for d in np.flatnonzero(sizes):
                         u, c = np.unique(at[stop[d] - sizes[d] : stop[d]], return_counts=True)

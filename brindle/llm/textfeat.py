@@ -8,6 +8,7 @@ per text is a few numpy passes and no Python loop over words.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -65,6 +66,62 @@ class Rolling:
         return mix((self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n])
 
 
+#: Bytes hashed at once: bounds the scratch arrays of eight bytes a byte.
+HASH_BYTES = 1 << 20
+
+
+def hash_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64 = _P) -> np.ndarray:
+    """``Rolling(RAND[data]).of(start, end)`` with prefix sums kept only where slices begin or end."""
+    if len(data) <= HASH_BYTES:
+        return Rolling(RAND[data], base).of(start, end)
+    places = {"start": start, "end": end}
+    picked = {k: np.zeros(len(v), np.uint64) for k, v in places.items()}
+    scale = np.zeros(len(start), np.uint64)
+    order = {k: np.argsort(v, kind="stable") for k, v in places.items()}
+    up, inverse = powers(base, HASH_BYTES + 1)
+    total, lift, drop = np.uint64(0), 1, 1
+    for a in range(0, len(data) + 1, HASH_BYTES):
+        part = RAND[data[a : a + HASH_BYTES]] * up[: min(HASH_BYTES, len(data) - a)]
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64))) * np.uint64(lift) + total
+        for k, v in places.items():
+            lo, hi = np.searchsorted(v, [a, a + HASH_BYTES], sorter=order[k])
+            who = order[k][lo:hi]
+            picked[k][who] = run[v[who] - a]
+            if k == "start":
+                scale[who] = inverse[v[who] - a] * np.uint64(drop)
+        total = run[-1]
+        lift = lift * pow(int(base), HASH_BYTES, 1 << 64) % (1 << 64)
+        drop = drop * pow(pow(int(base), -1, 1 << 64), HASH_BYTES, 1 << 64) % (1 << 64)
+    return mix((picked["end"] - picked["start"]) * scale)
+
+
+def long_parts(raw: np.ndarray, start: int, stop: int, size: int, back: int = 0) -> Iterator[tuple[int, int]]:
+    """Ranges of a long text of about ``size`` bytes that end before white space; each takes along the last ``back``
+    words before it, so windows of back + 1 words lie in one range each.
+    """
+    at = lead = start
+    while True:
+        end = stop
+        for p in range(at + size, stop, 1 << 16):
+            found = np.flatnonzero(WS[raw[p : min(p + (1 << 16), stop)]])
+            if len(found):
+                end = p + int(found[0])
+                break
+        yield lead, end
+        if end >= stop:
+            return
+        at = lead = end
+        reach = 1 << 12
+        while back:
+            a = max(start, end - reach)
+            space = WS[raw[a:end]]
+            begins = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+            if len(begins) >= back or a == start:
+                lead = a + int(begins[-back]) if len(begins) >= back else start
+                break
+            reach *= 4
+
+
 class Piece:
     """Texts laid end to end; ``start`` and ``end`` are those of the texts, ``ws``/``we`` those of the words."""
 
@@ -86,18 +143,20 @@ class Piece:
         self.words = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n), self.words)
 
-    @functools.cached_property
-    def bytes_hash(self) -> Rolling:
-        return Rolling(RAND[self.data])
-
     @functools.cached_property
     def word_hash(self) -> np.ndarray:
-        return self.bytes_hash.of(self.ws, self.we)
+        return hash_slices(self.data, self.ws, self.we)
+
+    def char_parts(self, n: int) -> Iterator[np.ndarray]:
+        """Hashes of the n-byte windows of a piece that is one text, by parts."""
+        size = int(self.end[0] - self.start[0])
+        for a in range(0, max(0, size - n + 1), HASH_BYTES):
+            yield Rolling(RAND[self.data[a : min(size, a + HASH_BYTES + n - 1)]]).windows(n)
 
     def char_grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-byte windows inside single texts, and their number by text."""
         sizes = np.maximum(self.end - self.start - n + 1, 0)
-        h = self.bytes_hash.windows(n)
+        h = Rolling(RAND[self.data]).windows(n)
         keep = np.ones(len(self.data), bool)
         for k in range(n):
             keep[np.maximum(self.end - k, self.start)] = False
