@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, pieces, text_buffers, worker_cache
-from .textfeat import Piece, lowered, mix, segment_sum
+from .common import PIECE_BYTES, fold, pieces, text_buffers, worker_cache
+from .textfeat import Piece, long_parts, lowered, mix, segment_sum
 
 #: Documents of each language that the models are fitted on, about; hash buckets of the n-grams.
 FIT_DOCS, BUCKETS = 3000, 1 << 16
@@ -30,15 +30,17 @@ def _piece(raw: np.ndarray, off: np.ndarray) -> Piece:
     return Piece(lowered(np.where(_LETTER[raw], raw, np.uint8(32))), off)
 
 
-def _grams(p: Piece, buckets: int) -> Iterator[tuple[np.ndarray, int]]:
-    """Bucket of the n-gram that begins at each byte, and n."""
-    values = p.data.astype(np.uint64)
-    values[p.data == 10] = 32
+def _grams(p: Piece, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each n: bucket of the n-gram that begins at each byte (0: a space before the piece), and the range of each
+    word's n-grams. They lie in the word and one space on each side, so nothing depends on what stands around it.
+    """
+    values = np.concatenate((np.full(1, 32, np.uint64), p.data.astype(np.uint64)))
+    values[values == 10] = 32
     for n in ORDERS:
         h = np.zeros(len(values), np.uint64)
         for k in range(n):
             h[: len(values) - k] |= values[k:] << np.uint64(8 * k)
-        yield (mix(h + np.uint64(n)) >> np.uint64(65 - buckets.bit_length())).astype(np.int64), n
+        yield (mix(h + np.uint64(n)) >> np.uint64(65 - buckets.bit_length())).astype(np.int64), p.ws, np.maximum(p.we + 3 - n, p.ws)
 
 
 def buckets_for(langs: int) -> int:
@@ -49,6 +51,13 @@ def buckets_for(langs: int) -> int:
     return n
 
 
+class Words:
+    """In place of the piece of one long text: how many words it has."""
+
+    def __init__(self, words: int):
+        self.n, self.words = 1, np.array([words])
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -56,18 +65,15 @@ class Model:
 
     def words(self, p: Piece) -> np.ndarray:
         """Log-likelihood of each word by language: the mean over orders of the sum over its n-grams."""
-        size = len(p.data)
         total = np.zeros((len(p.ws), len(self.langs)))
-        for k, (at, n) in enumerate(_grams(p, self.log.shape[1])):
-            begin = np.maximum(p.ws - 1, 0)
-            stop = np.maximum(np.minimum(p.we + 2 - n, size), begin + 1)
+        for k, (at, begin, stop) in enumerate(_grams(p, self.log.shape[1])):
             for x in range(len(self.langs)):
-                run = np.zeros(size + 1)
+                run = np.zeros(len(at) + 1)
                 np.cumsum(self.log[k, :, x][at], out=run[1:])
                 total[:, x] += run[stop] - run[begin]
         return total / len(ORDERS)
 
-    def infer(self, p: Piece) -> tuple[np.ndarray, np.ndarray]:
+    def infer(self, p: Piece, ll: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Proportions of the languages by text (0 outside the chosen set), and which are in the set.
 
         EM over the words: the share of each language in a word by its likelihood and the text's proportions, then
@@ -75,7 +81,7 @@ class Model:
         languages (by their proportion under all of them) are tried, and stay while the gain in log-likelihood
         exceeds ``PRICE`` * ln(words) each.
         """
-        ll = self.words(p)
+        ll = self.words(p) if ll is None else ll
         m = len(self.langs)
         full = p.words > 0
         top = ll.max(axis=1, keepdims=True) if len(ll) else np.zeros((0, 1))
@@ -140,13 +146,15 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCS, id_col: str = "doc_id", t
         for batch in batches:
             raw, off = text_buffers(batch.column(1))
             names = batch.column(0).to_pylist()
-            for i, j in pieces(off):
-                p = _piece(raw, off[i : j + 1])
-                lang = np.repeat([langs.index(x) for x in names[i:j]], p.end - p.start + 1)
-                used = np.concatenate((~p.space[1:], [False])) | ~p.space  # begins in a word or just before one
-                for k, (at, _) in enumerate(_grams(p, buckets)):
+            ranges = [r for i, j in pieces(off) for r in ([(i, j, off[i], off[j])] if off[j] - off[i] <= 2 * PIECE_BYTES else [(i, j, a, b) for a, b in long_parts(raw, off[i], off[j], PIECE_BYTES)])]
+            for i, j, a, b in ranges:
+                p = _piece(raw, np.array([a, *off[i + 1 : j], b]))
+                lang = np.repeat([langs.index(x) for x in names[i:j]], p.words)
+                for k, (at, begin, stop) in enumerate(_grams(p, buckets)):
                     for x in np.unique(lang):
-                        total[x, k] += np.bincount(at[used & (lang == x)], minlength=buckets)
+                        own = lang == x
+                        marks = np.bincount(begin[own], minlength=len(at) + 1) - np.bincount(stop[own], minlength=len(at) + 1)
+                        total[x, k] += np.bincount(at[np.cumsum(marks[:-1]) > 0], minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array([t.tobytes() for t in total], pa.binary())], ["lang", "counts"])
 
     got = sample.mapInArrow(run, "lang string, counts binary").toLocalIterator()
@@ -180,8 +188,12 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int =
             raw, off = text_buffers(batch.column(3))
             spoken = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in pieces(off, PIECE):
-                p = _piece(raw, off[i : j + 1])
-                share, used = model.infer(p)
+                if off[j] - off[i] > 2 * PIECE:  # one long text: the likelihoods of its words, part by part
+                    parts = [_piece(raw, np.array([a, b])) for a, b in long_parts(raw, off[i], off[j], PIECE)]
+                    ll = np.concatenate([model.words(p) for p in parts])
+                    share, used = model.infer(Words(len(ll)), ll)
+                else:
+                    share, used = model.infer(_piece(raw, off[i : j + 1]))
                 known = spoken[i:j] & (used.any(axis=1) if len(model.langs) else False)
                 first = np.where(known, share.argmax(axis=1) if len(model.langs) else 0, len(model.langs))
                 score = np.where(known, share.max(axis=1) if len(model.langs) else 0.0, 0.0)
