@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, fit_features, fit_sample, fold, pieces, text_buffers, worker_cache
-from .textfeat import Piece
+from .common import PIECE_BYTES, binary_values, fit_features, fit_sample, fold, pieces, text_buffers, worker_cache
+from .textfeat import Piece, long_parts
 
 #: Labelled rows that the model is fitted on at most, bits of the hashed feature space.
 FIT_ROWS, BITS = 10_000, 20
@@ -37,6 +37,13 @@ def grams(p: Piece) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(doc)
 
 
+def parts_of(raw: np.ndarray) -> Iterator[Piece]:
+    """A long text in pieces that share the words which a window can reach over."""
+    raw = letters_only(raw)
+    for a, b in long_parts(raw, 0, len(raw), PIECE_BYTES, max(n + skip for n, skip in GRAMS) - 1):
+        yield Piece(raw[a:b], np.array([0, b - a]), lower=True)
+
+
 class Weights:
     """The weights that L1 left, by bucket."""
 
@@ -50,11 +57,16 @@ class Weights:
         return w
 
     @staticmethod
-    def score(p: Piece, dense: np.ndarray, bias: float) -> np.ndarray:
-        """Probability by text: each different n-gram counts once, and only those with a weight are looked at."""
+    def hits(p: Piece, dense: np.ndarray) -> np.ndarray:
+        """Cells (text, bucket) of the different n-grams that have a weight."""
         at, doc = grams(p)
         hit = np.flatnonzero(dense[at])
-        cell = np.unique(doc[hit] << BITS | at[hit])
+        return np.unique(doc[hit] << BITS | at[hit])
+
+    @staticmethod
+    def score(p: Piece, dense: np.ndarray, bias: float) -> np.ndarray:
+        """Probability by text: each different n-gram counts once, and only those with a weight are looked at."""
+        cell = Weights.hits(p, dense)
         z = bias + np.bincount(cell >> BITS, dense[cell & ((1 << BITS) - 1)], minlength=p.n)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -74,6 +86,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
             raw, off = text_buffers(batch.column(2))
             raw = letters_only(raw)
             for i, j in pieces(off):
+                if off[j] - off[i] > 2 * PIECE_BYTES:
+                    cell = np.unique(np.concatenate([np.unique(grams(p)[0]) for p in parts_of(raw[off[i] : off[j]])]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([cell.astype(np.int32).tobytes()], pa.binary())], ["y", "order", "idx"])
+                    continue
                 p = Piece(raw, off[i : j + 1], lower=True)
                 at, doc = grams(p)
                 cell = np.unique(doc << BITS | at)
@@ -135,8 +151,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = FIT
         for batch in batches:
             raw, off = text_buffers(batch.column(2))
             for i, j in pieces(off):
-                p = Piece(letters_only(raw[off[i] : off[j]]), off[i : j + 1] - off[i], lower=True)
-                score = Weights.score(p, dense, bias)
+                if off[j] - off[i] > 2 * PIECE_BYTES:  # one long text
+                    cells = [Weights.hits(p, dense) for p in parts_of(raw[off[i] : off[j]])]
+                    z = bias + dense[np.unique(np.concatenate(cells))].sum(dtype=np.float64)
+                    score = np.array([1 / (1 + np.exp(-np.clip(z, -30, 30)))])
+                else:
+                    p = Piece(letters_only(raw[off[i] : off[j]]), off[i : j + 1] - off[i], lower=True)
+                    score = Weights.score(p, dense, bias)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     held = F.coalesce(fold(id_col, folds) == 0, F.lit(False)).alias("held_out")
