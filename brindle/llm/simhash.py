@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, pieces, stored, text_buffers, worker_cache
+from .common import PIECE_BYTES, join_hot, pieces, stored, text_buffers, worker_cache
 from .components import components
-from .textfeat import Piece
+from .textfeat import Piece, long_parts
 
 LINK_BITS = 2
 #: Fingerprints a task sends to their anchors, about.
@@ -30,11 +30,40 @@ def fingerprint_of(raw: bytes, shingle: int = 3) -> int:
     return _majority(np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], np.uint64))
 
 
-def _majority(h: np.ndarray) -> int:
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, the highest first."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 15):
         ones += np.unpackbits(h[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    return ones
+
+
+def _bits(ones: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
+def _majority(h: np.ndarray) -> int:
+    return _bits(_ones(h), len(h))
+
+
+def _hashes(p: Piece, shingle: int, whole: bool = True) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, hashes of its shingles) of a piece; with ``whole`` a text of fewer words is one shingle."""
+    digest = xxhash.xxh64_intdigest
+    upper = (p.data >= 65) & (p.data <= 90)
+    data = p.data + (upper * np.uint8(32))
+    # one space between words, whatever was there: words keep their order, so their places follow
+    size = p.we - p.ws
+    joined = np.full(int(size.sum() + len(size)), 32, np.uint8)
+    begin = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
+    keep = np.ones(len(joined), bool)
+    keep[begin + size] = False
+    joined[keep] = data[~p.space]
+    flat, a, b = joined.tobytes(), begin.tolist(), (begin + size).tolist()
+    for d in np.flatnonzero(p.words if whole else p.words >= shingle):
+        x, y = int(p.first[d]), int(p.first[d + 1])
+        last = max(x + 1, y - shingle + 1)
+        ends = b[x + shingle - 1 : y] or [b[y - 1]]
+        yield d, np.array([digest(flat[s:e], 42) for s, e in zip(a[x:last], ends, strict=True)], np.uint64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,28 +72,20 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("simhash")
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
             raw, off = text_buffers(batch.column(1))
             out = np.zeros(len(off) - 1, np.uint64)
             for i, j in pieces(off):
-                p = Piece(raw, off[i : j + 1])
-                data = p.data
-                upper = (data >= 65) & (data <= 90)
-                data = data + (upper * np.uint8(32))
-                # one space between words, whatever was there: words keep their order, so their places follow
-                size = p.we - p.ws
-                joined = np.full(int(size.sum() + len(size)), 32, np.uint8)
-                begin = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
-                keep = np.ones(len(joined), bool)
-                keep[begin + size] = False
-                joined[keep] = data[~p.space]
-                flat, a, b = joined.tobytes(), begin.tolist(), (begin + size).tolist()
-                for d in np.flatnonzero(p.words):
-                    x, y = int(p.first[d]), int(p.first[d + 1])
-                    last = max(x + 1, y - shingle + 1)
-                    ends = b[x + shingle - 1 : y] or [b[y - 1]]
-                    out[i + d] = _majority(np.array([digest(flat[s:e], 42) for s, e in zip(a[x:last], ends, strict=True)], np.uint64))
+                if off[j] - off[i] > 2 * PIECE_BYTES:  # one long text: votes are added up over its parts
+                    ones, n = np.zeros(64, np.int64), 0
+                    for a, b in long_parts(raw, off[i], off[j], PIECE_BYTES, shingle - 1):
+                        for _, h in _hashes(Piece(raw, np.array([a, b])), shingle, whole=False):
+                            ones, n = ones + _ones(h), n + len(h)
+                    if n:
+                        out[i] = _bits(ones, n)
+                        continue
+                for d, h in _hashes(Piece(raw, off[i : j + 1]), shingle):
+                    out[i + d] = _majority(h)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], [id_col, "fp"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, fp long")
