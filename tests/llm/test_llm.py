@@ -737,6 +737,80 @@ def test_clashing_columns_and_null_ids(spark):
         assert Counter(map(tuple, run(pages).collect())) == Counter(map(tuple, run(wide).collect()))
 
 
+# -- very long texts -------------------------------------------------------
+
+
+def test_slices_and_parts_of_long_texts(monkeypatch):
+    import brindle.llm.textfeat as m
+
+    r = np.random.default_rng(4)
+    data = r.integers(0, 256, 5000).astype(np.uint8)
+    data[r.integers(0, 5000, 700)] = 32
+    start = np.sort(r.integers(0, 4000, 300))
+    end = np.minimum(start + r.integers(0, 2000, 300), 5000)
+    want = m.hash_slices(data, start, end)
+    for size in (64, 1000, 4999, 5000):
+        monkeypatch.setattr(m, "HASH_BYTES", size)
+        assert (m.hash_slices(data, start, end) == want).all()
+    words = bytes(data).translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" ")
+    words = [w for w in words if w]
+    for back in (0, 1, 3):
+        got = []
+        for a, b in m.long_parts(data, 0, len(data), 200, back):
+            part = [w for w in bytes(data[a:b]).translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" ") if w]
+            got += [tuple(part[k : k + back + 1]) for k in range(len(part) - back)]
+        assert got == [tuple(words[k : k + back + 1]) for k in range(len(words) - back)]
+
+
+def test_long_texts_in_parts_give_the_same(spark, monkeypatch):
+    """Every kernel over texts that it handles in parts agrees with itself over the whole."""
+    import brindle.llm.bpe_fst as fst_module
+    import brindle.llm.textfeat as m
+
+    docs, labels, rows = labelled(spark)
+    model, weights, lang = quality.fit(docs, labels), toxicity.fit(docs, labels), langid.fit(docs)
+    dense = weights.dense()
+    r = random.Random(20)
+    texts = [" ".join(t for _, t, _ in r.sample(rows[:240], 40)), "x" * 3000, "w " * 2000 + "\n" + "w " * 2000, ("line of words here\n" * 300)]
+    for t in texts:
+        raw, off = _buffers([t])
+        whole = Piece(raw, off)
+        counts, p = quality.base_counts(whole), model.probability(whole)
+        tox = toxicity.Weights.score(Piece(toxicity.letters_only(raw), off, lower=True), dense, weights.bias)
+        ll = lang.words(langid._piece(raw, off))
+        with monkeypatch.context() as k:
+            for module in (m, quality):
+                k.setattr(module, "HASH_BYTES", 500)
+            k.setattr(toxicity, "PIECE_BYTES", 500)
+            again = Piece(raw, off)
+            assert all((counts[c] == v).all() for c, v in quality.base_counts(again).items())
+            assert np.allclose(model.probability(again), p, atol=1e-9)
+            cells = np.unique(np.concatenate([toxicity.Weights.hits(x, dense) for x in toxicity.parts_of(raw)]))
+            assert np.allclose(1 / (1 + np.exp(-(weights.bias + dense[cells].sum(dtype=float)))), tox, atol=1e-6)
+            parts = [lang.words(langid._piece(raw, np.array([a, b]))) for a, b in m.long_parts(raw, 0, len(raw), 500)]
+            assert np.allclose(np.concatenate(parts), ll) and len(ll) == sum(map(len, parts))
+    assert fst_module.PART >= 1 << 16
+
+
+def test_very_long_text_and_many_repeated_rows(spark, library):
+    """A text of 12 MB and one row a hundred thousand times, through the operators that look into texts."""
+    r = random.Random(21)
+    words = ["".join(r.choices("abcdeiou", k=r.randint(1, 9))) for _ in range(5000)]
+    long = " ".join(r.choices(words, k=2_200_000))
+    same = " ".join(r.choices(words, k=30))
+    docs = docs_of(spark, [(1, long, "a"), (2, "short text", "a")]).unionByName(spark.range(100_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit(same).alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"), F.lit(1).cast("long").alias("n_chars")))
+    n = token_counts.token_counts(docs, VOCABULARY).groupBy("doc_id").agg(F.max("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert {(x.doc_id, x.n, x.rows) for x in n} == {(1, len(library.encode(long, add_special_tokens=False).ids), 1), (2, 2, 1), (3, len(library.encode(same, add_special_tokens=False).ids), 100_000)}
+    marks = simhash.simhash_groups(docs).groupBy("doc_id").agg(F.max("fingerprint").alias("f"), F.count(F.lit(1)).alias("n")).collect()
+    assert {(x.doc_id, x.f, x.n) for x in marks} == {(i, format(simhash.fingerprint_of(t.encode()), "016x"), k) for i, t, k in ((1, long, 1), (2, "short text", 1), (3, same, 100_000))}
+    groups = exact_dedup.exact_dedup(docs).groupBy("doc_id").agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.max("group_size").alias("n")).collect()
+    assert {(x.doc_id, x.kept, x.n) for x in groups} == {(1, 1, 1), (2, 1, 1), (3, 1, 100_000)}
+    mixed = mixing.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(x.taken - x.target) <= (2_200_000 if x.source == "a" else 30) for x in mixed)
+    judged = quality.quality_rules(docs, spark.createDataFrame([(2, 1)], "doc_id long, quality int")).where("doc_id = 1").first()
+    assert judged.n_words == 2_200_000 and judged.word_chars == len(long) - 2_199_999
+
+
 # -- pipeline ------------------------------------------------------------
 
 
