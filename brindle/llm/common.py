@@ -122,7 +122,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, sa
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     picked = picked.withColumn("order", F.xxhash64("id", F.lit(salt))).orderBy("order", "id", "y").limit(rows)
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    return found.groupBy("order", "y").agg(F.min("text").alias("text")).select("y", "order", "text")
+    return found.groupBy("order", "y").agg(F.min("text").alias("text")).select("y", "order", "text").repartition(16, "order")
 
 
 def fit_features(features: DataFrame, limit: int | None = None) -> pa.Table:
