@@ -35,11 +35,17 @@ def utf8(c: str) -> Column:
     return F.encode(c, "UTF-8")
 
 
-@query()
+_TEXT_SQL = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title[^>]*>.*?</title>|<!--.*?-->|<noscript[^>]*>.*?</noscript>', '', 'gis'), '[ \t\r\n\f]+', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '</?(?:address|article|aside|blockquote|body|div|dl|dt|dd|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tr|ul)(?:\s[^>]*)?/?>|<br\s*/?>', chr(10), 'gi'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: ltrim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '') AS l FROM b)
+SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(rtrim(array_to_string(l, chr(10)), chr(32)), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&#39;', ''''), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text, NULL::VARCHAR AS error FROM c"""
+
+
+@query(_TEXT_SQL)
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text and number of styled runs of every page."""
+    """Text of every page: a line a block, white space as one space, what is not shown left out, references decoded."""
     doc = table(spark, sf_dir, "pages").select("page_id", d.html_document(utf8("html")).alias("d"))
-    return doc.select("page_id", F.col("d.value.text").alias("text"), F.size("d.value.runs").cast("long").alias("n_runs"), F.col("d.error.kind").alias("error"))
+    return doc.select("page_id", F.col("d.value.text").alias("text"), F.col("d.error.kind").alias("error"))
 
 
 @query()
