@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Blocks whose sums one task adds up, and rows of a range (at least; a large table has more of them).
-SPAN, RANGE_ROWS, MOST_RANGES = 4096, 20_000, 10_000
+SPAN, RANGE_ROWS, MOST_RANGES = 4096, 2000, 10_000
 
 
 def ranges(df: DataFrame, n: int, order: list[str], out: str) -> DataFrame:
