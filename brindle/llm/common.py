@@ -133,7 +133,8 @@ def fit_features(features: DataFrame, limit: int | None = None) -> pa.Table:
     fits = int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy()), limit, side="right"))
     if fits < len(sizes):
         made = made.where(F.col("order") < sizes.column("order")[fits].as_py())
-    return made.toArrow().sort_by([("order", "ascending"), ("y", "ascending")])
+    # sorted by a task, so that the driver holds one copy
+    return made.coalesce(1).sortWithinPartitions("order", "y").toArrow()
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -201,6 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
         return Model(np.zeros(size, np.float32), 20.0)
     at, sizes = binary_values(got.column("idx"), np.int32)
     v, _ = binary_values(got.column("val"), np.float32)
+    del got
     hold = np.arange(len(y)) % 5 == 4
     edge = np.concatenate(([0], np.cumsum(sizes)))
     parts = [(i, min(i + 200, len(y))) for i in range(0, len(y), 200)]  # bounds the arrays made in a pass

@@ -102,6 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     if not len(y) or y.min() == y.max():
         return Weights(np.zeros(1 << BITS), -20.0 if not len(y) or not y.max() else 20.0)
     at, sizes = binary_values(got.column("idx"), np.int32)
+    del got
     return ftrl(np.split(at, np.cumsum(sizes)[:-1]), y)
 
 
