@@ -11,6 +11,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from typing import Any
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -36,6 +37,11 @@ def pairs(spark: SparkSession, root: str) -> DataFrame:
 
     def scan(suffix: str) -> DataFrame:
         d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").load(root)
+        short = F.regexp_replace("path", "^([A-Za-z0-9]+):/+", "$1:/").alias("path")
+        # a scan passes over empty files, so they come from the listing that it was planned with
+        listed = spark.createDataFrame([(unquote(p),) for p in d.inputFiles()], "path string").select(short)
+        d = d.select(short, "content")
+        d = d.unionByName(listed.join(d.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content")))
         name = F.regexp_extract("path", r"([^/]*)$", 1)
         return d.where(~name.startswith(".") & (F.lower(name) != "readme.md")).select(stem(F.col("path")).alias("stem"), F.col("content"))
 

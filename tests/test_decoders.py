@@ -286,3 +286,47 @@ def test_bookmark_entries():
         records.bookmark_check(bytes(looped))
     assert e.value.kind == "DepthLimit"
     assert records.is_internet_location(b"ilhtMACS") and not records.is_internet_location(b"ilht")
+
+
+def test_names_of_folders_panels_and_networks():
+    from brindle.functions import guids
+
+    assert guids.KNOWN_FOLDERS["{21EC2020-3AEA-1069-A2DD-08002B30309D}"] == "All Control Panel Items"
+    assert guids.KNOWN_FOLDERS["{871C5380-42A0-1069-A2EA-08002B30309D}"] == "Internet Folder"
+    assert guids.network_name(0x001A0000) == "AVID" and guids.network_name(0x00430000) == "GOOGLE"
+    assert guids.network_name(0x00280000) is None and guids.network_name(0) is None and guids.network_name(0x00440000) is None
+
+
+def test_ftp_block_of_a_uri_item():
+    block = bytes(8) + (77).to_bytes(8, "little") + bytes(20) + b"\x04\0\0\0host\x02\0\0\0me\xff\0\0\0"
+    item = b"\x61\0" + len(block).to_bytes(2, "little") + block + b"ftp://host/\0"
+    got = records.shell_item(item)
+    assert got["name"] == "ftp://host/" and got["ftp"] == {"timestamp": 77, "host": "host", "user": "me", "password": None}
+    assert records.shell_item(b"\x61\0\0\0http://x\0")["ftp"] is None
+
+
+def test_network_part_of_a_link():
+    link = records.shell_link(records.write_network_link(b"\\\\srv\\share", b"D:", 0x00200000))
+    assert (link["net_name"], link["device_name"], link["provider"]) == ("\\\\srv\\share", "D:", "DECORB")
+
+
+def test_typed_values_of_desktop_entries():
+    from brindle.functions import lineformats as lf
+
+    assert lf.as_bool("true") is True and lf.as_number("-1.5e3") == -1500 and lf.as_number(".5") == 0.5
+    for bad in ("1", "True", "yes", ""):
+        with pytest.raises(Bad):
+            lf.as_bool(bad)
+    for bad in ("", "1_0", " 1", "0x1", "1,5"):
+        with pytest.raises(Bad):
+            lf.as_number(bad)
+    args = lf.exec_args('run %f --x=%u "%%"')
+    assert lf.program('"a b" c') == "a b" and lf.program(" ") is None and [lf.as_field(a) for a in args] == [None, "f", None, None]
+
+
+def test_tiff_header():
+    raw = bitmap.encode_tiff(2, 1, bytes(range(8)))
+    assert raw[:8] == b"II*\0\x08\0\0\0" and raw[-8:] == bytes(range(8))
+    tags = {int.from_bytes(raw[k : k + 2], "little"): int.from_bytes(raw[k + 8 : k + 12], "little") for k in range(10, 10 + 12 * 11, 12)}
+    assert (tags[256], tags[257], tags[262], tags[277], tags[338]) == (2, 1, 2, 4, 2) and tags[273] == len(raw) - 8
+    assert [int.from_bytes(raw[tags[258] + 2 * k : tags[258] + 2 * k + 2], "little") for k in range(4)] == [8] * 4

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import limits, scan, targets
@@ -175,3 +176,76 @@ def test_sql_names(spark):
     row = spark.sql("SELECT css_color('rgb(1,2,3)') c, html_document(cast('<b>x' as binary)).value.text t").first()
     assert (row.c, row.t) == ("010203", "x")
     assert spark.sql("SELECT count(*) FROM html_tokens(cast('<a>b</a>' as binary))").first()[0] == 3
+
+
+def test_nothing_is_decoded_after_the_first_success(monkeypatch):
+    from brindle.operators import facade
+
+    tried = []
+    plain = facade.decode_item
+    monkeypatch.setattr(facade, "decode_item", lambda data, native, platform, flavor, **k: tried.append(flavor) or plain(data, native, platform, flavor, **k))
+    rep = lambda ordinal, flavor, data, **k: {"payload_id": 1, "platform": "Unix", "ordinal": ordinal, "item": 0, "native": flavor, "flavor": flavor, "is_content": True, "rank": ordinal, "size": len(data), "verdict": "Accept", "verb": None, "bytes": data, **k}
+    s = facade.Search(rep(0, "Rtf", b"no rtf"), {})
+    for x in (rep(0, "Rtf", b"no rtf"), rep(1, "Html", b"<b>x"), rep(2, "DibV5", b"broken"), rep(3, "PlainText", b"x")):
+        s.look(x)
+    assert tried == ["Rtf", "Html"] and s.row()["kind"] == "RichText" and "failure" not in s.row()
+    s = facade.Search(rep(0, "DibV5", b"broken"), {})
+    for x in (rep(0, "DibV5", b"broken"), rep(1, "FileContents", b""), rep(2, "Html", b"<b>", verdict="Skip", size=99)):
+        s.look(x)
+    assert s.row()["failure"]["variant"] == "Codec" and s.row()["flavor"] == "DibV5"
+    s = facade.Search(rep(0, "Html", b"x", verdict="Abort", size=7), {})
+    for x in (rep(0, "Html", b"x", verdict="Abort", size=7), rep(1, "PlainText", b"y")):
+        s.look(x)
+    assert s.row()["failure"] == {"variant": "TooLarge", "kind": None, "offset": 7} and len(tried) == 4
+
+
+def test_native_helpers_of_items(spark):
+    from brindle.functions import decoders as d
+    from brindle.functions.targets import encoded_len, percent_encode_path, percent_encode_unreserved
+    from brindle.operators.facade import files_of_paths, is_plain, spans
+
+    words = spark.createDataFrame([("a b/é~!",), ("",), ("%+*",)], "s string")
+    for r in words.select(encoded_len("s", "path"), F.length(percent_encode_path("s")), encoded_len("s", "unreserved"), F.length(percent_encode_unreserved("s"))).collect():
+        assert r[0] == r[1] and r[2] == r[3]
+    rich = spark.createDataFrame([(b"a <b>\xc3\xa9</b> c",), (b"plain only",)], "b binary").select(d.html_document("b")["value"].alias("rich"))
+    got = rich.select(is_plain(F.col("rich")).alias("plain"), spans(F.col("rich")).alias("s")).collect()
+    assert [r.plain for r in got] == [False, True] and [(x.text, x.style.bold) for x in got[0].s] == [("a ", False), ("é", True), (" c", False)]
+    files = spark.range(1).select(files_of_paths(F.array(F.lit("/a"), F.lit("/b"))).alias("f")).first().f
+    assert files.action == "Copy" and [(e.kind, e.value) for e in files.entries] == [("Path", "/a"), ("Path", "/b")]
+
+
+def test_payload_sink_refuses_to_overwrite(spark, tmp_path):
+    from brindle.sources import payload_dir
+
+    rows = [(1, "Unix", 0, "text/html", 0, b"<p>"), (1, "Unix", 1, "TEXT/html", 0, b"x"), (2, "MacOs", 0, "public.rtf", 1, b""), (3, "Unix", 0, "text/plain", 0, None)]
+    items = spark.createDataFrame(rows, "payload_id long, platform string, ordinal int, native string, item int, bytes binary")
+    about = {"os": "x", "app": "y", "how": "z", "notes": "n"}
+    assert payload_dir.write(items, str(tmp_path), **about) == 3
+    assert sorted(p.name for p in (tmp_path / "1").iterdir()) == ["TEXT_html-2.bin", "TEXT_html-2.json", "text_html.bin", "text_html.json"]
+    side = json.loads((tmp_path / "2" / "public.rtf.json").read_text())
+    assert list(side) == ["format", "flavor", "origin", "description", "expect", "os", "app", "app_version", "how", "bytes", "item", "redacted", "notes"]
+    assert (side["flavor"], side["bytes"], side["item"], side["redacted"]) == ("Rtf", 0, 1, False)
+    with pytest.raises(FileExistsError):
+        payload_dir.write(items, str(tmp_path), **about)
+    assert payload_dir.write(items.where("payload_id = 2"), str(tmp_path), force=True, **about) == 1
+    found = payload_dir.pairs(spark, str(tmp_path))
+    assert found.where("state = 'paired'").count() == 3 and payload_dir.problems(found).count() == 0
+
+
+def test_identity_of_a_scan(spark):
+    from brindle.functions import scan
+
+    text = "see /USERS/Mrossi/x, mrossi1 and Mrossi. Ann's iPhone"
+    df = spark.createDataFrame([(1, text.encode()), (2, b"z" + "mrossi at /home/ann".encode("utf-16-le"))], "id int, b binary")
+    got = {tuple(r) for r in scan.scan(df, "id", "b", scan.Identity("mrossi", "/Users/mrossi")).select("id", "rule", "offset", "matched", "encoding").collect()}
+    assert got == {
+        (1, "CurrentUser", 4, "/Users/mrossi", "ASCII"),
+        (1, "CurrentUser", 4, "/USERS/Mrossi", "ASCII"),
+        (1, "CurrentUser", 11, "mrossi", "ASCII"),
+        (1, "CurrentUser", 33, "mrossi", "ASCII"),
+        (1, "PersonalDevice", 41, "Ann's iPhone", "ASCII"),
+        (2, "CurrentUser", 1, "mrossi", "UTF-16LE"),
+        (2, "HomePath", 21, "/home/ann", "UTF-16LE"),
+    }
+    nobody = scan.Identity("root", "/root")
+    assert nobody.patterns() == [] and scan.Identity(None, "C:\\Users\\Zed\\").home_base == "Zed"
