@@ -90,22 +90,22 @@ def _confirmed(p: Piece, hits: np.ndarray, data: bytes) -> np.ndarray:
     return np.fromiter((seen[k] > 1 for k in keys), bool, len(keys))
 
 
-def features(p: Piece) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
-    """(bucket of each n-gram, their number by text) of each family; of a long text alone in its piece, by parts."""
+def features(p: Piece) -> Iterator[Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """For each family the (bucket of each n-gram, their number by text); a long text alone in its piece comes in parts."""
     for family, (kind, n) in enumerate(FAMILIES):
         if kind == "word":
             h, _, sizes = p.word_grams(n)
-            parts = [(h, sizes)]
+            parts = iter([(h, sizes)])
         elif p.n == 1 and len(p.data) > 2 * HASH_BYTES:
             parts = ((h, np.array([len(h)])) for h in p.char_parts(n))
         else:
-            parts = [p.char_grams(n)]
-        yield [((h >> np.uint64(48)).astype(np.int32) + family * BUCKETS, sizes) for h, sizes in parts] if isinstance(parts, list) else _counted(parts, family)
+            parts = iter([p.char_grams(n)])
+        yield _buckets(parts, family * BUCKETS)
 
 
-def _counted(parts: Iterator[tuple[np.ndarray, np.ndarray]], family: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _buckets(parts: Iterator[tuple[np.ndarray, np.ndarray]], base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for h, sizes in parts:
-        yield (h >> np.uint64(48)).astype(np.int32) + family * BUCKETS, sizes
+        yield (h >> np.uint64(48)).astype(np.int32) + base, sizes
 
 
 @dataclass
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
                 p = Piece(raw, off[i : j + 1])
                 cells: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(p.n)]
                 for parts in features(p):
-                    if not isinstance(parts, list):  # one long text
+                    if p.n == 1:
                         held = sum((np.bincount(at, minlength=len(FAMILIES) * BUCKETS) for at, _ in parts), np.zeros(len(FAMILIES) * BUCKETS, np.int64))
                         u = np.flatnonzero(held)
                         cells[0].append((u.astype(np.int32), (held[u] / held.sum()).astype(np.float32)))
