@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -435,25 +436,38 @@ def document(data: bytes) -> dict[str, Any]:
     return {"text": "".join(parts), "runs": [{"start": a, "end": b, "style": style(p)} for a, b, p in spans], "generator": generator(data, page)}
 
 
+_PAIRED = re.compile(r"[\\{}\n\t]|[^ -~]")
+
+
 def escape(text: str, stand_in: bool = True) -> bytes:
-    """Text as RTF: CR, LF and CRLF are one paragraph mark, what is not ASCII an escape by UTF-16 unit."""
-    out = []
-    for c in re.sub("\r\n?", "\n", text):
-        if c in "\\{}":
-            out.append("\\" + c)
-        elif c == "\n":
-            out.append("\\par ")
-        elif c == "\t":
-            out.append("\\tab ")
-        elif " " <= c <= "~":
-            out.append(c)
-        else:
-            units = c.encode("utf-16-le", "surrogatepass")
-            s = STAND_INS.get(c, "?")
-            for i in range(0, len(units), 2):
-                value = int.from_bytes(units[i : i + 2], "little", signed=True)
-                out.append(f"\\u{value}" + (" " + s if s == " " and stand_in else s if stand_in else " "))
-    return "".join(out).encode()
+    """Text as RTF: CR, LF and CRLF are one paragraph mark, what is not ASCII an escape by UTF-16 unit.
+
+    Only the characters that need it are looked at one by one.
+    """
+    return _PAIRED.sub(_shown if stand_in else _bare, re.sub("\r\n?", "\n", text)).encode()
+
+
+def _shown(m: re.Match) -> str:
+    return _escaped(m[0], True)
+
+
+def _bare(m: re.Match) -> str:
+    return _escaped(m[0], False)
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _escaped(c: str, stand_in: bool) -> str:
+    if c in "\\{}":
+        return "\\" + c
+    if c == "\n":
+        return "\\par "
+    if c == "\t":
+        return "\\tab "
+    units, s, out = c.encode("utf-16-le", "surrogatepass"), STAND_INS.get(c, "?"), []
+    for i in range(0, len(units), 2):
+        value = int.from_bytes(units[i : i + 2], "little", signed=True)
+        out.append(f"\\u{value}" + (" " + s if s == " " and stand_in else s if stand_in else " "))
+    return "".join(out)
 
 
 def half_points(points: float | None) -> int:
