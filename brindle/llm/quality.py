@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_values, fit_features, fit_sample, pieces, text_buffers, worker_cache
-from .textfeat import HASH_BYTES, Piece, Rolling, hash_slices, mix, segment_sum
+from .textfeat import HASH_BYTES, Piece, Rolling, mix, segment_sum
 
 #: Labelled rows that the model is fitted on at most, and weights by feature family.
 FIT_ROWS, BUCKETS = 3000, 1 << 16
@@ -33,7 +33,7 @@ def base_counts(p: Piece) -> dict[str, np.ndarray]:
     used = np.concatenate(([0], np.cumsum(~p.space)))
     real = used[stop] > used[begin]
     begin, stop, text = begin[real], stop[real], text[real]
-    key = mix(hash_slices(p.data, begin, stop) + mix(text.astype(np.uint64)))
+    key = mix(p.slices(begin, stop) + mix(text.astype(np.uint64)))
     data = p.data.tobytes()
     dup = _later(key, lambda i, j: text[i] == text[j] and data[begin[i] : stop[i]] == data[begin[j] : stop[j]])
     out["n_dup_lines"] = np.bincount(text[dup], minlength=p.n)

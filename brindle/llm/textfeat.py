@@ -143,9 +143,18 @@ class Piece:
         self.words = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n), self.words)
 
+    @functools.cached_property
+    def bytes_hash(self) -> Rolling:
+        """Of a piece of ordinary size; what is longer is hashed in parts."""
+        return Rolling(RAND[self.data])
+
+    def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges."""
+        return hash_slices(self.data, start, end) if len(self.data) > 2 * HASH_BYTES else self.bytes_hash.of(start, end)
+
     @functools.cached_property
     def word_hash(self) -> np.ndarray:
-        return hash_slices(self.data, self.ws, self.we)
+        return self.slices(self.ws, self.we)
 
     def char_parts(self, n: int) -> Iterator[np.ndarray]:
         """Hashes of the n-byte windows of a piece that is one text, by parts."""
@@ -156,7 +165,7 @@ class Piece:
     def char_grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-byte windows inside single texts, and their number by text."""
         sizes = np.maximum(self.end - self.start - n + 1, 0)
-        h = Rolling(RAND[self.data]).windows(n)
+        h = self.bytes_hash.windows(n)
         keep = np.ones(len(self.data), bool)
         for k in range(n):
             keep[np.maximum(self.end - k, self.start)] = False
