@@ -46,6 +46,11 @@ def test_references():
     assert html.unescape(b"&#150;") == "\u2013"
 
 
+def test_references_without_semicolon():
+    assert html.document(b"<h1>a&amp;b&amp</h1>&#65 &lt;")["text"] == "a&b&\nA <"
+    assert html.document(b"<h1>a&amp;b&amp</h1>&#65 &lt;", closed=True)["text"] == "a&b&amp\n&#65 <"
+
+
 def test_deep_markup_is_an_error():
     fails("DepthLimit", 5 * 64, html_text, b"<div>" * 65)
     assert html_text(b"<div>" * 64 + b"x") == "x"

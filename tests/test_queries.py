@@ -38,6 +38,15 @@ def test_query(spark, duck, name):
     assert (plain(got)[1] == plain(want)[1]).all().all()
 
 
+def test_html_text_with_cut_references(spark, tmp_path):
+    cut = ["<h1>and&amp</h1><p>&amp;&amp;&amp x</p>", "<p>a&amp;lt;b &lt</p>", "<p>&quot;&#39;&#39 c</p>"]
+    spark.createDataFrame(list(enumerate(cut)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = catalog.QUERIES["html_text"](spark, str(tmp_path)).toPandas()
+    assert (plain(got)[1] == plain(con.sql(catalog.ORACLES["html_text"]).df())[1]).all().all()
+
+
 def test_entry(spark):
     import __spark_entry__
 
