@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import css_functions, decoders, html, records, rtf, shellitems
-from .functions.core import Bad
+from .functions.core import Bad, registrable
 from .shipping import ensure_importable
 
 DECODERS = "html_document rtf_document rtf_header cf_html drop_list file_descriptors item_list cida shell_link webloc bookmark dib_header dib_decode uri_list copied_files percent_decode url_file ini_entries desktop_entries desktop_unescape exec_args exec_check codepage_decode codepage_encode build_cf_html bookmark_check bookmark_flags link_from_file property_store drop_list_paths".split()
@@ -62,7 +62,7 @@ def register(spark: SparkSession) -> None:
     ensure_importable(spark)
     for name in DECODERS:
         d = getattr(decoders, name)
-        spark.udf.register(name, F.pandas_udf(d.batch, d.schema))
+        spark.udf.register(name, registrable(d.one, d.schema))
     for name, (f, schema) in TABLES.items():
         spark.udtf.register(name, F.udtf(_table(f, schema), returnType=f"{schema}, error string"))
     for name, (f, kind) in css_functions.SCALARS.items():

@@ -335,3 +335,26 @@ def test_tiff_header():
     tags = {int.from_bytes(raw[k : k + 2], "little"): int.from_bytes(raw[k + 8 : k + 12], "little") for k in range(10, 10 + 12 * 11, 12)}
     assert (tags[256], tags[257], tags[262], tags[277], tags[338]) == (2, 1, 2, 4, 2) and tags[273] == len(raw) - 8
     assert [int.from_bytes(raw[tags[258] + 2 * k : tags[258] + 2 * k + 2], "little") for k in range(4)] == [8] * 4
+
+
+_RTF_PARTS = [b"{", b"}", b"\\u243?", b"\\u8201  ", b"\\u-10179?", b"\\u-8702?", b"\\u12345", b"\\u5 ", b"\\par", b"\\tab ", b"\\par-5 x", b"\\parx", b"\\b ", b"\\b0", b"\\uc2 ", b"\\uc0", b"\\\\", b"\\{", b"\\*", b"\\'e9", b"\n", b"abc", b" ", b"9", b"-", b"\xe9", b"\\fonttbl", b"\\bin3 abc", b"\\u", b"\\u-3", b"\\u54999?", b"\\u55296?", b"?"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(_RTF_PARTS), max_size=14))
+def test_whole_spans_give_the_runs_of_single_tokens(parts):
+    data = b"{\\rtf1 " + b"".join(parts) + b"}"
+
+    def characters(whole):
+        try:
+            return [(c, r.props) for r in rtf.Machine(data).runs(whole) for c in r.text]
+        except Bad as e:
+            return e.kind, e.offset
+
+    assert characters(True) == characters(False)
+
+
+def test_long_rtf_takes_few_tokens():
+    data = rtf.write([("häuser\n{x}\t\u4e2d " * 500, {})])
+    assert sum(1 for _ in rtf.Machine(data).runs(whole=True)) == 1
+    assert rtf.document(data)["text"] == "häuser\n{x}\t\u4e2d " * 500
