@@ -125,16 +125,29 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, sa
     return found.groupBy("order", "y").agg(F.min("text").alias("text")).select("y", "order", "text").repartition(16, "order")
 
 
-def fit_features(features: DataFrame, limit: int | None = None) -> pa.Table:
-    """``features`` (y, order, idx and others) on the driver, by order: as many of the first as have ``limit`` bytes."""
+def fit_features(features: DataFrame, limit: int | None = None, **columns: type) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """``features`` (y, order, idx and others) on the driver, by order: as many of the first as have ``limit`` bytes.
+
+    y, the numbers a row has, and for each column named (with its type) the numbers of all rows end to end. Rows come
+    a partition at a time and go straight to their place, so that the driver holds one copy.
+    """
     limit = FIT_BYTES if limit is None else limit
     made = stored(features, "fit-features")
-    sizes = made.select("order", F.octet_length("idx").cast("long").alias("n")).toArrow().sort_by("order")
-    fits = int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy()), limit, side="right"))
-    if fits < len(sizes):
-        made = made.where(F.col("order") < sizes.column("order")[fits].as_py())
-    # sorted by a task, so that the driver holds one copy
-    return made.coalesce(1).sortWithinPartitions("order", "y").toArrow()
+    head = made.select("order", "y", F.octet_length("idx").cast("long").alias("n")).toArrow().sort_by([("order", "ascending"), ("y", "ascending")])
+    order, y, n = (head.column(c).to_numpy() for c in ("order", "y", "n"))
+    fits = int(np.searchsorted(np.cumsum(n), limit, side="right"))
+    if fits < len(n):
+        made = made.where(F.col("order") < int(order[fits]))
+        fits = int(np.searchsorted(order, order[fits]))
+    sizes = n[:fits] // np.dtype(columns["idx"]).itemsize
+    stop = np.cumsum(sizes)
+    out = {c: np.empty(int(stop[-1]) if fits else 0, kind) for c, kind in columns.items()}
+    place = {key: i for i, key in enumerate(zip(order[:fits].tolist(), y[:fits].tolist(), strict=True))}
+    for row in made.select("order", "y", *columns).toLocalIterator():
+        i = place[row[0], row[1]]
+        for c, kind in columns.items():
+            out[c][stop[i] - sizes[i] : stop[i]] = np.frombuffer(row[c], kind)
+    return y[:fits], sizes, out
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,17 +164,6 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def binary_values(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all cells of a binary column end to end, without a copy of each, and how many a cell has."""
-    array = column.combine_chunks()
-    if isinstance(array, pa.ChunkedArray):
-        array = array.chunk(0) if array.num_chunks else pa.array([], pa.binary())
-    off = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int32)
-    data = array.buffers()[2]
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(data, kind, (int(off[-1]) - int(off[0])) // size, int(off[0])) if data is not None and len(array) else np.zeros(0, kind), np.diff(off) // size
-
-
 def pieces(off: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text; a longer text is a piece of its own, whole."""
     n, i = len(off) - 1, 0

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, fit_features, fit_sample, pieces, text_buffers, worker_cache
+from .common import fit_features, fit_sample, pieces, text_buffers, worker_cache
 from .textfeat import HASH_BYTES, Piece, Rolling, mix, segment_sum
 
 #: Labelled rows that the model is fitted on at most, and weights by feature family.
@@ -194,14 +194,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
                 val = [np.concatenate([np.zeros(0, np.float32), *(v for _, v in c)]).tobytes() for c in cells]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["y", "order", "idx", "val"])
 
-    got = fit_features(sample.mapInArrow(run, "y int, order long, idx binary, val binary"))
-    y = got.column("y").to_numpy().astype(np.float64)
+    y, sizes, got = fit_features(sample.mapInArrow(run, "y int, order long, idx binary, val binary"), idx=np.int32, val=np.float32)
+    y = y.astype(np.float64)
     size = len(FAMILIES) * BUCKETS
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(size, np.float32), 20.0)
-    at, sizes = binary_values(got.column("idx"), np.int32)
-    v, _ = binary_values(got.column("val"), np.float32)
-    del got
+    at, v = got["idx"], got["val"]
     hold = np.arange(len(y)) % 5 == 4
     edge = np.concatenate(([0], np.cumsum(sizes)))
     parts = [(i, min(i + 200, len(y))) for i in range(0, len(y), 200)]  # bounds the arrays made in a pass

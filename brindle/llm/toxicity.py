@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, binary_values, fit_features, fit_sample, fold, pieces, text_buffers, worker_cache
+from .common import PIECE_BYTES, fit_features, fit_sample, fold, pieces, text_buffers, worker_cache
 from .textfeat import Piece, long_parts
 
 #: Labelled rows that the model is fitted on at most, bits of the hashed feature space.
@@ -97,13 +97,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
                 idx = [x.astype(np.int32).tobytes() for x in np.split(cell & ((1 << BITS) - 1), stop)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(idx, pa.binary())], ["y", "order", "idx"])
 
-    got = fit_features(sample.mapInArrow(run, "y int, order long, idx binary"))
-    y = got.column("y").to_numpy()
+    y, sizes, got = fit_features(sample.mapInArrow(run, "y int, order long, idx binary"), idx=np.int32)
     if not len(y) or y.min() == y.max():
         return Weights(np.zeros(1 << BITS), -20.0 if not len(y) or not y.max() else 20.0)
-    at, sizes = binary_values(got.column("idx"), np.int32)
-    del got
-    return ftrl(np.split(at, np.cumsum(sizes)[:-1]), y)
+    return ftrl(np.split(got["idx"], np.cumsum(sizes)[:-1]), y)
 
 
 def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = ALPHA, l1: float = L1, l2: float = L2, passes: int = PASSES) -> Weights:

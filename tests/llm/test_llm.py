@@ -941,3 +941,28 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
         assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in plain.collect()), name
         if name != "packing":
             assert got.columns == none.columns == odd.columns and all(r.row.a == r.doc_id for r in got.select("doc_id", "row").collect()), name
+
+
+def test_fitted_features_come_a_partition_at_a_time_in_order(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from brindle.llm.common import fit_features
+
+    made = [(i % 2, (i * 37) % 101 // 2, np.arange(i % 7, dtype=np.int32).tobytes(), np.full(i % 7, i, np.float32).tobytes()) for i in range(101)]
+    made = list({(o, y): (y, o, a, b) for y, o, a, b in made}.values())
+    want = sorted(made, key=lambda r: (r[1], r[0]))
+    frame = spark.createDataFrame(made, "y int, order long, idx binary, val binary").repartition(5)
+    whole, most = DataFrame.toArrow, []
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: most.append(self.columns) or whole(self))
+    for limit in (None, 400, 0):
+        y, sizes, got = fit_features(frame, limit, idx=np.int32, val=np.float32)
+        rows, total = [], 0
+        for r in want:
+            total += len(r[2])
+            if total > (1 << 40 if limit is None else limit):
+                rows = [x for x in rows if x[1] < r[1]]
+                break
+            rows.append(r)
+        assert y.tolist() == [r[0] for r in rows] and sizes.tolist() == [len(r[2]) // 4 for r in rows]
+        assert got["idx"].tobytes() == b"".join(r[2] for r in rows) and got["val"].tobytes() == b"".join(r[3] for r in rows)
+    assert all("idx" not in c and "val" not in c for c in most)
