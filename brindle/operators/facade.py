@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import bitmap, html, limits, lineformats, records, rtf, text
-from ..functions.core import Bad, utf8_strict
+from ..functions.core import Bad, records_of, utf8_strict
 from ..functions.links import classify
 from ..functions.targets import html_escape_lines
 from ..plans import dims
@@ -115,9 +115,9 @@ def decode_rows(rows: DataFrame, **options: Any) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for part in records_of(batches):
             out = []
-            for x in b.to_pylist():
+            for x in part:
                 base = {c: x[c] for c in keep}
                 try:
                     got = decode_item(x["bytes"] or b"", x["native"], x["platform"], x["flavor"], **options)
@@ -163,8 +163,8 @@ def decode_payload(items: DataFrame, max_flavor_bytes: int | None = limits.MAX_F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, done = None, []
-        for b in batches:
-            for x in b.to_pylist():
+        for part in records_of(batches):
+            for x in part:
                 if now is None or x["payload_id"] != now.id:
                     done += [] if now is None else [now.row()]
                     now = Search(x, options)
@@ -388,8 +388,8 @@ def encode(items: DataFrame, *platforms: str) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pylist([r for x in b.to_pylist() for r in encoded(x)], arrow)
+        for part in records_of(batches):
+            yield pa.RecordBatch.from_pylist([r for x in part for r in encoded(x)], arrow)
 
     rows = joined.select("payload_id", "platform", "kind", *ARMS, "plan", "_markup").mapInArrow(run, schema)
     return rows.withColumn("native", F.coalesce("native", native_name(F.col("flavor"), F.col("platform"))))

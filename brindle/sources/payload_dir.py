@@ -1,7 +1,7 @@
 """Folders of captured payloads: a ``.bin`` file with the bytes beside a ``.json`` file that describes it.
 
-Reading is two binary scans and a full outer join on folder and stem, so every executor reads its share; what lacks
-its partner is reported, not lost. The description is checked as data: every problem of it, not the first.
+Reading is one binary scan grouped by folder and stem, so every executor reads its share; what lacks its partner is
+reported, not lost. The description is checked as data: every problem of it, not the first.
 """
 
 from __future__ import annotations
@@ -11,14 +11,13 @@ import re
 import uuid
 from collections.abc import Iterator
 from typing import Any
-from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import Bad, decoder
+from ..functions.core import Bad, decoder, spread
 from ..functions.targets import canonical_kind, kind_from_notes, safe_stem
 from ..operators.payload import resolve
 
@@ -35,19 +34,18 @@ def stem(path: Column) -> Column:
 def pairs(spark: SparkSession, root: str) -> DataFrame:
     """stem, bytes, sidecar, size, state: paired, no_sidecar or no_payload. Hidden files and readmes are passed over."""
 
-    def scan(suffix: str) -> DataFrame:
-        d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").load(root)
-        short = F.regexp_replace("path", "^([A-Za-z0-9]+):/+", "$1:/").alias("path")
-        # a scan passes over empty files, so they come from the listing that it was planned with
-        listed = spark.createDataFrame([(unquote(p),) for p in d.inputFiles()], "path string").select(short)
-        d = d.select(short, "content")
-        d = d.unionByName(listed.join(d.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content")))
-        name = F.regexp_extract("path", r"([^/]*)$", 1)
-        return d.where(~name.startswith(".") & (F.lower(name) != "readme.md")).select(stem(F.col("path")).alias("stem"), F.col("content"))
-
-    payload = scan("bin").withColumnRenamed("content", "bytes")
-    side = scan("json").select("stem", F.col("content").cast("string").alias("sidecar"))
-    both = payload.join(side, "stem", "full_outer")
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{bin,json}").load(root)
+    short = F.regexp_replace("path", "^([A-Za-z0-9]+):/+", "$1:/").alias("path")
+    # a scan passes over empty files, so every file also comes, empty, from the listing that it was planned with; the
+    # names go from the index to rows inside the JVM
+    jvm = spark.sparkContext._jvm
+    names = spark._jsparkSession.createDataset(jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(d._jdf.inputFiles()), jvm.org.apache.spark.sql.Encoders.STRING())
+    listed = DataFrame(names.toDF(), spark).select(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))).alias("path"))
+    found = d.select(short, "content").unionByName(listed.select(short, F.lit(b"").alias("content")))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    found = found.where(~name.startswith(".") & (F.lower(name) != "readme.md"))
+    of = lambda suffix: F.max(F.when(F.col("path").endswith(suffix), F.col("content")))
+    both = found.groupBy(stem(F.col("path")).alias("stem")).agg(of(".bin").alias("bytes"), of(".json").cast("string").alias("sidecar"))
     state = F.when(F.col("sidecar").isNull(), "no_sidecar").when(F.col("bytes").isNull(), "no_payload").otherwise("paired")
     return both.select("stem", "bytes", "sidecar", F.octet_length("bytes").cast("long").alias("size"), state.alias("state"))
 
@@ -155,10 +153,12 @@ def write(items: DataFrame, root: str, force: bool = False, **about: str) -> int
     already: a capture that half replaces another is worse than none. Files are written whole under another name and
     then renamed, so a task that is run again does no harm.
     """
-    rows = described(items, **about).where("bytes IS NOT NULL").select(F.concat_ws("/", F.col("payload_id").cast("string"), "stem").alias("name"), "bytes", "sidecar")
+    rows = described(spread(items, "payload_id"), **about).where("bytes IS NOT NULL").select(F.concat_ws("/", F.col("payload_id").cast("string"), "stem").alias("name"), "bytes", "sidecar")
 
     def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = filesystem(root)
+        if fs.get_file_info(top).type == pafs.FileType.NotFound:
+            return
         for b in batches:
             paths = [f"{n}.{kind}" for n in b.column(0).to_pylist() for kind in ("bin", "json")]
             infos = fs.get_file_info([f"{top}/{p}" for p in paths])

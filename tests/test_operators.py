@@ -249,3 +249,52 @@ def test_identity_of_a_scan(spark):
     }
     nobody = scan.Identity("root", "/root")
     assert nobody.patterns() == [] and scan.Identity(None, "C:\\Users\\Zed\\").home_base == "Zed"
+
+
+def test_decoders_hold_a_piece_of_a_batch(spark):
+    from brindle.functions import core
+
+    assert [n for _, n in core.pieces(1000, 1000)] == [256, 256, 256, 232]
+    assert [n for _, n in core.pieces(3, 9 << 20)] == [1, 1, 1]
+    assert list(core.pieces(0, 0)) == []
+    held, most = 0, 0
+
+    class Value(str):
+        def __new__(cls, s):
+            nonlocal held, most
+            held, most = held + 1, max(most, held + 1)
+            return super().__new__(cls, s)
+
+        def __del__(self):
+            nonlocal held
+            held -= 1
+
+    import pyarrow as pa
+
+    got = core.by_pieces(lambda x: Value(x), pa.string(), (pa.array([str(i) for i in range(5000)]),))
+    assert got.to_pylist() == [str(i) for i in range(5000)]
+    assert most <= 2 * core.PIECE_ROWS
+
+
+def test_small_files_are_dealt_over_tasks(spark, tmp_path):
+    from brindle import catalog
+
+    rows = [(i, f"Customer#{i}", "BUILDING") for i in range(400)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("rich_text_roundtrip", "payload_best", "codepage_roundtrip"):
+        plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, name
+    counts = catalog.QUERIES["rich_text_roundtrip"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(counts) > 1 and sum(r[1] for r in counts) == 400
+
+
+def test_folder_scan_reads_every_file_once(spark, tmp_path):
+    from brindle.sources import payload_dir
+
+    for name, data in (("a/x.bin", b"1"), ("a/x.json", b"{}"), ("a/empty.bin", b""), ("a/b c+d%20.bin", b""), ("a/b c+d%20.json", b"{}"), ("a/lone.json", b""), ("a/.hid.bin", b"1"), ("readme.md", b"x")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    found = payload_dir.pairs(spark, str(tmp_path))
+    got = {r.stem.rpartition("/")[2]: (r.bytes and bytes(r.bytes), r.sidecar, r.size, r.state) for r in found.collect()}
+    assert got == {"x": (b"1", "{}", 1, "paired"), "empty": (b"", None, 0, "no_sidecar"), "b c+d%20": (b"", "{}", 0, "paired"), "lone": (None, "", None, "no_payload")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("] binaryFile") == 1
