@@ -47,6 +47,15 @@ def test_html_text_with_cut_references(spark, tmp_path):
     assert (plain(got)[1] == plain(con.sql(catalog.ORACLES["html_text"]).df())[1]).all().all()
 
 
+def test_style_stats_decode_a_page_once(spark, tmp_path):
+    pages = ["<p>a <b>bc</b></p>", None, "", "<i>é</i>", "<div>" * 70, "x"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.QUERIES["html_style_stats"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert got.columns == ["bold", "runs", "bytes"]
+    assert sorted(map(tuple, got.collect())) == [(False, 3, 5), (True, 1, 2)]
+
+
 def test_entry(spark):
     import __spark_entry__
 
