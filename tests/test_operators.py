@@ -276,6 +276,24 @@ def test_decoders_hold_a_piece_of_a_batch(spark):
     assert most <= 2 * core.PIECE_ROWS
 
 
+def test_decoders_give_back_the_memory_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    from brindle.functions import core
+
+    column, left = pa.array(["x" * 4000] * 2000), []
+    start = pa.total_allocated_bytes()
+
+    class Pool:
+        def release_unused(self):
+            left.append(pa.total_allocated_bytes() - start)
+
+    monkeypatch.setattr(core.pa, "default_memory_pool", Pool)
+    got = core.by_pieces(lambda x: x, pa.string(), (column,))
+    assert got.equals(column)
+    assert len(left) == 1 and left[0] < 1.5 * got.nbytes
+
+
 def test_small_files_are_dealt_over_tasks(spark, tmp_path):
     from brindle import catalog
 
