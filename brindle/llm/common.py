@@ -78,6 +78,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_shuffle(side: DataFrame) -> DataFrame:
+    """``side`` of a join that must not be broadcast, as it grows with the input.
+
+    Spark takes a table for as large as its files and a map's rows for as many as went in. So rows that compress well,
+    or of which a map makes many, look small enough, and the driver gets them all.
+    """
+    return side.hint("merge")
+
+
 #: A key is hot above so many rows, and above its share of all rows that leaves at most so many hot keys.
 HOT_ROWS, MOST_HOT = 20_000, 10_000
 
@@ -91,8 +100,8 @@ def join_hot(rows: DataFrame, named: DataFrame, on: list[str], count: str, total
     limit = max(HOT_ROWS, total // MOST_HOT)
     hot = named.where(F.col(count) > limit)
     if hot.isEmpty():
-        return rows.join(named, on)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(named.where(F.col(count) <= limit), on)
+        return rows.join(by_shuffle(named), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(by_shuffle(named.where(F.col(count) <= limit)), on)
     return rows.join(F.broadcast(hot), on).unionByName(rest)
 
 

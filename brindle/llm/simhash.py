@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, join_hot, pieces, stored, text_buffers, worker_cache
+from .common import PIECE_BYTES, by_shuffle, join_hot, pieces, stored, text_buffers, worker_cache
 from .components import components
 from .textfeat import Piece, long_parts
 
@@ -203,7 +203,7 @@ def links(nodes: DataFrame, threshold: int = LINK_BITS) -> DataFrame:
     home = anchors(nodes, threshold, False).select("anchor", F.col("fp").alias("x"))
     visit = anchors(nodes, threshold, True).select("anchor", F.col("fp").alias("y"))
     differ = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    met = home.join(visit, "anchor").where((differ <= threshold) & (differ > 0))
+    met = home.join(by_shuffle(visit), "anchor").where((differ <= threshold) & (differ > 0))
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
@@ -225,8 +225,9 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, threshold: int = LINK_BITS
     # a fingerprint becomes about 80 rows, so a few rows of the small table are work for a task
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // NODES_A_TASK)
     pairs = stored(links(nodes.select("fp").repartition(parts, "fp"), threshold), "simhash-links")
-    edges = pairs.join(nodes.select(F.col("fp").alias("x"), F.col("node").alias("a")), "x").join(nodes.select(F.col("fp").alias("y"), F.col("node").alias("b")), "y").select("a", "b")
+    end = lambda fp, node: by_shuffle(nodes.select(F.col("fp").alias(fp), F.col("node").alias(node)))
+    edges = pairs.join(end("x", "a"), "x").join(end("y", "b"), "y").select("a", "b")
     found = components(edges).select(F.col("node.fp").alias("fp"), "component")
-    named = nodes.join(found, "fp", "left").select("fp", "held", F.coalesce("component", "node")["id"].alias("component_id"))
+    named = nodes.join(by_shuffle(found), "fp", "left").select("fp", "held", F.coalesce("component", "node")["id"].alias("component_id"))
     out = join_hot(rows, stored(named, "simhash-named"), ["fp"], "held", total)
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -330,6 +330,20 @@ def test_simhash_links_over_null_and_repeated_ids(spark, monkeypatch):
     assert out == {(i, format(fps[t], "016x")): c for (i, t, _), c in zip(rows, (1, 1, 1, 0, 0, None), strict=True)}
 
 
+def broadcasts(df):
+    """Joins of a plan by Spark's own choice of a broadcast."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_growing_tables_are_not_broadcast_by_their_estimate(spark, monkeypatch):
+    # files of a few kB, and 80 rows made of each fingerprint: all far below Spark's bound of 10 MB by its estimate
+    plans, plain, held = {}, simhash.stored, components.components
+    monkeypatch.setattr(simhash, "stored", lambda df, name: plans.update({name: broadcasts(df)}) or plain(df, name))
+    monkeypatch.setattr(simhash, "components", lambda edges: plans.update(edges=broadcasts(edges)) or held(edges))
+    plans["out"] = broadcasts(simhash.simhash_groups(docs_of(spark, sample_rows())))
+    assert plans == dict.fromkeys(["simhash", "simhash-nodes", "simhash-links", "edges", "simhash-named", "out"], 0)
+
+
 def test_components_of_a_path(spark):
     n = 40
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (7, 7)], "a long, b long")
