@@ -87,6 +87,15 @@ def by_shuffle(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
+#: Rows of a table that is broadcast as it is small, at most.
+FEW_ROWS = 1 << 17
+
+
+def sized(side: DataFrame, rows: int) -> DataFrame:
+    """``side`` of a join, of at most ``rows`` rows: broadcast while they are few, else joined by shuffle."""
+    return F.broadcast(side) if rows <= FEW_ROWS else by_shuffle(side)
+
+
 #: A key is hot above so many rows, and above its share of all rows that leaves at most so many hot keys.
 HOT_ROWS, MOST_HOT = 20_000, 10_000
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, stored
+from .common import by_shuffle, join_hot, stored
 
 #: Rows a bucket holds before it splits, at least; a table has at most 2 ** 16 times its rows' share in a bucket.
 BUCKET_ROWS, SHARE_BITS = 1024, 16
@@ -41,7 +41,7 @@ def directory(keys: DataFrame, bits: int, capacity: int) -> DataFrame:
     path = full.select("prefix", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
     path = path.withColumn("bucket", F.expr(f"shiftright(prefix, {bits} - depth)"))
     held = path.groupBy("depth", "bucket").agg(F.sum("n").alias("held"))
-    fit = path.join(held, ["depth", "bucket"]).where((F.col("held") <= capacity) | (F.col("depth") == bits))
+    fit = path.join(by_shuffle(held), ["depth", "bucket"]).where((F.col("held") <= capacity) | (F.col("depth") == bits))
     leaf = fit.groupBy("prefix").agg(F.min(F.struct("depth", "bucket", "held")).alias("leaf"))
     return leaf.select("prefix", F.col("leaf.depth").alias("depth"), F.expr(f"shiftleft(leaf.bucket, {bits} - leaf.depth)").alias("bucket"), F.col("leaf.held").alias("held"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sized, stored
 from .prefix import offsets, ranges
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,9 +81,10 @@ def plan(rows: DataFrame, weights: Sequence[float], share: float, cap: float) ->
     left = F.col("target") - F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("source"))
     none = c.where("words = 0").select("source", "class", "source_size", "target", F.lit(0).cast("long").alias("whole"), F.lit(0.0).alias("p"), F.lit(0.0).alias("left"))
     shares = stored(filled.select("source", "class", "source_size", "target", "whole", "p", left.alias("left")).unionByName(none), "mix-shares")
+    few = shares.count()
     # equal marks of a source and size are rows alike: one entry with a number
     same = [F.col("r.source").eqNullSafe(F.col("s.source")), F.col("r.class") == F.col("s.class")]
-    ranked = rows.alias("r").join(shares.where("p > 0").alias("s"), same).select("r.source", rank_odds(F.col("mark"), F.col("p")).alias("odds"), "mark", "size", "left")
+    ranked = rows.alias("r").join(sized(shares.where("p > 0").alias("s"), few), same).select("r.source", rank_odds(F.col("mark"), F.col("p")).alias("odds"), "mark", "size", "left")
     entries = ranked.groupBy("source", "odds", "mark", "size").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"))
     entries = entries.withColumn("words", F.col("n") * F.col("size")).withColumn("key", F.struct("odds", "mark", "size"))
     ordered = stored(ranges(entries, rows.count(), ["source", "key"], "block"), "mix-order")
@@ -92,7 +93,7 @@ def plan(rows: DataFrame, weights: Sequence[float], share: float, cap: float) ->
     at = [F.col("a.source").eqNullSafe(F.col("b.source")), F.col("a.block") == F.col("b.block")]
     sums = sums.alias("a").join(offsets(sums, ["source"], "block", "sum", "before").alias("b"), at).select("a.*", "b.before").where("before <= left")
     cut = sums.groupBy("source").agg(F.max_by(F.struct("block", "before", "_before_last"), "block").alias("c")).select("source", "c.*")
-    near = ordered.alias("a").join(cut.alias("b"), at).select("a.*", "before", "_before_last")
+    near = ordered.alias("a").join(sized(cut.alias("b"), few), at).select("a.*", "before", "_before_last")
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
     # of an entry's rows, as many are in as have half of themselves before the end
     taken = F.least(F.floor((F.col("left") - (upto - F.col("words"))) / F.col("size") + F.lit(0.5)), F.col("n"))
@@ -114,7 +115,7 @@ def apply(rows: DataFrame, made: DataFrame, source_col: str, keep: list[str]) ->
     odds = rank_odds(F.col("_mark"), F.col("_m.p"))
     cols = [F.col(f"d.`{c}`").alias(c) for c in keep]
     key = F.struct(F.col("_odds").alias("odds"), F.col("_mark").alias("mark"), F.col("_size").alias("size"))
-    out = rows.alias("d").join(made.alias("_m"), on).select(*cols, F.col(f"d.`{source_col}`").alias("_source"), "_size", "_mark", F.col("_m.source_size").alias("_total"), F.col("_m.target").alias("_target"), F.col("_m.whole").alias("_whole"), F.col("_m.cut").alias("_cut"), odds.alias("_odds"))
+    out = rows.alias("d").join(sized(made.alias("_m"), made.count()), on).select(*cols, F.col(f"d.`{source_col}`").alias("_source"), "_size", "_mark", F.col("_m.source_size").alias("_total"), F.col("_m.target").alias("_target"), F.col("_m.whole").alias("_whole"), F.col("_m.cut").alias("_cut"), odds.alias("_odds"))
     out = out.withColumn("_in", F.coalesce(F.when(F.col("_odds").isNull() | (F.col("_size") == 0), F.lit(0)).when(key < F.col("_cut.key"), 1).when(key > F.col("_cut.key"), 0).when(F.col("_cut.all"), 1), F.when(F.col("_cut").isNull(), 0)))
     tied = out.where("_in IS NULL")
     number = F.row_number().over(Window.partitionBy("_source").orderBy("_mark"))

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from .bpe_fst import compiled
-from .common import new_folder, pieces, shared_dir, text_buffers
+from .common import by_shuffle, new_folder, pieces, shared_dir, text_buffers
 from .prefix import offsets, running_sum
 
 #: Sequences in a window, and rows a block of a queue has about.
@@ -152,5 +152,5 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2,
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window"]
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, window long"
     kinds = [f.type for f in to_arrow_schema(_parse_datatype_string(schema))]
-    joined = tokens.select("row", "id", "source", "ids").join(placed, "row").select("id", "source", "window", "first", "ids")
+    joined = tokens.select("row", "id", "source", "ids").join(by_shuffle(placed), "row").select("id", "source", "window", "first", "ids")
     return joined.mapInArrow(cut, schema)

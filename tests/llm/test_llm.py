@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brindle.llm import components, exact_dedup, html_extract, langid, mixing, packing, quality, simhash, token_counts, toxicity, warc
+from brindle.llm import common, components, exact_dedup, html_extract, langid, mixing, packing, quality, simhash, token_counts, toxicity, warc
 from brindle.llm.bpe_fst import Transducer
 from brindle.llm.dom import blocks, parse
 from brindle.llm.textfeat import Piece
@@ -344,6 +344,26 @@ def test_growing_tables_are_not_broadcast_by_their_estimate(spark, monkeypatch):
     assert plans == dict.fromkeys(["simhash", "simhash-nodes", "simhash-links", "edges", "simhash-named", "out"], 0)
 
 
+def joins(df):
+    """How and by which key a plan joins, from the top."""
+    return re.findall(r"(\w+Join) \[([^\]]*)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_stages_do_not_broadcast_what_grows(spark, monkeypatch):
+    keys = spark.range(64).select(F.col("id").cast("int").alias("prefix"), F.lit(9).alias("n"))
+    assert [j for j, _ in joins(exact_dedup.directory(keys, 6, 20))] == ["SortMergeJoin"]
+    docs = docs_of(spark, sample_rows())
+    assert next(j for j, on in joins(packing.pack(docs, VOCABULARY)) if on.startswith("row#")) == "SortMergeJoin"
+    # of the order of all rows and the cuts of the sources, the cuts
+    plans, plain = {}, mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or plain(df, name))
+    few = mixing.mix_sources(docs).collect()
+    assert re.search(r"BroadcastHashJoin \[coalesce\(source.*block.*Inner, Build(\w+)", plans["mix-plan"])[1] == "Right"
+    monkeypatch.setattr(common, "FEW_ROWS", 2)
+    assert Counter(few) == Counter(mixing.mix_sources(docs).collect())
+    assert re.search(r"(\w+Join) \[coalesce\(source.*block.*Inner", plans["mix-plan"])[1] == "SortMergeJoin"
+
+
 def test_components_of_a_path(spark):
     n = 40
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (7, 7)], "a long, b long")
