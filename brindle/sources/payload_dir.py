@@ -1,6 +1,6 @@
 """Folders of captured payloads: a ``.bin`` file with the bytes beside a ``.json`` file that describes it.
 
-Reading is one binary scan grouped by folder and stem, so every executor reads its share; what lacks its partner is
+Tasks list large folders and read the files, so the driver never holds the names of many; what lacks its partner is
 reported, not lost. The description is checked as data: every problem of it, not the first.
 """
 
@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import nullcontext
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -17,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import Bad, decoder, spread
+from ..functions.core import PIECE_BYTES, PIECE_ROWS, Bad, decoder, spread
 from ..functions.targets import canonical_kind, kind_from_notes, safe_stem
 from ..operators.payload import resolve
 
@@ -27,13 +29,121 @@ KEYS = "format origin description expect notes error_kind os os_version app app_
 REQUIRED = ("format", "origin", "description", "expect")
 
 
+#: Levels of folders whose contents are dealt over tasks; a deeper folder is walked by the task that has it. Names a batch has.
+LEVELS, NAMES = 2, 10_000
+#: Files that the driver lists at most, for Spark's reader.
+MOST_LISTED = 10_000
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[^./]*$", "")
 
 
-def pairs(spark: SparkSession, root: str) -> DataFrame:
-    """stem, bytes, sidecar, size, state: paired, no_sidecar or no_payload. Hidden files and readmes are passed over."""
+def pairs(spark: SparkSession, root: str, most_listed: int = MOST_LISTED) -> DataFrame:
+    """stem, bytes, sidecar, size, state: paired, no_sidecar or no_payload. Hidden files and readmes are passed over.
 
+    Of a folder with more than ``most_listed`` files tasks list the names and deal them by stem; each pair is then read
+    where its stem is, so no content moves. Spark's reader, which lists on the driver, reads smaller ones, and also
+    stores that Arrow can't open, patterns and single files, whatever their number.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+    uri = path.toUri().toString()
+    large = _is_folder(path) and (most_listed <= 0 or _listed(spark, uri).limit(most_listed + 1).count() > most_listed)
+    both = _read(spark, uri, path.toString()) if large else _scanned(spark, root)
+    state = F.when(F.col("sidecar").isNull(), "no_sidecar").when(F.col("bytes").isNull(), "no_payload").otherwise("paired")
+    return both.select("stem", "bytes", "sidecar", F.octet_length("bytes").cast("long").alias("size"), state.alias("state"))
+
+
+def _is_folder(path: Any) -> bool:
+    """Whether a Hadoop path is a folder that Arrow can open."""
+    if re.search(r"[*?{\[]", path.toString()):
+        return False
+    try:
+        fs, top = filesystem(path.toUri().toString())
+        return fs.get_file_info(top).type == pafs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def _short(path: str) -> str:
+    return re.sub("^([A-Za-z0-9]+):/+", r"\1:/", path)
+
+
+def _inside(fs: pafs.FileSystem, top: str, name: str) -> Iterator[tuple[str, bool]]:
+    """(name, whether it is a folder) of what a folder below ``top`` has, without what Spark's readers pass over."""
+    for x in fs.get_file_info(pafs.FileSelector(top + name)):
+        base, folder = x.base_name, x.type == pafs.FileType.Directory
+        if base.startswith(".") or base.startswith("_") and "=" not in base and not base.startswith(("_metadata", "_common_metadata")) or base.endswith("._COPYING_"):
+            continue
+        if folder or base.endswith((".bin", ".json")):
+            yield f"{name}/{base}", folder
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """name, folder (false) of every file below ``root`` that may be of a pair."""
+
+    def level(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def found(fs: pafs.FileSystem, top: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bool]]:
+            for b in batches:
+                for name, folder in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if not folder:
+                        yield name, False
+                        continue
+                    todo = [name]
+                    while todo:
+                        for x in _inside(fs, top, todo.pop()):
+                            if whole and x[1]:
+                                todo.append(x[0])
+                            else:
+                                yield x
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, top = filesystem(root)
+            names = found(fs, top.rstrip("/"), batches)
+            while part := list(islice(names, NAMES)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], t) for k, t in enumerate((pa.string(), pa.bool_()))], ["name", "folder"])
+
+        return run
+
+    out = spark.range(0, 1, 1, 1).select(F.lit("").alias("name"), F.lit(True).alias("folder"))
+    for _ in range(LEVELS):
+        out = spread(out.mapInArrow(level(False), "name string, folder boolean"), "name")
+    return out.mapInArrow(level(True), "name string, folder boolean")
+
+
+def _read(spark: SparkSession, root: str, shown: str) -> DataFrame:
+    """stem, bytes, sidecar of the files below ``root``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = filesystem(root)
+        top, prefix = top.rstrip("/"), _short(shown).rstrip("/")
+        for b in batches:
+            done: list[tuple] = []
+            size = 0
+            for name, *there in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got = []
+                for kind, has in zip(("bin", "json"), there, strict=True):
+                    with fs.open_input_file(f"{top}{name}.{kind}") if has else nullcontext() as f:
+                        got.append(f.read() if has else None)
+                done.append((prefix + name, *got))
+                size += sum(len(x) for x in got if x)
+                if len(done) == PIECE_ROWS or size > PIECE_BYTES:
+                    yield batch(done)
+                    done, size = [], 0
+            yield batch(done)
+
+    def batch(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary()))], ["stem", "bytes", "sidecar"])
+
+    names = _listed(spark, root).select("name", stem(F.col("name")).alias("stem"))
+    has = lambda suffix: F.bool_or(F.col("name").endswith(suffix))
+    held = spread(names, "stem").groupBy("stem").agg(has(".bin").alias("bin"), has(".json").alias("json"))
+    return held.mapInArrow(run, "stem string, bytes binary, sidecar binary").withColumn("sidecar", F.col("sidecar").cast("string"))
+
+
+def _scanned(spark: SparkSession, root: str) -> DataFrame:
+    """stem, bytes, sidecar by Spark's reader."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{bin,json}").load(root)
     short = F.regexp_replace("path", "^([A-Za-z0-9]+):/+", "$1:/").alias("path")
     # a scan passes over empty files, so every file also comes, empty, from the listing that it was planned with; the
@@ -45,9 +155,7 @@ def pairs(spark: SparkSession, root: str) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     found = found.where(~name.startswith(".") & (F.lower(name) != "readme.md"))
     of = lambda suffix: F.max(F.when(F.col("path").endswith(suffix), F.col("content")))
-    both = found.groupBy(stem(F.col("path")).alias("stem")).agg(of(".bin").alias("bytes"), of(".json").cast("string").alias("sidecar"))
-    state = F.when(F.col("sidecar").isNull(), "no_sidecar").when(F.col("bytes").isNull(), "no_payload").otherwise("paired")
-    return both.select("stem", "bytes", "sidecar", F.octet_length("bytes").cast("long").alias("size"), state.alias("state"))
+    return found.groupBy(stem(F.col("path")).alias("stem")).agg(of(".bin").alias("bytes"), of(".json").cast("string").alias("sidecar"))
 
 
 def strict_object(source: str) -> list[dict[str, str]]:
@@ -89,8 +197,8 @@ def strict_object(source: str) -> list[dict[str, str]]:
 sidecar_object = decoder(strict_object, "array<struct<key:string,value:string,kind:string>>")
 
 
-def problems(paired: DataFrame) -> DataFrame:
-    """stem and every problem of its description, one row each."""
+def judged(paired: DataFrame) -> DataFrame:
+    """``paired`` with every problem of its description in ``problems``."""
     p = paired.withColumn("o", sidecar_object("sidecar")).withColumn("m", F.map_from_entries(F.transform(F.coalesce("o.value", F.array().cast("array<struct<key:string,value:string,kind:string>>")), lambda e: F.struct(e["key"], e["value"]))))
     get = lambda k: F.element_at("m", k)
     unknown = F.filter(F.map_keys("m"), lambda k: ~k.isin(KEYS) & ~k.startswith("expect_"))
@@ -110,7 +218,12 @@ def problems(paired: DataFrame) -> DataFrame:
         say(F.col("size") > MAX_PAYLOAD, "payload too large"),
         say(F.octet_length("sidecar") > MAX_SIDECAR, "description too large"),
     )
-    return p.select("stem", F.explode(F.array_compact(found)).alias("problem"))
+    return p.select(*paired.columns, F.array_compact(found).alias("problems"))
+
+
+def problems(paired: DataFrame) -> DataFrame:
+    """stem and every problem of its description, one row each."""
+    return judged(paired).select("stem", F.explode("problems").alias("problem"))
 
 
 def expected_kind(sidecar: Column) -> Column:

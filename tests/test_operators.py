@@ -316,3 +316,38 @@ def test_folder_scan_reads_every_file_once(spark, tmp_path):
     got = {r.stem.rpartition("/")[2]: (r.bytes and bytes(r.bytes), r.sidecar, r.size, r.state) for r in found.collect()}
     assert got == {"x": (b"1", "{}", 1, "paired"), "empty": (b"", None, 0, "no_sidecar"), "b c+d%20": (b"", "{}", 0, "paired"), "lone": (None, "", None, "no_payload")}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("] binaryFile") == 1
+
+
+def test_payload_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    from brindle.sources import payload_dir
+
+    top = tmp_path / "a b%20"
+    names = ["x.bin", "x.json", "1/p.bin", "1/p.json", "1/2/3/4/deep é.bin", "1/2/3/4/deep é.json", "1/2/3/b+c.d.json", "d.bin/q.bin", "k=v/_m=1.bin"]
+    passed = ["_hid/x.bin", ".git/x.json", "1/_x.bin", "1/x.txt", "1/X.BIN", "1/x.bin._COPYING_", "1/2/README.md"]
+    for n in [*names, *passed]:
+        (top / n).parent.mkdir(parents=True, exist_ok=True)
+        (top / n).write_bytes(b"\xff" + n.encode() if n.endswith("bin") else b"{}")
+    (top / "1/none").mkdir()
+    (top / "1/none.bin").write_bytes(b"")
+    rows = lambda df: sorted((r.stem, r.bytes and bytes(r.bytes), r.sidecar) for r in df.collect())
+    for root, most in ((str(top), 0), (f"file://{top}/", 9)):
+        found = payload_dir.pairs(spark, root, most)
+        assert not found.inputFiles() and "LocalTableScan" not in found._jdf.queryExecution().executedPlan().toString()  # the driver has no names
+        assert rows(found) == rows(payload_dir._scanned(spark, str(top)))
+        assert {r.stem[len(f"file:{top}/") :]: r.state for r in found.collect()} == {"x": "paired", "1/p": "paired", "1/2/3/4/deep é": "paired", "1/2/3/b+c.d": "no_payload", "d.bin/q": "no_sidecar", "k=v/_m=1": "no_sidecar", "1/none": "no_sidecar"}
+    assert payload_dir.pairs(spark, str(top / "1/none"), 0).count() == 0
+    monkeypatch.setattr(payload_dir, "NAMES", 2)
+    monkeypatch.setattr(payload_dir, "PIECE_ROWS", 1)
+    assert rows(payload_dir.pairs(spark, str(top), 0)) == rows(found)
+    # by Spark's reader: few files, a pattern, a file
+    assert payload_dir.pairs(spark, str(top), 10).inputFiles() and rows(payload_dir.pairs(spark, str(top), 10)) == rows(found)
+    assert payload_dir.pairs(spark, f"{tmp_path}/a*", 0).count() == payload_dir.pairs(spark, str(top / "x.bin"), 0).count() + 6
+
+
+def test_folder_query_keeps_no_names_on_the_driver(spark):
+    from brindle import catalog
+
+    # the smallest tables are enough to see what plans hold
+    got = catalog.QUERIES["payload_folder_roundtrip"](spark, "/root/testdata/sf0.001")
+    assert not got.inputFiles() and "LocalTableScan" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("sound AND state = 'paired'").count() == got.count() > 0
